@@ -102,7 +102,7 @@ def _(t: Tables) -> DataFrame:
 
 
 SCORES = """round(avg(abs(y_true - yhat)), 4) as mae, round(avg(abs((y_true - yhat) / y_true)) * 100, 4) as mape,
-    round(sqrt(avg((y_true - yhat) * (y_true - yhat))), 4) as rmse, round(avg((y_true - yhat) * (y_true - yhat)), 2) as mse,
+    round(sqrt(avg((y_true - yhat) * (y_true - yhat))), 4) as rmse, round(avg((y_true - yhat) * (y_true - yhat)), 0) as mse,
     round(1 - sum((y_true - yhat) * (y_true - yhat)) / nullif(var_pop(y_true) * count(*), 0), 4) as r2"""
 
 
@@ -112,7 +112,7 @@ SCORES = """round(avg(abs(y_true - yhat)), 4) as mae, round(avg(abs((y_true - yh
         from b_backtests group by 1, 2, 3, 4""",
 )
 def _(t: Tables) -> DataFrame:
-    scored = evaluate.score_models(all_backtests(t.series_dense), mse_digits=2)
+    scored = evaluate.score_models(all_backtests(t.series_dense), mse_digits=0)
     return scored.withColumn("model_name", strip_model_suffix(F.col("model_name")))
 
 
@@ -121,7 +121,7 @@ def _(t: Tables) -> DataFrame:
     f"select model_name, city, target, {SCORES} from b_backtests group by 1, 2, 3",
 )
 def _(t: Tables) -> DataFrame:
-    return evaluate.score_models(all_backtests(t.series_dense), with_horizon=False, mse_digits=2)
+    return evaluate.score_models(all_backtests(t.series_dense), with_horizon=False, mse_digits=0)
 
 
 def best_sql(missing: str) -> str:
@@ -144,12 +144,12 @@ def best_sql(missing: str) -> str:
 
 @query("best_model_per_metric", best_sql("skip"))
 def _(t: Tables) -> DataFrame:
-    return evaluate.best_model_per_metric(evaluate.score_models(all_backtests(t.series_dense), mse_digits=2))
+    return evaluate.best_model_per_metric(evaluate.score_models(all_backtests(t.series_dense), mse_digits=0))
 
 
 @query("best_model_per_metric_zero", best_sql("zero"))
 def _(t: Tables) -> DataFrame:
-    scored = evaluate.score_models(all_backtests(t.series_dense), mse_digits=2)
+    scored = evaluate.score_models(all_backtests(t.series_dense), mse_digits=0)
     return evaluate.best_model_per_metric(scored, missing="zero")
 
 

@@ -6,6 +6,8 @@ All series of a panel are handled in one job. Input panels are gap-free
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,71 +27,85 @@ BACKTEST_COLUMNS = [
 ]
 
 
-def backtest_rows(df: DataFrame, model: str, yhat: Column, spread: Column, cutoff: str = CUTOFF) -> DataFrame:
-    """Rows after the cutoff in the forecast-fact layout; ``spread`` is the half interval."""
+def backtest_rows(df: DataFrame, models: dict[str, tuple[Column, Column]], cutoff: str = CUTOFF) -> DataFrame:
+    """Rows after the cutoff in the forecast-fact layout, one per model.
+
+    ``models`` gives the point forecast and the half interval per model name; all
+    models of a month come out of the same input row.
+    """
     valid = df.filter((F.col("ds") > F.lit(cutoff).cast("date")) & F.col("y").isNotNull())
-    shaped = valid.select(
-        F.lit(model).alias("model_name"),
+    facts = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("model_name"),
+                clip_non_negative(yhat).alias("yhat"),
+                clip_non_negative(yhat - spread).alias("yhat_lower"),
+                clip_non_negative(yhat + spread).alias("yhat_upper"),
+            )
+            for name, (yhat, spread) in models.items()
+        ]
+    )
+    opened = valid.select(
         "target",
         "city",
         months_since(F.col("ds"), cutoff).alias("horizon_months"),
         F.col("ds").alias("predict_date"),
-        clip_non_negative(yhat).alias("yhat"),
-        clip_non_negative(yhat - spread).alias("yhat_lower"),
-        clip_non_negative(yhat + spread).alias("yhat_upper"),
         F.col("y").alias("y_true"),
+        F.inline(facts),
     )
-    return shaped.filter("yhat is not null")
+    return opened.select(*BACKTEST_COLUMNS).filter("yhat is not null")
 
 
-def _lag_backtest(series: DataFrame, model: str, k: int, cutoff: str) -> DataFrame:
+def _predictors(series: DataFrame, cutoff: str, lags: Sequence[int], ar1: bool) -> DataFrame:
+    """Lagged predictors and the first-order fit with their training spreads.
+
+    Coefficients and spreads are window aggregates over the series, so fitting
+    and predicting share one shuffle.
+    """
+    w = Window.partitionBy(*SERIES)
     train = F.col("ds") <= F.lit(cutoff).cast("date")
-    error = F.col("y") - F.col("__p")
-    scored = (
-        series_with_min_history(series, SERIES, "y", cutoff, MIN_TRAIN, MIN_VALID, "ds")
-        .withColumn("__p", lagged("y", k, SERIES, "ds"))
-        .withColumn("__sd", F.sqrt(F.avg(F.when(train, error * error)).over(Window.partitionBy(*SERIES))))
-    )
-    return backtest_rows(scored, model, F.col("__p"), Z95 * F.col("__sd"), cutoff)
+    out = series_with_min_history(series, SERIES, "y", cutoff, MIN_TRAIN, MIN_VALID, "ds")
+    out = out.withColumns({f"p{k}": lagged("y", k, SERIES, "ds") for k in {*lags, 1}})
+    names = [f"p{k}" for k in lags]
+    if ar1:
+        pair = train & F.col("y").isNotNull() & F.col("p1").isNotNull()
+        y, x = F.when(pair, F.col("y")), F.when(pair, F.col("p1"))
+        slope = F.try_divide(F.covar_pop(y, x).over(w), F.var_pop(x).over(w))
+        out = out.withColumns({"__mx": F.avg(x).over(w), "__my": F.avg(y).over(w), "__b": slope})
+        out = out.withColumn("par1", F.col("__my") + F.col("__b") * (F.col("p1") - F.col("__mx")))
+        names.append("par1")
+    spreads = {}
+    for n in names:
+        error = F.when(train, F.col("y") - F.col(n))
+        spreads[f"{n}_sd"] = F.sqrt(F.avg(error * error).over(w)) * Z95
+    return out.withColumns(spreads)
+
+
+def _model(name: str) -> tuple[Column, Column]:
+    return F.col(name), F.col(f"{name}_sd")
 
 
 def backtest_naive(series: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
-    return _lag_backtest(series, "naive_backtest", 1, cutoff)
+    return backtest_rows(_predictors(series, cutoff, [1], False), {"naive_backtest": _model("p1")}, cutoff)
 
 
 def backtest_seasonal_naive(series: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
-    return _lag_backtest(series, "seasonal_naive_backtest", 12, cutoff)
+    return backtest_rows(_predictors(series, cutoff, [12], False), {"seasonal_naive_backtest": _model("p12")}, cutoff)
 
 
 def backtest_ar1(series: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
-    """One-step-ahead first-order autoregression fitted on the rows up to the cutoff.
-
-    The two coefficients and the residual spread are window aggregates over the
-    series, so fitting and predicting share one shuffle.
-    """
-    w = Window.partitionBy(*SERIES)
-    train = F.col("ds") <= F.lit(cutoff).cast("date")
-    pair = train & F.col("y").isNotNull() & F.col("__x").isNotNull()
-    y, x = F.when(pair, F.col("y")), F.when(pair, F.col("__x"))
-    fitted = (
-        series_with_min_history(series, SERIES, "y", cutoff, MIN_TRAIN, MIN_VALID, "ds")
-        .withColumn("__x", lagged("y", 1, SERIES, "ds"))
-        .withColumn("__mx", F.avg(x).over(w))
-        .withColumn("__my", F.avg(y).over(w))
-        .withColumn("__b", F.try_divide(F.covar_pop(y, x).over(w), F.var_pop(x).over(w)))
-        .withColumn("__p", F.col("__my") + F.col("__b") * (F.col("__x") - F.col("__mx")))
-    )
-    error = F.when(pair, F.col("y") - F.col("__p"))
-    spread = fitted.withColumn("__sd", F.sqrt(F.avg(error * error).over(w)))
-    return backtest_rows(spread, "ar1_backtest", F.col("__p"), Z95 * F.col("__sd"), cutoff)
+    """One-step-ahead first-order autoregression fitted on the rows up to the cutoff."""
+    return backtest_rows(_predictors(series, cutoff, [], True), {"ar1_backtest": _model("par1")}, cutoff)
 
 
 def all_backtests(series: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
-    return (
-        backtest_naive(series, cutoff)
-        .unionByName(backtest_seasonal_naive(series, cutoff))
-        .unionByName(backtest_ar1(series, cutoff))
-    )
+    """The three backtests of every series from one pass over the panel."""
+    models = {
+        "naive_backtest": _model("p1"),
+        "seasonal_naive_backtest": _model("p12"),
+        "ar1_backtest": _model("par1"),
+    }
+    return backtest_rows(_predictors(series, cutoff, [1, 12], True), models, cutoff)
 
 
 def forecast_drift(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
