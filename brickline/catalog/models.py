@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from brickline.bindings import Tables
+from brickline.bindings import CUTOFF, Tables
 from brickline.catalog.registry import add_ctes, query, rounded
-from brickline.plans import baselines
+from brickline.operators.panel import rolling_mean
+from brickline.plans import additive, arima, baselines, decomposition, features, history, learned, sequence
 
 TRAIN = "ds <= date '1999-12-01'"
 
@@ -77,3 +78,124 @@ def _(t: Tables) -> DataFrame:
 @query("forecast_drift", BACKTEST_SELECT.replace(", round(y_true, 4) as y_true", "") + "b_drift")
 def _(t: Tables) -> DataFrame:
     return rounded_forecast(baselines.forecast_drift(t.series))
+
+
+# Regressors of the additive model, and the macro columns of the sequence model.
+REGRESSORS = ["mortgage_rate", "unemployment_rate", "cpi_yoy", "roll_3", "roll_6"]
+MACRO_COLUMNS = ["mortgage_rate", "unemployment_rate", "overnight_rate", "gdp_growth", "cpi_yoy"]
+
+
+def panel_with_regressors(t: Tables) -> DataFrame:
+    """All series with the macro columns of their city and month and their own rolling means."""
+    macro = features.macro_by_city(t.macro, t.cities)
+    wide = features.pivot_city_metrics(t.metrics, t.cities).join(macro, ["date", "city"], "full_outer")
+    panel = t.series_dense.join(wide.withColumnRenamed("date", "ds"), ["city", "ds"], "left")
+    return panel.withColumns({f"roll_{k}": rolling_mean("y", k, baselines.SERIES, "ds") for k in (3, 6)})
+
+
+@query("forecast_arima_panel")
+def _(t: Tables) -> DataFrame:
+    return arima.forecast_arima(baselines.filled(t.series_dense))
+
+
+@query("backtest_arima_panel")
+def _(t: Tables) -> DataFrame:
+    return arima.backtest_arima(baselines.filled(t.series_dense))
+
+
+@query("forecast_sarima_fixed")
+def _(t: Tables) -> DataFrame:
+    panel = baselines.filled(t.series_dense)
+    seasonal = arima.forecast_arima(panel.filter("target = 'price'"), arima.SARIMA_SEASONAL, 36)
+    return seasonal.unionByName(arima.forecast_arima(panel.filter("target = 'rent'"), arima.SARIMA_PLAIN, 36))
+
+
+@query("forecast_additive_panel")
+def _(t: Tables) -> DataFrame:
+    return additive.forecast_additive(panel_with_regressors(t), REGRESSORS)
+
+
+@query("backtest_additive_panel")
+def _(t: Tables) -> DataFrame:
+    return additive.backtest_additive(panel_with_regressors(t), REGRESSORS)
+
+
+@query("forecast_sequence_panel")
+def _(t: Tables) -> DataFrame:
+    return sequence.forecast_sequence(panel_with_regressors(t), MACRO_COLUMNS)
+
+
+@query("backtest_sequence_panel")
+def _(t: Tables) -> DataFrame:
+    return sequence.backtest_sequence(t.series_dense)
+
+
+add_ctes(
+    {
+        "b_filled": """select city, target, ds, last_value(y ignore nulls) over (partition by city, target order by ds rows unbounded preceding) as y
+            from b_series_dense""",
+        "b_trend": """select *, case when count(y) over (partition by city, target order by ds rows between 6 preceding and 6 following) = 13 then
+              (sum(y) over (partition by city, target order by ds rows between 6 preceding and 5 following)
+               + sum(y) over (partition by city, target order by ds rows between 5 preceding and 6 following)) / 24 end as trend from b_filled""",
+        "b_month_mean": "select city, target, month(ds) as m, avg(y - trend) as s from b_trend group by 1, 2, 3",
+        "b_season": "select *, s - avg(s) over (partition by city, target) as seasonal from b_month_mean",
+    }
+)
+
+
+@query(
+    "stl_panel",
+    """select t.city, t.target, ds, round(y, 4) as y, round(trend, 4) as trend, round(seasonal, 4) as seasonal, round(y - trend - seasonal, 4) as resid
+       from b_trend t join b_season s on s.city = t.city and s.target = t.target and s.m = month(t.ds)""",
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(decomposition.decompose(t.series_dense), "y", "trend", "seasonal", "resid", digits=4)
+
+
+@query(
+    "stationarity_panel",
+    """select city, target, n_obs, round(t, 4) as t_stat, coalesce(t < -2.89, false) as is_stationary from (
+         select city, target, regr_count(d, x) as n_obs,
+           regr_slope(d, x) / sqrt(((regr_syy(d, x) - regr_slope(d, x) * regr_sxy(d, x)) / (regr_count(d, x) - 2)) / regr_sxx(d, x)) as t
+         from (select *, y - x as d from (select *, lag(y) over (partition by city, target order by ds) as x from b_filled)) group by 1, 2)""",
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(decomposition.unit_root(t.series_dense), "t_stat", digits=4)
+
+
+SIMILAR = ["hpi_benchmark", "rent_avg_city", "mortgage_rate", "unemployment_rate", "overnight_rate"]
+
+
+@query(
+    "period_similarity",
+    "select p.city, p.date, round(("
+    + " + ".join(f"p.{c} * n.{c}" for c in SIMILAR)
+    + ") / nullif(sqrt("
+    + " + ".join(f"p.{c} * p.{c}" for c in SIMILAR)
+    + ") * sqrt("
+    + " + ".join(f"n.{c} * n.{c}" for c in SIMILAR)
+    + "), 0), 4) as similarity from b_z p join (select * from b_z qualify row_number() over (partition by city order by date desc) = 1) n on p.city = n.city where p.date < n.date",
+)
+def _(t: Tables) -> DataFrame:
+    scored = features.model_features_from(t)
+    return rounded(decomposition.period_similarity(scored, [f"{c}_z" for c in SIMILAR]), "similarity", digits=4)
+
+
+add_ctes(
+    {
+        "b_z": "select city, date, "
+        + ", ".join(f"coalesce(({c} - avg({c}) over c) / (stddev_samp({c}) over c + 1e-6), 0) as {c}" for c in SIMILAR)
+        + " from b_derived window c as (partition by city) qualify row_number() over (partition by city order by date) > 12",
+    }
+)
+
+
+@query("train_price_model")
+def _(t: Tables) -> DataFrame:
+    history_rows = history.build_history_from(t)
+    return learned.train_price_model(history_rows, ["price", "rent", "median_income", "mortgage_rate"], "target_12m", CUTOFF)
+
+
+@query("hedonic_regression")
+def _(t: Tables) -> DataFrame:
+    return learned.hedonic_regression(t.sales, ["property_type", "listing_type", "province"])

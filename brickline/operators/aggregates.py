@@ -69,8 +69,11 @@ def mean_by_key(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
 
 
 def daily_sentiment(news: DataFrame, score: str = "sentiment_score") -> DataFrame:
-    """Mean score per day and city, labelled from the rounded mean."""
-    day = news.groupBy("date", "city").agg(F.round(F.avg(score), 2).alias("sentiment_score"))
+    """Mean score per day and city, labelled from the rounded mean.
+
+    Scores have two digits, so float noise is cut first and ties round up.
+    """
+    day = news.groupBy("date", "city").agg(F.round(F.round(F.avg(score), 9), 2).alias("sentiment_score"))
     return day.withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))
 
 

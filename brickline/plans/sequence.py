@@ -1,14 +1,37 @@
-"""Sequence features."""
+"""Sequence features and the pooled sequence model."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickline.bindings import CUTOFF
+from brickline.functions.dates import months_since
+from brickline.functions.numbers import clip, clip_non_negative, pct_change
 from brickline.operators.joins import chain_left
-from brickline.operators.panel import lagged, rolling_mean, yoy
+from brickline.operators.panel import (
+    lagged,
+    minmax,
+    rolling_mean,
+    sequence_windows,
+    series_with_min_history,
+    whole,
+    yoy,
+    zscore,
+)
+from brickline.operators.regression import dot, fit_ridge
+from brickline.plans.baselines import BACKTEST_COLUMNS, HORIZON, SERIES, filled
+
+# Window length, step limits and history limits.
+WINDOW = 12
+STEP_LIMIT = 0.30
+BAND = 0.05
+MIN_WINDOWS = 50
+MIN_TRAIN = WINDOW + 24
+MIN_VALID = 1
+RIDGE = 1e-3
 
 
 def build_sequence_features(
@@ -32,3 +55,99 @@ def build_sequence_features(
             "yoy": yoy("y", k),
         }
     )
+
+
+def _shape(window: Column) -> list[Column]:
+    """Each window value relative to the newest one."""
+    return [pct_change(F.element_at(window, i), F.element_at(window, WINDOW)) for i in range(1, WINDOW)]
+
+
+def forecast_sequence(panel: DataFrame, regressors: list[str], horizon: int = HORIZON) -> DataFrame:
+    """One pooled regression per target from the last 12 values to the next change, then recursion.
+
+    The pooled fit is sums over all series. The recursion is an expression over
+    each series' own state row: every step is clipped to +-30 %, the band is
+    +-5 %, and the last known regressors stay in place.
+    """
+    ready = filled(panel).filter("y is not null").withColumns(
+        {f"r_{c}": F.coalesce(zscore(c, SERIES), F.lit(0.0)) for c in regressors}
+    )
+    held = [f"r_{c}" for c in regressors]
+    rows = ready.withColumn("w", sequence_windows("y", WINDOW, SERIES, "ds")).withColumns(
+        {f"prev_{c}": lagged(c, 1, SERIES, "ds") for c in held}
+    )
+    shape = {f"s{i}": c for i, c in enumerate(_shape(F.col("w")))}
+    names = ["one", *shape, *[f"prev_{c}" for c in held]]
+    samples = rows.filter("w is not null").withColumns(
+        {**shape, "one": F.lit(1.0), "step": pct_change(F.col("y"), F.element_at("w", WINDOW))}
+    )
+    counted = samples.withColumn("__n", F.count("step").over(whole(SERIES))).filter(F.col("__n") >= MIN_WINDOWS)
+    model = fit_ridge(counted, ["target"], names, "step", RIDGE).drop("n")
+
+    newest = F.struct("ds", "y", *held)
+    tail = counted.groupBy(*SERIES).agg(F.max_by(F.struct(newest.alias("r"), F.col("w")), "ds").alias("l"))
+    state = tail.select(
+        *SERIES,
+        F.col("l.r.ds").alias("last_ds"),
+        F.concat(F.slice("l.w", 2, WINDOW - 1), F.array("l.r.y")).alias("w"),
+        F.array(*[F.col(f"l.r.{c}") for c in held]).alias("held"),
+    ).join(model, "target")
+
+    def advance(acc: Column, _: Column) -> Column:
+        w = acc["w"]
+        xs = [F.lit(1.0), *_shape(w), *[F.element_at("held", i + 1) for i in range(len(held))]]
+        step = clip(F.coalesce(dot(F.col("coefs"), xs), F.lit(0.0)), -STEP_LIMIT, STEP_LIMIT)
+        base = F.element_at(w, WINDOW)
+        point = F.struct(
+            (base * (1 + step)).alias("yhat"),
+            (base * (1 + step - BAND)).alias("lower"),
+            (base * (1 + step + BAND)).alias("upper"),
+        )
+        return F.struct(
+            F.concat(F.slice(w, 2, WINDOW - 1), F.array(base * (1 + step))).alias("w"),
+            F.concat(acc["out"], F.array(point)).alias("out"),
+        )
+
+    empty = F.array().cast("array<struct<yhat: double, lower: double, upper: double>>")
+    start = F.struct(F.col("w").alias("w"), empty.alias("out"))
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, advance, lambda acc: acc["out"])
+    opened = state.select(*SERIES, "last_ds", F.posexplode(path).alias("i", "f"))
+    return opened.select(
+        F.lit("sequence").alias("model_name"),
+        "target",
+        "city",
+        (F.col("i") + 1).alias("horizon_months"),
+        F.add_months("last_ds", F.col("i") + 1).alias("predict_date"),
+        F.col("f.yhat").alias("yhat"),
+        clip_non_negative(F.col("f.lower")).alias("yhat_lower"),
+        clip_non_negative(F.col("f.upper")).alias("yhat_upper"),
+    )
+
+
+def backtest_sequence(panel: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
+    """Pooled regression on scaled 12-step windows up to the cutoff; one-step predictions, no interval."""
+    train = F.col("ds") <= F.lit(cutoff).cast("date")
+    kept = series_with_min_history(filled(panel), SERIES, "y", cutoff, MIN_TRAIN, MIN_VALID, "ds")
+    fit = F.when(train, F.col("y"))
+    w = whole(SERIES)
+    scaled = kept.withColumns(
+        {"u": minmax("y", SERIES, train), "lo": F.min(fit).over(w), "hi": F.max(fit).over(w), "one": F.lit(1.0)}
+    ).withColumn("w", sequence_windows("u", WINDOW, SERIES, "ds"))
+    xs = {f"u{i}": F.element_at("w", i + 1) for i in range(WINDOW)}
+    rows = scaled.filter("w is not null").withColumns(xs)
+    names = ["one", *xs]
+    model = fit_ridge(rows.filter(train), ["target"], names, "u", RIDGE).drop("n")
+    valid = rows.filter(~train).join(model, "target")
+    pred = F.col("lo") + dot(F.col("coefs"), [F.col(c) for c in names]) * (F.col("hi") - F.col("lo"))
+    none = F.lit(None).cast("double")
+    return valid.select(
+        F.lit("sequence_backtest").alias("model_name"),
+        "target",
+        "city",
+        months_since(F.col("ds"), cutoff).alias("horizon_months"),
+        F.col("ds").alias("predict_date"),
+        clip_non_negative(pred).alias("yhat"),
+        none.alias("yhat_lower"),
+        none.alias("yhat_upper"),
+        F.col("y").alias("y_true"),
+    ).select(*BACKTEST_COLUMNS)
