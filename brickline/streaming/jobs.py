@@ -23,8 +23,11 @@ SCORE_SCALE, SCORE_SHIFT = 10, 0.5
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table as a stream with its city and an event-time timestamp."""
-    raw = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/events.parquet")
+    """The event table as a stream with its city and an event-time timestamp.
+
+    The pattern matches the table both as one file and as a directory of parts.
+    """
+    raw = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/events.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
         "city", F.concat(F.lit("NATION_"), F.pmod("user_id", F.lit(25)).cast("string"))
     )
