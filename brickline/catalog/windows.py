@@ -50,25 +50,21 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "rolling_std",
-    f"""select city, date, {rolled('stddev_samp', 6)} as std_6, round(y - lag(y) {W}, 4) as mom_change, month(date) as month from b_dense""",
+    f"select city, date, {rolled('stddev_samp', 6)} as std_6 from b_dense",
 )
 def _(t: Tables) -> DataFrame:
-    out = t.price_dense.select(
-        "city",
-        "date",
-        panel.rolling_std("y", 6, CITY).alias("std_6"),
-        panel.diff("y", CITY).alias("mom_change"),
-        F.month("date").cast("bigint").alias("month"),
-    )
-    return rounded(out, "std_6", "mom_change", digits=4)
+    return rounded(t.price_dense.select("city", "date", panel.rolling_std("y", 6, CITY).alias("std_6")), "std_6", digits=4)
 
 
-@query(
-    "mom_change",
-    f"select city, date, round((y / nullif(lag(y) {W}, 0) - 1) * 100, 4) as mom_pct from b_dense",
-)
+@query("mom_change", f"select city, date, round(y - lag(y) {W}, 4) as mom_change from b_dense")
+def _(t: Tables) -> DataFrame:
+    return rounded(t.price_dense.select("city", "date", panel.diff("y", CITY).alias("mom_change")), "mom_change", digits=4)
+
+
+@query("mom_pct", f"select city, date, round((y / nullif(lag(y) {W}, 0) - 1) * 100, 4) as mom_pct from b_dense")
 def _(t: Tables) -> DataFrame:
-    return rounded(t.price_dense.select("city", "date", (panel.yoy("y", CITY, months=1) * 100).alias("mom_pct")), "mom_pct", digits=4)
+    change = (panel.yoy("y", CITY, months=1) * 100).alias("mom_pct")
+    return rounded(t.price_dense.select("city", "date", change), "mom_pct", digits=4)
 
 
 @query(

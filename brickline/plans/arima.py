@@ -48,7 +48,7 @@ class Spec:
     @property
     def warmup(self) -> int:
         lost = max(d + SEASON * s for d, s in self.diffs)
-        return lost + max(self.long) + max((*self.ma, *self.ar))
+        return lost + max(self.long) + max((0, *self.ma, *self.ar))
 
 
 def auto_spec() -> Spec:
