@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from brickline.functions.dates import month_floor
 from brickline.operators.aggregates import median_price_panel
 from brickline.operators.panel import annual_to_monthly, densify_months, yoy
+from brickline.session import settle
 
 FIRST_MONTH = "1995-01-01"
 LAST_MONTH = "2001-08-01"
@@ -22,12 +23,22 @@ NATIONAL = "Canada"
 
 
 class Tables:
-    """Lazy access to the tables of one directory; every property is a plan, nothing is read here."""
+    """The tables of one directory as plans; ``stage`` writes those that several branches share."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
 
+    def stage(self, *names: str) -> Tables:
+        """Write the named domain tables once, so every later use reads the small result.
+
+        For jobs with several branches over the same facts: each fact table is then
+        scanned once for all branches.
+        """
+        for name in names:
+            self.__dict__[name] = settle(getattr(self, name), name.replace("_", "-"))
+        return self
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -120,15 +131,22 @@ class Tables:
             national.withColumn("source", F.lit("national"))
         ).select("date", "city", "metric", "value", "source")
 
+    @cached_property
+    def sales_monthly(self) -> DataFrame:
+        """Listings reduced to city and month: count, price sum and signed price flow."""
+        flow = F.when(F.col("listing_type") == "rent", F.col("price")).otherwise(-F.col("price"))
+        return self.sales.groupBy("province", "city", month_floor(F.col("date_posted")).alias("date")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"), F.sum(flow).alias("flow")
+        )
+
     @cached_property
     def annual(self) -> DataFrame:
         """city, year, population, median_income, migration_rate per calendar year."""
-        year = F.year("date_posted")
-        flow = F.when(F.col("listing_type") == "rent", F.col("price")).otherwise(-F.col("price"))
-        return self.sales.groupBy("city", year.alias("year")).agg(
-            F.count(F.lit(1)).alias("population"),
-            F.round(F.avg("price"), 2).alias("median_income"),
-            F.round(F.sum(flow) / 1000000, 2).alias("migration_rate"),
+        mean, flow = F.sum("total") / F.sum("n"), F.sum("flow") / 1000000
+        return self.sales_monthly.groupBy("city", F.year("date").alias("year")).agg(
+            F.sum("n").alias("population"),
+            F.round(F.round(mean, 9), 2).alias("median_income"),
+            F.round(F.round(flow, 9), 2).alias("migration_rate"),
         )
 
     @cached_property
@@ -138,9 +156,7 @@ class Tables:
     @cached_property
     def province_index(self) -> DataFrame:
         """province, date, cpi_index: mean price per province and month."""
-        return self.sales.groupBy("province", month_floor(F.col("date_posted")).alias("date")).agg(
-            F.avg("price").alias("cpi_index")
-        )
+        return self.sales_monthly.groupBy("province", "date").agg((F.sum("total") / F.sum("n")).alias("cpi_index"))
 
     @cached_property
     def national_output(self) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from brickline.bindings import CUTOFF, Tables
 from brickline.catalog.registry import add_ctes, query, rounded
 from brickline.operators.panel import rolling_mean
+from brickline.session import settle
 from brickline.plans import additive, arima, baselines, decomposition, features, history, learned, sequence
 
 TRAIN = "ds <= date '1999-12-01'"
@@ -85,29 +86,36 @@ REGRESSORS = ["mortgage_rate", "unemployment_rate", "cpi_yoy", "roll_3", "roll_6
 MACRO_COLUMNS = ["mortgage_rate", "unemployment_rate", "overnight_rate", "gdp_growth", "cpi_yoy"]
 
 
+def panel(t: Tables) -> DataFrame:
+    """All series without gaps, stored once: fit and prediction read the small table."""
+    return settle(baselines.filled(t.series_dense), "series")
+
+
 def panel_with_regressors(t: Tables) -> DataFrame:
     """All series with the macro columns of their city and month and their own rolling means."""
+    t.stage("sales_monthly", "shipments")
     macro = features.macro_by_city(t.macro, t.cities)
     wide = features.pivot_city_metrics(t.metrics, t.cities).join(macro, ["date", "city"], "full_outer")
-    panel = t.series_dense.join(wide.withColumnRenamed("date", "ds"), ["city", "ds"], "left")
-    return panel.withColumns({f"roll_{k}": rolling_mean("y", k, baselines.SERIES, "ds") for k in (3, 6)})
+    joined = t.series_dense.join(wide.withColumnRenamed("date", "ds"), ["city", "ds"], "left")
+    rolls = {f"roll_{k}": rolling_mean("y", k, baselines.SERIES, "ds") for k in (3, 6)}
+    return settle(joined.withColumns(rolls), "series-regressors")
 
 
 @query("forecast_arima_panel")
 def _(t: Tables) -> DataFrame:
-    return arima.forecast_arima(baselines.filled(t.series_dense))
+    return arima.forecast_arima(panel(t))
 
 
 @query("backtest_arima_panel")
 def _(t: Tables) -> DataFrame:
-    return arima.backtest_arima(baselines.filled(t.series_dense))
+    return arima.backtest_arima(panel(t))
 
 
 @query("forecast_sarima_fixed")
 def _(t: Tables) -> DataFrame:
-    panel = baselines.filled(t.series_dense)
-    seasonal = arima.forecast_arima(panel.filter("target = 'price'"), arima.SARIMA_SEASONAL, 36)
-    return seasonal.unionByName(arima.forecast_arima(panel.filter("target = 'rent'"), arima.SARIMA_PLAIN, 36))
+    series = panel(t)
+    seasonal = arima.forecast_arima(series.filter("target = 'price'"), arima.SARIMA_SEASONAL, 36)
+    return seasonal.unionByName(arima.forecast_arima(series.filter("target = 'rent'"), arima.SARIMA_PLAIN, 36))
 
 
 @query("forecast_additive_panel")
@@ -127,7 +135,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("backtest_sequence_panel")
 def _(t: Tables) -> DataFrame:
-    return sequence.backtest_sequence(t.series_dense)
+    return sequence.backtest_sequence(panel(t))
 
 
 add_ctes(

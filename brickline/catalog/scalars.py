@@ -369,9 +369,7 @@ def _(t: Tables) -> DataFrame:
          case when inventory < 0.4 then 'Low' when inventory < 0.7 then 'Adequate' else 'High' end as inventory from b_risk_parts""",
 )
 def _(t: Tables) -> DataFrame:
-    month = F.trunc("date_posted", "MM").alias("date")
-    count = t.sales.groupBy("city", month).agg(F.count(F.lit(1)).alias("listings"))
-    wide = risk_panel(t.price_panel, t.rent_panel, count)
+    wide = risk_panel(t.price_panel, t.rent_panel, t.sales_monthly.select("city", "date", F.col("n").alias("listings")))
     return wide.select(
         "city",
         "date",

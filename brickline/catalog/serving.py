@@ -130,5 +130,6 @@ def _(t: Tables) -> DataFrame:
          (select *, row_number() over (partition by city order by detect_date desc, target) as rank from b_signals where is_anomaly) where rank <= 3""",
 )
 def _(t: Tables) -> DataFrame:
+    t.stage("price_panel", "sales_monthly", "shipments")
     out = serve.city_report(forecast_drift(t.series), all_risks(t), anomalies.detect_zscore(t.series))
     return rounded(out, "value", "lower", "upper", digits=4)

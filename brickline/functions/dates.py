@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Textual month formats accepted by parse_month, tried in this order.
-MONTH_FORMATS = ["MMM yyyy", "MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM-yyyy"]
+from brickline.functions.numbers import once
+
+# Textual month formats accepted by parse_month and the shape of each.
+MONTH_FORMATS = {
+    "MMM yyyy": r"^[A-Za-z]{3} \d{4}$",
+    "MMMM yyyy": r"^[A-Za-z]{4,} \d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{4,} \d{1,2}, \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "MMM-yyyy": r"^[A-Za-z]{3}-\d{4}$",
+}
 # Fixed value: day zero of spreadsheet serial dates.
 SERIAL_ORIGIN = "1899-12-30"
 # Horizon labels in months.
@@ -26,19 +35,27 @@ def _first_of(year: Column, month: Column) -> Column:
 
 
 def parse_month(c: Column) -> Column:
-    """Month start from ISO-like, named-month or spreadsheet-serial text, else null."""
-    text = F.trim(c.cast("string"))
+    """Month start from ISO-like, named-month or spreadsheet-serial text, else null.
+
+    The shape is tested before a format is tried: a failing parse is far slower
+    than a pattern test.
+    """
     iso = r"^(\d{4})[-/](\d{1,2})(?:[-/]\d{1,2})?$"
-    year = F.regexp_extract(text, iso, 1)
-    month = F.regexp_extract(text, iso, 2)
-    named = [F.try_to_date(text, f) for f in MONTH_FORMATS]
-    serial = F.when(
-        text.rlike(r"^\d{5}(\.\d+)?$"),
-        F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), F.floor(text.try_cast("double")).cast("int")),
-    )
-    bare_year = F.when(text.rlike(r"^\d{4}$"), F.try_to_date(F.concat(text, F.lit("-01-01")), "yyyy-MM-dd"))
-    parsed = F.coalesce(F.when(year != "", _first_of(year, month)), bare_year, *named, serial)
-    return F.trunc(parsed, "MM")
+
+    def parsed(text: Column) -> Column:
+        out = (
+            F.when(text.rlike(iso), _first_of(F.regexp_extract(text, iso, 1), F.regexp_extract(text, iso, 2)))
+            .when(text.rlike(r"^\d{4}$"), F.try_to_date(F.concat(text, F.lit("-01-01")), "yyyy-MM-dd"))
+            .when(
+                text.rlike(r"^\d{5}(\.\d+)?$"),
+                F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), F.floor(text.try_cast("double")).cast("int")),
+            )
+        )
+        for pattern, shape in MONTH_FORMATS.items():
+            out = out.when(text.rlike(shape), F.try_to_date(text, pattern))
+        return out
+
+    return F.trunc(once(F.trim(c.cast("string")), parsed), "MM")
 
 
 def parse_mon_year(c: Column) -> Column:
@@ -77,7 +94,12 @@ def parse_posted_date(c: Column) -> Column:
     """``Sep 10, 2025`` or ``September 10, 2025`` anywhere in the text, else null."""
     pattern = r"(\w{3,9})\s+(\d{1,2}),\s*(\d{4})"
     hit = F.concat_ws(" ", *[F.regexp_extract(c, pattern, i) for i in (1, 2, 3)])
-    return F.coalesce(F.try_to_date(hit, "MMM d yyyy"), F.try_to_date(hit, "MMMM d yyyy"))
+    return once(
+        hit,
+        lambda h: F.when(h.rlike(r"^[A-Za-z]{3} "), F.try_to_date(h, "MMM d yyyy")).when(
+            h.rlike(r"^[A-Za-z]{4,} "), F.try_to_date(h, "MMMM d yyyy")
+        ),
+    )
 
 
 def months_since(c: Column, cutoff: str) -> Column:

@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed a single time, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_number(c: Column) -> Column:
     """Text to double: thousands separators removed, anything else unreadable is null."""
     return nan_to_null(F.regexp_replace(F.trim(c.cast("string")), ",", "").try_cast("double"))
 
 
 def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+    return F.nullif(c, F.lit(float("nan")))
 
 
 def clip_non_negative(c: Column) -> Column:

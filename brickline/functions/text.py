@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brickline.functions.numbers import once
+
 # Target geographies in contains-rule order.
 CANONICAL_GEOS = ["Kelowna", "Vancouver", "Toronto", "Canada"]
 # Province names and short forms cut from geography labels.
@@ -56,11 +58,15 @@ def canonical_geo(c: Column) -> Column:
     s = F.regexp_replace(s, rf"\s*({suffix})$", "")
     s = F.regexp_replace(s, r",\s*(" + "|".join(PROVINCES) + r")\b", "")
     s = F.trim(F.regexp_replace(s, r",\s*\b(" + "|".join(PROVINCE_SHORT) + r")\b\.?", ""))
-    exact = lookup(s, {g.lower(): g for g in CANONICAL_GEOS})
-    contains = None
-    for geo in CANONICAL_GEOS:
-        contains = (F if contains is None else contains).when(s.contains(geo.lower()), geo)
-    return F.coalesce(exact, contains)
+
+    def first_contained(label: Column) -> Column:
+        ladder = F
+        for geo in CANONICAL_GEOS:
+            ladder = ladder.when(label.contains(geo.lower()), geo)
+        return ladder
+
+    # A label that equals a target also contains it, so the ordered ladder covers both rules.
+    return once(s, first_contained)
 
 
 def clean_geo_label(c: Column) -> Column:
@@ -149,8 +155,8 @@ def parse_area_sqft(c: Column) -> Column:
 
 
 def extract_postal_code(c: Column) -> Column:
-    code = F.upper(F.concat(F.regexp_extract(c, POSTAL_PATTERN, 1), F.regexp_extract(c, POSTAL_PATTERN, 2)))
-    return F.when(code != "", F.concat(F.left(code, F.lit(3)), F.lit(" "), F.substring(code, 4, 10)))
+    code = F.upper(F.regexp_replace(F.regexp_extract(c, POSTAL_PATTERN, 0), r"\s", ""))
+    return once(code, lambda v: F.when(v != "", F.concat(F.left(v, F.lit(3)), F.lit(" "), F.substring(v, 4, 10))))
 
 
 def listing_id(source: str, url: Column, native_id: Column | None = None) -> Column:
@@ -161,7 +167,7 @@ def listing_id(source: str, url: Column, native_id: Column | None = None) -> Col
 def details_field(c: Column, label: str) -> Column:
     """Value of a ``label: value`` line of a details panel."""
     value = F.trim(F.regexp_extract(c, rf"(?im)^\s*{label}\s*:?\s*(.+)$", 1))
-    return F.when(value != "", value)
+    return F.nullif(value, F.lit(""))
 
 
 def strip_tags(c: Column) -> Column:
@@ -175,7 +181,7 @@ def strip_tags(c: Column) -> Column:
 def normalise_pid(c: Column) -> Column:
     """First eight digits of a table identifier; fewer digits is null."""
     digits = F.regexp_replace(c.cast("string"), r"\D", "")
-    return F.when(F.length(digits) >= 8, F.left(digits, F.lit(8)))
+    return once(digits, lambda d: F.when(F.length(d) >= 8, F.left(d, F.lit(8))))
 
 
 def strip_model_suffix(c: Column) -> Column:

@@ -55,6 +55,19 @@ def drop_null_subset(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
 
 
+def select_valid(df: DataFrame, columns: Sequence[Column], required: Sequence[str]) -> DataFrame:
+    """Project, then drop rows with a null in a required column, computing each expression once.
+
+    A plain filter after a projection is pushed below it together with a copy of
+    every expression it needs, which doubles the cost of parsing.
+    """
+
+    def complete(row: Column) -> Column:
+        return reduce(lambda a, b: a & b, [row[c].isNotNull() for c in required])
+
+    return df.select(F.inline(F.filter(F.array(F.struct(*columns)), complete)))
+
+
 def filter_segment_or_any(
     df: DataFrame,
     property_type: str | None = None,

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickline.session import settle
+
 # Sketch rank error is n/ACCURACY; the brackets are five times wider on each side.
 ACCURACY = 10_000
 TIGHT = 5 / ACCURACY
@@ -50,50 +52,55 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
         F.array(
             *[
                 F.struct(
-                    F.lit(float(q)).alias("q"),
                     _bracket(F.col("__n"), F.col("__s"), F.col("__min"), 4 * i + 1, 4 * i + 2).alias("lo"),
                     _bracket(F.col("__n"), F.col("__s"), F.col("__max"), 4 * i + 4, 4 * i + 3).alias("hi"),
                 )
-                for i, q in enumerate(qs)
+                for i in range(len(qs))
             ]
         ).alias("__cuts"),
     )
 
     if keys:
+        # A few hundred bytes per group; the written size decides between broadcast and shuffle.
+        known = settle(cuts, "quantile-cuts")
         same = [F.col(k).eqNullSafe(F.col(f"__cut_{k}")) for k in keys]
-        joined = data.join(cuts, same).select(*keys, "__v", "__n", "__cuts")
+        joined = data.join(known, same).select(*keys, "__v", "__n", "__cuts")
     else:
         one = cuts.select(F.struct("__n", "__cuts").alias("c")).scalar()
         joined = data.select("__v", one.alias("c")).select("__v", "c.*")
     # Rows below the bracket collapse into one null slot, rows above it are not needed.
     slots = (
-        joined.select(*keys, "__v", "__n", F.explode("__cuts").alias("c"))
+        joined.select(*keys, "__v", "__n", F.posexplode("__cuts").alias("__q", "c"))
         .filter(F.col("__v") <= F.col("c.hi"))
-        .select(*keys, "__n", F.col("c.q").alias("q"), F.when(F.col("__v") >= F.col("c.lo"), F.col("__v")).alias("__slot"))
-        .groupBy(*keys, "__n", "q", "__slot")
+        .select(*keys, "__n", "__q", F.when(F.col("__v") >= F.col("c.lo"), F.col("__v")).alias("__slot"))
+        .groupBy(*keys, "__q", "__n", "__slot")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    running = Window.partitionBy(*keys, "__n", "q").orderBy(F.col("__slot").asc_nulls_first())
+    running = Window.partitionBy(*keys, "__q").orderBy(F.col("__slot").asc_nulls_first())
     ranked = slots.withColumn(
         "__cum", F.sum("__c").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     # Rank positions are integers; the tiny term undoes float noise such as 0.95 * 20.
-    pos = F.col("q") * (F.col("__n") - 1)
-    floor = F.floor(pos + 1e-9)
-    frac = F.greatest(F.lit(0.0), pos - floor)
-    need_lo = floor + 1
-    need_hi = F.when(frac > 1e-9, floor + 2).otherwise(need_lo)
-    picked = ranked.groupBy(*keys, "__n", "q").agg(
-        F.min(F.when(F.col("__cum") >= need_lo, F.struct(F.col("__cum"), F.col("__slot")))).alias("lo"),
-        F.min(F.when(F.col("__cum") >= need_hi, F.struct(F.col("__cum"), F.col("__slot")))).alias("hi"),
+    share = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("__q") + 1)
+    pos = share * (F.col("__n") - 1)
+    need_lo = F.floor(pos + 1e-9) + 1
+    frac = F.greatest(F.lit(0.0), pos - need_lo + 1)
+    need_hi = F.when(frac > 1e-9, need_lo + 1).otherwise(need_lo)
+    needed = ranked.select(*keys, "__q", "__n", "__slot", "__cum", need_lo.alias("__lo"), need_hi.alias("__hi"), frac.alias("__f"))
+    picked = needed.groupBy(*keys, "__q").agg(
+        F.max("__n").alias("n"),
+        F.max("__f").alias("frac"),
+        F.min(F.when(F.col("__cum") >= F.col("__lo"), F.col("__slot"))).alias("lo"),
+        F.min(F.when(F.col("__cum") >= F.col("__hi"), F.col("__slot"))).alias("hi"),
+        F.max(F.when(F.col("__slot").isNull(), F.col("__cum") >= F.col("__lo"))).alias("below"),
     )
-    outside = F.col("lo.__slot").isNull() | F.col("hi.__slot").isNull()
-    exact = F.col("lo.__slot") + (F.col("hi.__slot") - F.col("lo.__slot")) * frac
+    missed = F.col("hi").isNull() | F.coalesce("below", F.lit(False))
+    exact = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
     return picked.select(
         *keys,
-        "q",
-        F.col("__n").alias("n"),
-        F.when(outside, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(exact).alias("quantile"),
+        F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("__q") + 1).alias("q"),
+        "n",
+        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(exact).alias("quantile"),
     )
 
 

@@ -72,21 +72,27 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
 
 
 def _tree_depth(sample: np.ndarray, y: np.ndarray, rng: np.random.Generator, limit: int) -> np.ndarray:
-    """Depth at which one random univariate tree isolates each value of ``y``."""
-    out = np.zeros(len(y))
-    stack = [(sample, np.arange(len(y)), 0)]
-    while stack:
-        s, idx, depth = stack.pop()
-        if len(idx) == 0:
-            continue
-        if depth >= limit or len(s) <= 1 or s.min() == s.max():
-            out[idx] = depth + _average_path(len(s))
-            continue
-        cut = rng.uniform(s.min(), s.max())
-        left = y[idx] < cut
-        stack.append((s[s < cut], idx[left], depth + 1))
-        stack.append((s[s >= cut], idx[~left], depth + 1))
-    return out
+    """Depth at which one random univariate tree isolates each value of ``y``.
+
+    All values go down one level at a time. A node is a run of the sorted sample,
+    known by its first position, which also addresses the node's random cut.
+    """
+    s = np.sort(sample)
+    lo = np.zeros(len(y), dtype=int)
+    hi = np.full(len(y), len(s))
+    depth = np.zeros(len(y))
+    for _ in range(limit):
+        low, high = s[lo], s[hi - 1]
+        open_ = high > low
+        if not open_.any():
+            break
+        cut = low + rng.uniform(size=len(s))[lo] * (high - low)
+        at = np.clip(np.searchsorted(s, cut), lo + 1, np.maximum(hi - 1, lo + 1))
+        left = y < cut
+        hi = np.where(open_ & left, at, hi)
+        lo = np.where(open_ & ~left, at, lo)
+        depth += open_
+    return depth + _average_path(hi - lo)
 
 
 def forest_scores(y: np.ndarray, seed: int = SEED) -> np.ndarray:

@@ -10,6 +10,7 @@ from brickline.operators.aggregates import collapse_to_city
 from brickline.operators.joins import broadcast_national, chain_left, month_city_grid
 from brickline.operators.panel import drop_warmup, forward_fill, lagged, rolling_mean, yoy, zscore
 from brickline.operators.reshape import pivot_metrics
+from brickline.session import settle
 from brickline.schemas import DERIVED_MEASURES, FEATURE_METRICS, FILL_ZERO, RAW_MEASURES
 
 FEATURES_SOURCE = "features_v1"
@@ -66,6 +67,7 @@ def build_features(
 
 
 def build_features_from(t: Tables) -> DataFrame:
+    t.stage("price_panel", "sales_monthly", "shipments")
     return build_features(
         t.cities.select("city"), t.price_panel, t.rent_panel, t.metrics, t.demographics, t.macro, FIRST_MONTH, LAST_MONTH
     )
@@ -96,4 +98,5 @@ def model_features(features: DataFrame, warmup: int = 12, fit=None) -> DataFrame
 
 
 def model_features_from(t: Tables) -> DataFrame:
-    return model_features(build_features_from(t))
+    """Both jobs in sequence; the feature table is stored between them."""
+    return model_features(settle(build_features_from(t), "features"))

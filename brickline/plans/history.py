@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickline.bindings import Tables
-from brickline.functions.dates import month_floor
 from brickline.operators.aggregates import mean_by_key
 from brickline.operators.joins import chain_left
 from brickline.operators.panel import densify_months, lead_by
@@ -30,8 +29,8 @@ def build_history(price: DataFrame, rent: DataFrame, demo: DataFrame, macro: Dat
 
 
 def build_history_from(t: Tables) -> DataFrame:
-    keyed = t.sales.withColumn("date", month_floor(F.col("date_posted")))
-    price = mean_by_key(keyed, ["city", "date"], ["price"])
+    t.stage("sales_monthly", "shipments")
+    price = t.sales_monthly.select("city", "date", (F.col("total") / F.col("n")).alias("price"))
     rent = t.rent_panel.withColumnRenamed("y", "rent")
     demo = mean_by_key(t.demographics, ["city", "date"], ["median_income"])
     macro = pivot_city_metrics(t.metrics, t.cities, ["mortgage_rate"])

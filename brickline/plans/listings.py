@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brickline.functions import text
 from brickline.functions.dates import parse_month, parse_posted_date
 from brickline.functions.numbers import parse_number, pct_change
+from brickline.operators.filters import select_valid
 from brickline.operators.merge import dedupe_keep_last
 from brickline.operators.reshape import first_present
 
@@ -97,14 +98,15 @@ def normalise_rents(raw: DataFrame, source: str, cities: Sequence[str] | None =
         raise ValueError("no median or average rent column")
     city, bed, when = (first_present(names, c) for c in (CITY_NAMES, BEDROOM_NAMES, MONTH_NAMES))
     date = parse_month(F.col(f"`{when}`")) if when else month
-    tidy = raw.select(
+    columns = [
         text.map_city_or_title(F.col(f"`{city}`")).alias("city"),
         date.alias("date"),
         text.normalise_bedrooms(F.col(f"`{bed}`")).alias("bedroom_type"),
         parse_number(F.col(f"`{rent}`")).alias("median_rent"),
         F.lit(source).alias("source"),
         (F.col("seq") if "seq" in names else F.lit(0)).alias("seq"),
-    ).filter("bedroom_type is not null and median_rent is not null and date is not null")
+    ]
+    tidy = select_valid(raw, columns, ["bedroom_type", "median_rent", "date"])
     if cities is not None:
         tidy = tidy.filter(F.col("city").isin(list(cities)))
     return dedupe_keep_last(tidy, ["city", "date", "bedroom_type"], ["seq", "median_rent"]).drop("seq")
@@ -117,13 +119,14 @@ def normalise_statcan(raw: DataFrame, metric: str) -> DataFrame:
         raise ValueError("REF_DATE and VALUE are required")
     geo = text.canonical_geo(F.col(by_upper["GEO"])) if "GEO" in by_upper else F.lit("Canada")
     tag = metric.split("_", 1)[-1]
-    return raw.select(
+    columns = [
         geo.alias("city"),
         parse_month(F.col(by_upper["REF_DATE"])).alias("date"),
         F.lit(metric).alias("metric"),
         parse_number(F.col(by_upper["VALUE"])).alias("value"),
         F.lit(f"StatCan_{tag}").alias("source"),
-    ).filter("date is not null and value is not null and city is not null")
+    ]
+    return select_valid(raw, columns, ["date", "value", "city"])
 
 
 def derived_row_metrics(listings: DataFrame, ref_year: int, types: Sequence[str]) -> DataFrame:

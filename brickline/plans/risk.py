@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brickline.bindings import Tables
 from brickline.functions.numbers import price_to_rent
 from brickline.operators.panel import minmax
+from brickline.session import settle
 
 # Fixed value: price at which affordability risk saturates.
 AFFORDABILITY_CAP = 1_000_000
@@ -42,9 +43,7 @@ def risk_panel(price: DataFrame, rent: DataFrame, listings: DataFrame) -> DataFr
 
 def risk_components(t: Tables) -> DataFrame:
     """city, predict_date, risk_type, risk_value; missing components have no row."""
-    month = F.trunc("date_posted", "MM").alias("date")
-    listings = t.sales.groupBy("city", month).agg(F.count(F.lit(1)).alias("listings"))
-    wide = risk_panel(t.price_panel, t.rent_panel, listings)
+    wide = risk_panel(t.price_panel, t.rent_panel, t.sales_monthly.select("city", "date", F.col("n").alias("listings")))
     long = wide.unpivot(
         ["city", "date"], ["affordability", "price_to_rent", "inventory"], "risk_type", "risk_value"
     )
@@ -60,5 +59,5 @@ def composite_risk(components: DataFrame) -> DataFrame:
 
 
 def all_risks(t: Tables) -> DataFrame:
-    parts = risk_components(t)
+    parts = settle(risk_components(t), "risk-components")
     return parts.unionByName(composite_risk(parts).select(*parts.columns))

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -47,3 +47,15 @@ def _local_folder() -> str:
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; runs never overwrite each other."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a reduced table once and read it back.
+
+    Cuts the lineage, so a table used by several branches is computed once and a
+    lost executor costs one re-read; and the written size is known to the planner,
+    which then broadcasts the table only when it is under the session's threshold.
+    """
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

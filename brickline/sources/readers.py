@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from brickline.functions.dates import parse_month
 from brickline.functions.numbers import parse_number
 from brickline.functions.text import lookup
+from brickline.operators.filters import select_valid
 from brickline.operators.merge import require_columns
 
 # National metrics belong to this city name.
@@ -28,14 +29,14 @@ def read_metric_csv(spark: SparkSession, paths: Sequence[str], metric: str, sour
     """``Date,Value`` files to tidy metric rows; unreadable dates or values are dropped."""
     raw = spark.read.option("header", True).csv(list(paths))
     require_columns(raw, ["Date", "Value"])
-    tidy = raw.select(
+    columns = [
         parse_month(F.col("Date")).alias("date"),
         F.lit(NATIONAL).alias("city"),
         F.lit(metric).alias("metric"),
         parse_number(F.col("Value")).alias("value"),
         F.lit(source).alias("source"),
-    )
-    return tidy.filter("date is not null and value is not null")
+    ]
+    return select_valid(raw, columns, ["date", "value"])
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
@@ -64,13 +65,13 @@ def flatten_observations(df: DataFrame, payload: str, alias: dict[str, str], pre
     schema = "struct<observations: array<map<string, string>>>"
     per_day = df.select(F.explode(F.from_json(payload, schema)["observations"]).alias("o"))
     cells = per_day.select(F.try_element_at("o", F.lit("d")).alias("d"), F.explode("o").alias("sid", "cell"))
-    value = parse_number(F.get_json_object("cell", "$.v"))
-    return cells.filter("sid <> 'd'").select(
+    columns = [
         F.lit(NATIONAL).alias("city"),
         F.try_to_date("d", "yyyy-MM-dd").alias("date"),
         series_name(F.col("sid"), alias, prefix).alias("metric"),
-        value.alias("value"),
-    ).filter("date is not null and value is not null")
+        parse_number(F.get_json_object("cell", "$.v")).alias("value"),
+    ]
+    return select_valid(cells.filter("sid <> 'd'"), columns, ["date", "value"])
 
 
 def series_name(sid: Column, alias: dict[str, str], prefix: str) -> Column:
