@@ -24,12 +24,16 @@ def to_members(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return df.join(members.select(key, "city"), key).drop(key)
 
 
+def to_every_city(df: DataFrame, cities: DataFrame) -> DataFrame:
+    """Each row repeated for every city of the dimension, generated from its name list."""
+    names = cities.agg(F.sort_array(F.collect_set("city"))).scalar()
+    return df.select("*", F.explode(names).alias("city"))
+
+
 def broadcast_national(df: DataFrame, cities: DataFrame, national: str = "Canada") -> DataFrame:
-    """Append the national rows once per city; an equi join on the country name."""
-    members = cities.select("city", F.lit(national.lower()).alias("__country"))
-    country = df.filter(F.lower("city") == national.lower()).withColumn("__country", F.lower("city")).drop("city")
-    copies = country.join(members, "__country").drop("__country")
-    return df.unionByName(copies.select(*df.columns))
+    """Append the national rows once per city."""
+    country = df.filter(F.lower("city") == national.lower()).drop("city")
+    return df.unionByName(to_every_city(country, cities).select(*df.columns))
 
 
 def attach_province_rate(cities: DataFrame, rates: DataFrame, default: float = 1.0) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brickline.operators.joins import month_city_grid, to_members, year_to_month_lookup
+from brickline.operators.joins import month_city_grid, to_every_city, to_members, year_to_month_lookup
 from brickline.operators.panel import forward_fill, reindex_months, whole, yoy
 
 
@@ -34,8 +34,8 @@ def gdp_by_city(output: DataFrame, cities: DataFrame, first: str, last: str) ->
     """One national series: month means, full range, filled, yearly change, copied to every city."""
     national = output.groupBy("date").agg(F.avg("gdp").alias("gdp")).withColumn("country", F.lit("national"))
     full = reindex_months(national, ["country"], first, last).withColumn("gdp", forward_fill("gdp", ["country"]))
-    change = full.select("country", "date", (yoy("gdp", ["country"]) * 100).alias("gdp_growth"))
-    return to_members(change, cities.withColumn("country", F.lit("national")), "country")
+    change = full.select("date", (yoy("gdp", ["country"]) * 100).alias("gdp_growth"))
+    return to_every_city(change, cities)
 
 
 def expand_annual(annual: DataFrame, cities: DataFrame, first: str, last: str) -> DataFrame:

@@ -117,7 +117,9 @@ def detect_forest(series: DataFrame, contamination: float = CONTAMINATION) -> Da
         pdf = pdf.sort_values("ds")
         return pdf.assign(score=forest_scores(pdf["y"].to_numpy(dtype=float)))
 
-    known = series.filter("y is not null").select("city", "target", "ds", "y")
+    # Few bytes but much work per series: a fixed spread keeps adaptive merging from making one task of it.
+    spread = series.sparkSession.sparkContext.defaultParallelism
+    known = series.filter("y is not null").select("city", "target", "ds", "y").repartition(spread, *SERIES)
     scored = known.groupBy(*SERIES).applyInPandas(score, "city string, target string, ds date, y double, score double")
     w = Window.partitionBy(*SERIES)
     ranked = scored.withColumn("__r", F.row_number().over(w.orderBy(F.desc("score"), "ds"))).withColumn(

@@ -140,12 +140,12 @@ def derived_row_metrics(listings: DataFrame, ref_year: int, types: Sequence[str]
     )
 
 
-def repeat_sales_pairs(sales: DataFrame, segments: int = 64) -> DataFrame:
+def repeat_sales_pairs(sales: DataFrame, segments: int = 4096) -> DataFrame:
     """Consecutive sales of the same unit with their log price difference.
 
-    A unit may hold a large share of the sales, so its history is cut into value
-    ranges of time: pairs inside a range come from one window per (unit, range),
-    and only the first and last sale of each range cross to the next one.
+    A unit may hold a large share of the sales, so its history is cut into time
+    ranges: pairs inside a range come from one window per (unit, range), and only
+    the first and last sale of each range meet those of the next one.
     """
     order = ["date_posted", "listing_id"]
     bounds = sales.agg(F.struct(F.min("date_posted").alias("lo"), F.max("date_posted").alias("hi"))).scalar()
