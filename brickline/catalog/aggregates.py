@@ -376,7 +376,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "city_population_snapshot",
-    """select city, date, population, migration_rate from (
+    """select city, date, cast(population as bigint) as population, cast(migration_rate as double) as migration_rate from (
          select a.city, make_date(a.year, 1, 1) as date, a.population, coalesce(r.rate, 1.0) as migration_rate
          from b_annual a join (select city, max(year) as year from b_annual group by 1) l on a.city = l.city and a.year = l.year
          join b_cities c on a.city = c.city left join (values ('AFRICA', 0.95), ('ASIA', 1.05), ('EUROPE', 0.83)) r(province, rate) on r.province = c.province

@@ -107,7 +107,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "attach_province_index",
-    """select city, province, coalesce(rate, 1.0) as rate from b_cities
+    """select city, province, cast(coalesce(rate, 1.0) as double) as rate from b_cities
        left join (values ('AFRICA', 0.95), ('ASIA', 1.05), ('EUROPE', 0.83)) r(province, rate) using (province)""",
 )
 def _(t: Tables) -> DataFrame:
@@ -263,7 +263,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "permits_by_postal_code",
-    """select c_nationkey as postal_code, count(*) as listings, sum(n) as permits from customer
+    """select c_nationkey as postal_code, count(*) as listings, cast(sum(n) as bigint) as permits from customer
        join (select s_nationkey, count(*) as n from supplier group by 1) on s_nationkey = c_nationkey group by 1""",
 )
 def _(t: Tables) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from brickline.bindings import CUTOFF, Tables
-from brickline.catalog.registry import add_ctes, query, rounded
+from brickline.catalog.registry import CTES, add_ctes, query, rounded
 from brickline.operators.panel import rolling_mean
 from brickline.plans import additive, arima, baselines, decomposition, features, history, learned, sequence
 from brickline.session import settle
@@ -52,6 +52,8 @@ add_ctes(
     }
 )
 
+add_ctes({"b_drift_long": CTES["b_drift"].replace("generate_series(1, 60)", "generate_series(1, 120)")})
+
 YHAT = ["yhat", "yhat_lower", "yhat_upper"]
 BACKTEST_SELECT = """select model_name, target, city, horizon_months, predict_date, round(yhat, 4) as yhat,
     round(yhat_lower, 4) as yhat_lower, round(yhat_upper, 4) as yhat_upper, round(y_true, 4) as y_true from """
@@ -163,7 +165,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "stationarity_panel",
     """select city, target, n_obs, round(t, 4) as t_stat, coalesce(t < -2.89, false) as is_stationary from (
-         select city, target, regr_count(d, x) as n_obs,
+         select city, target, cast(regr_count(d, x) as bigint) as n_obs,
            regr_slope(d, x) / sqrt(((regr_syy(d, x) - regr_slope(d, x) * regr_sxy(d, x)) / (regr_count(d, x) - 2)) / regr_sxx(d, x)) as t
          from (select *, y - x as d from (select *, lag(y) over (partition by city, target order by ds) as x from b_filled)) group by 1, 2)""",
 )

@@ -217,8 +217,8 @@ def _(t: Tables) -> DataFrame:
     """select case when p_type = 'PROMO' then 'shop:AD' || id else 'shop:' || left(sha1(url), 16) end as listing_id, url,
          date '2025-09-10' as date_posted, false as is_date_missing, 'Kelowna' as city, 'V1Y 1A1' as postal_code,
          case when p_type = 'SMALL' then 'Townhouse' else 'Apartment' end as property_type, 'rent' as listing_type,
-         cast(floor(p_retailprice) as bigint) as price, case when p_type = 'PROMO' then 7.0 else cast(p_size as double) end as bedrooms,
-         1.5 as bathrooms, case when p_size % 2 = 0 then p_size * 25 else cast(round(p_size * 25 * 10.7639, 0) as bigint) end as area_sqft,
+         cast(floor(p_retailprice) as bigint) as price, case when p_type = 'PROMO' then cast(7 as double) else cast(p_size as double) end as bedrooms,
+         cast(1.5 as double) as bathrooms, case when p_size % 2 = 0 then p_size * 25 else cast(round(p_size * 25 * 10.7639, 0) as bigint) end as area_sqft,
          case when p_type = 'PROMO' then 'Post Date: Sep 10, 2025' || chr(10) || 'Bedrooms: 7' || chr(10) || 'Ad Number: AD' || id
               else 'Post Date: September 10, 2025' end as description
        from b_listing_text where p_type <> 'LARGE'""",

@@ -66,10 +66,10 @@ def _(t: Tables) -> DataFrame:
     """select city, target, horizon, predict_date as detect_date, round(yhat, 4) as value, round(score, 6) as anomaly_score,
          coalesce(score > 1.5, false) as is_anomaly, 'zscore' as model_name from
          (select *, abs((yhat - avg(yhat) over w) / nullif(stddev_pop(yhat) over w, 0)) as score
-          from b_drift, (select unnest([12, 24, 60]) as horizon) where horizon_months <= horizon window w as (partition by city, target, horizon))""",
+          from b_drift_long, (select unnest([12, 24, 60, 120]) as horizon) where horizon_months <= horizon window w as (partition by city, target, horizon))""",
 )
 def _(t: Tables) -> DataFrame:
-    out = anomalies.detect_on_forecast(forecast_drift(t.series), [12, 24, 60])
+    out = anomalies.detect_on_forecast(forecast_drift(t.series, 120), [12, 24, 60, 120])
     return rounded(rounded(out, "value", digits=4), "anomaly_score")
 
 
