@@ -13,7 +13,7 @@ def once(value: Column, body) -> Column:
 
 def parse_number(c: Column) -> Column:
     """Text to double: thousands separators removed, anything else unreadable is null."""
-    return nan_to_null(F.regexp_replace(F.trim(c.cast("string")), ",", "").try_cast("double"))
+    return nan_to_null(F.replace(F.trim(c.cast("string")), F.lit(","), F.lit("")).try_cast("double"))
 
 
 def nan_to_null(c: Column) -> Column:

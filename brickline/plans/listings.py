@@ -13,6 +13,7 @@ from brickline.functions.numbers import parse_number, pct_change
 from brickline.operators.filters import select_valid
 from brickline.operators.merge import dedupe_keep_last
 from brickline.operators.reshape import first_present
+from brickline.session import settle
 
 # Column widths of the listing table.
 URL_WIDTH = 500
@@ -113,20 +114,33 @@ def normalise_rents(raw: DataFrame, source: str, cities: Sequence[str] | None =
 
 
 def normalise_statcan(raw: DataFrame, metric: str) -> DataFrame:
-    """``REF_DATE, GEO, VALUE`` to metric rows of the target geographies; no GEO column means national."""
+    """``REF_DATE, GEO, VALUE`` to metric rows of the target geographies; no GEO column means national.
+
+    Labels repeat for every row of a month and place, so the pattern work is done
+    once per distinct (place, month) pair and joined back. The pair table is
+    stored first: Spark broadcasts it only if its written size allows.
+    """
     by_upper = {c.upper(): c for c in raw.columns}
     if "REF_DATE" not in by_upper or "VALUE" not in by_upper:
         raise ValueError("REF_DATE and VALUE are required")
-    geo = text.canonical_geo(F.col(by_upper["GEO"])) if "GEO" in by_upper else F.lit("Canada")
-    tag = metric.split("_", 1)[-1]
+    geo = F.col(by_upper["GEO"]) if "GEO" in by_upper else F.lit("Canada")
+    rows = raw.select(geo.alias("__geo"), F.col(by_upper["REF_DATE"]).alias("__ref"), F.col(by_upper["VALUE"]).alias("__value"))
+    labels = rows.select("__geo", "__ref").distinct()
     columns = [
-        geo.alias("city"),
-        parse_month(F.col(by_upper["REF_DATE"])).alias("date"),
+        F.col("__geo"),
+        F.col("__ref"),
+        text.canonical_geo(F.col("__geo")).alias("city"),
+        parse_month(F.col("__ref")).alias("date"),
+    ]
+    known = settle(select_valid(labels, columns, ["city", "date"]), "labels")
+    tag = metric.split("_", 1)[-1]
+    return rows.join(known, ["__geo", "__ref"]).select(
+        "city",
+        "date",
         F.lit(metric).alias("metric"),
-        parse_number(F.col(by_upper["VALUE"])).alias("value"),
+        parse_number(F.col("__value")).alias("value"),
         F.lit(f"StatCan_{tag}").alias("source"),
-    ]
-    return select_valid(raw, columns, ["date", "value", "city"])
+    ).filter("value is not null")
 
 
 def derived_row_metrics(listings: DataFrame, ref_year: int, types: Sequence[str]) -> DataFrame:

@@ -107,3 +107,13 @@ def test_gauge_counts_missing_components_as_zero(spark):
 def test_zero_bound_is_kept(spark):
     df = spark.createDataFrame([(5.0, 0.0, None)], "yhat double, yhat_lower double, yhat_upper double")
     assert tuple(serve.fill_interval(df).first()) == (5.0, 0.0, 5.0)
+
+
+def test_national_table_has_no_geography_column(spark):
+    from brickline.plans.listings import normalise_statcan
+
+    df = spark.createDataFrame([("2024-01", "1,000.5"), ("bad", "1"), ("2024-02", "..")], "REF_DATE string, VALUE string")
+    rows = normalise_statcan(df, "gdp").collect()
+    assert [(r.city, r.date, r.value) for r in rows] == [("Canada", dt.date(2024, 1, 1), 1000.5)]
+    with pytest.raises(ValueError):
+        normalise_statcan(df.drop("VALUE"), "gdp")
