@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brickline.llm.jaccard_join import near_duplicates
 from brickline.llm.language_id import identify
 from brickline.llm.quality_rules import quality_report
 from brickline.llm.token_counts import count_tokens
@@ -103,3 +104,8 @@ def op7_token_files(spark, folder):
 @query("op9_language_id")
 def op9_language_id(spark, folder):
     return identify(table(spark, folder, "documents"))
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"))

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     for key in keys:
         column = table[key].combine_chunks()
         if table.num_rows > 1:
-            new[1:] |= ~np.asarray(pa.compute.equal(column[1:], column[:-1]).fill_null(False))
+            new[1:] |= ~np.asarray(pc.equal(column[1:], column[:-1]).fill_null(False))
     return np.flatnonzero(new)
 
 

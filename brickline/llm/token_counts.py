@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,7 +170,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, budget: int = 1024) -> DataFra
             texts = batch["text"].to_pylist()
             n = [count.total(t) for t in texts]
             fit = [len(t) if k <= budget else count.longest_within(t, budget) for t, k in zip(texts, n)]
-            size = pa.compute.binary_length(batch["text"]).cast(pa.int64())
+            size = pc.binary_length(batch["text"]).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], size, pa.array(n, pa.int64()), pa.array([k > budget for k in n], pa.bool_()), pa.array(fit, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
