@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brickline.llm.jaccard_join import near_duplicates
 from brickline.llm.language_id import identify
+from brickline.llm.packing import pack_documents
 from brickline.llm.quality_rules import quality_report
 from brickline.llm.token_counts import count_tokens
-from brickline.llm.token_files import token_stream
+from brickline.llm.token_files import token_lengths, token_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +97,12 @@ def op2_token_counts(spark, folder):
     return count_tokens(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024)
 
 
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, folder):
+    lengths = token_lengths(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pack_documents(lengths.selectExpr("doc_id", "n_tokens + 1 as n_tokens"))
+
+
 @query("op7_token_files")
 def op7_token_files(spark, folder):
     return token_stream(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
