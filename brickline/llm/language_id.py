@@ -124,15 +124,17 @@ class Model:
             counts[number[token], place[lang]] = n
         return number, np.log(counts / (totals + 0.5 * len(number)))
 
-    def word(self, word: str) -> np.ndarray:
-        number, logs = self.words
-        if word in number:
-            return logs[number[word]]
-        for size, (number, logs) in zip(range(LONGEST_GRAM, 0, -1), self.grams):
+    def places(self, word: str) -> tuple[int, list[int]]:
+        """The table that scores a word, and its rows there: the words' own, or that of the longest known n-grams."""
+        found = self.words[0].get(word)
+        if found is not None:
+            return 0, [found]
+        for k, size in enumerate(range(LONGEST_GRAM, 0, -1)):
+            number = self.grams[k][0]
             known = [number[g] for g in grams(word, size) if g in number]
             if known:
-                return logs[known].mean(0)
-        return np.zeros(len(self.langs))
+                return k + 1, known
+        return 0, []
 
 
 class Scorer:
@@ -142,25 +144,44 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.rows = np.zeros((self.BOUND, len(model.langs)))
+        tables = [model.words[1], *(logs for _, logs in model.grams)]
+        self.base = np.cumsum([0, *map(len, tables[:-1])])
+        self.logs = np.concatenate(tables)
+        self.rows = np.zeros((0, len(model.langs)))
         self.number: dict[str, int] = {}
 
-    def _row(self, word: str) -> int:
-        if len(self.number) == self.BOUND:
+    def _meet(self, words: set[str]) -> None:
+        """Rows for words not met before: the mean over each word's places, zeros for a word without any."""
+        new = list(words - self.number.keys())
+        if len(self.number) + len(new) > self.BOUND:
             self.number.clear()
-        k = len(self.number)
-        self.rows[k] = self.model.word(word)
-        self.number[word] = k
-        return k
-
-    def __call__(self, text: str) -> tuple[str, float]:
-        words = words_of(text)
+            self.rows, new = self.rows[:0], list(words)
+        at, sizes = [], np.zeros(len(new), np.int64)
+        for k, word in enumerate(new):
+            table, known = self.model.places(word)
+            sizes[k] = len(known)
+            base = int(self.base[table])
+            at += [base + x for x in known] if base else known
+        rows = np.zeros((len(new), len(self.model.langs)))
+        some = sizes > 0
+        if some.any():
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            rows[some] = np.add.reduceat(self.logs[at], starts, axis=0) / sizes[some, None]
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.rows = np.concatenate([self.rows, rows])
+
+    def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
+        out = []
+        for lo in range(0, len(texts), 256):
+            listed = [words_of(t) for t in texts[lo : lo + 256]]
+            self._meet(set().union(*listed))
+            out += [self._verdict(words) for words in listed]
+        return out
+
+    def _verdict(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.langs))
-        for word, n in Counter(words).items():
-            k = self.number.get(word)
-            total += n * self.rows[self._row(word) if k is None else k]
+        total = self.rows[list(map(self.number.__getitem__, words))].sum(0)
         best = int(total.argmax())
         certain = (total - total[best]) * (min(len(words), FULL_EVIDENCE) / len(words))
         return self.model.langs[best], float(1.0 / np.exp(certain).sum())
@@ -179,7 +200,7 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], schema) -> DataFr
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer(t or "") for t in batch["text"].to_pylist()]
+            found = scorer([t or "" for t in batch["text"].to_pylist()])
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *added], names=[*columns, "lang_pred", "score"])
 
@@ -205,7 +226,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer(t or "")[0] for t in batch["text"].to_pylist()]
+            found = [f[0] for f in scorer([t or "" for t in batch["text"].to_pylist()])]
             columns = dict(zip(names, batch.columns)) | {"lang": pa.array(found, batch["lang"].type)}
             out = pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
             yield out.filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
