@@ -13,6 +13,7 @@ from brickline.llm.packing import pack_documents
 from brickline.llm.quality_rules import quality_report
 from brickline.llm.token_counts import count_tokens
 from brickline.llm.token_files import token_lengths, token_stream
+from brickline.llm.warc import capture_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +87,26 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
 from counted
 """
 
+# DuckDB has SHA-1 in base 16; 32 letters of five bits make the base-32 form of its 160 bits.
+OP8_SQL = r"""
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as hex from pages),
+first as (select hex, min(page_id) as least from p group by hex),
+bits as (
+  select page_id, string_agg(right(bin(('0x' || hex[i:i]) :: bigint + 16), 4), '' order by i) as b
+  from (select page_id, hex, unnest(generate_series(1, 40)) as i from p) group by page_id
+),
+named as (
+  select page_id, string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v:v], '' order by i) as payload_digest from (
+    select page_id, i, 1 + 16 * b[5 * i + 1] :: integer + 8 * b[5 * i + 2] :: integer + 4 * b[5 * i + 3] :: integer + 2 * b[5 * i + 4] :: integer + b[5 * i + 5] :: integer as v
+    from (select page_id, b, unnest(generate_series(0, 31)) as i from bits)
+  ) group by page_id
+)
+select page_id, octet_length(encode(h)) as payload_bytes, payload_digest,
+  case when page_id = least then 'response' else 'revisit' end as record_type,
+  case when page_id = least then null else least end as refers_to
+from p join first using (hex) join named using (page_id)
+"""
+
 
 @query("op1_quality_rules", OP1_SQL)
 def op1_quality_rules(spark, folder):
@@ -108,6 +129,12 @@ def op7_token_files(spark, folder):
     return token_stream(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op8_warc_index", OP8_SQL)
+def op8_warc_index(spark, folder):
+    index = capture_index(table(spark, folder, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_language_id")
 def op9_language_id(spark, folder):
     return identify(table(spark, folder, "documents"))
