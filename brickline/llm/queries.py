@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from brickline.llm.jaccard_join import near_duplicates
 from brickline.llm.language_id import identify
 from brickline.llm.packing import pack_documents
+from brickline.llm.piece_lattice import encode_digest
 from brickline.llm.quality_rules import quality_report
 from brickline.llm.token_counts import count_tokens
 from brickline.llm.token_files import token_lengths, token_stream
@@ -118,6 +119,11 @@ def op2_token_counts(spark, folder):
     return count_tokens(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024)
 
 
+@query("op3_sentencepiece_sampling")
+def op3_sentencepiece_sampling(spark, folder):
+    return encode_digest(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark, folder):
     lengths = token_lengths(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
