@@ -11,6 +11,7 @@ from brickline.llm.jaccard_join import near_duplicates
 from brickline.llm.language_id import identify
 from brickline.llm.packing import pack_documents
 from brickline.llm.piece_lattice import encode_digest
+from brickline.llm.quality_model import score_documents
 from brickline.llm.quality_rules import quality_report
 from brickline.llm.token_counts import count_tokens
 from brickline.llm.token_files import token_lengths, token_stream
@@ -130,6 +131,11 @@ def op4_best_fit_packing(spark, folder):
     return pack_documents(lengths.selectExpr("doc_id", "n_tokens + 1 as n_tokens"))
 
 
+@query("op6_quality_model")
+def op6_quality_model(spark, folder):
+    return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op7_token_files")
 def op7_token_files(spark, folder):
     return token_stream(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
