@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brickline.llm.jaccard_join import near_duplicates
 from brickline.llm.language_id import identify
+from brickline.llm.neighbours import nearest
 from brickline.llm.packing import pack_documents
 from brickline.llm.piece_lattice import encode_digest
 from brickline.llm.quality_model import score_documents
@@ -131,6 +132,11 @@ def op4_best_fit_packing(spark, folder):
     return pack_documents(lengths.selectExpr("doc_id", "n_tokens + 1 as n_tokens"))
 
 
+@query("op5_nearest_neighbours")
+def op5_nearest_neighbours(spark, folder):
+    return nearest(table(spark, folder, "embeddings"))
+
+
 @query("op6_quality_model")
 def op6_quality_model(spark, folder):
     return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
