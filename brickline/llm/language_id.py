@@ -27,6 +27,7 @@ LONGEST_GRAM = 4
 #: A word's first and last mark inside its n-grams; neither is a letter.
 FIRST, LAST = "<", ">"
 FLUSH = 200_000
+SHARES = 64
 #: Words of evidence at which a score stops growing more certain.
 FULL_EVIDENCE = 12
 UNKNOWN = "und"
@@ -95,10 +96,16 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def _most_frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """The ``most`` tokens of each key with the largest counts, ties to the smaller token, and the sum of all counts."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "token")
+    """The ``most`` tokens of each key with the largest counts, ties to the smaller token, and the sum of all counts.
+
+    Ranked in ``SHARES`` shares of a key's tokens first, so that one task never sees more than the best of each share.
+    """
+    share = F.pmod(F.xxhash64("token"), F.lit(SHARES))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank").join(totals, keys)
+    for parts in ([*keys, share], keys):
+        order = Window.partitionBy(*parts).orderBy(F.desc("n"), "token")
+        counts = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
+    return counts.join(totals, keys)
 
 
 class Model:
@@ -219,16 +226,24 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is found, with all their columns and ``lang`` as found; the others go."""
+    """The documents that have a letter, with all their columns and ``lang`` as found; the others go.
+
+    Where there was nothing to learn from, documents keep the language they came with.
+    """
     names, model = docs.columns, learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [f[0] for f in scorer([t or "" for t in batch["text"].to_pylist()])]
-            columns = dict(zip(names, batch.columns)) | {"lang": pa.array(found, batch["lang"].type)}
-            out = pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-            yield out.filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            columns = dict(zip(names, batch.columns))
+            if shared.value.langs:
+                found = [lang for lang, _ in scorer(texts)]
+                columns["lang"] = pa.array(found, batch["lang"].type)
+                good = [lang != UNKNOWN for lang in found]
+            else:
+                good = [bool(words_of(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -17,8 +17,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def held_out() -> Column:
-    """True for the third of the documents that no model may learn from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    """True for the third of the documents that no model may learn from; a null doc_id is not among them."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
