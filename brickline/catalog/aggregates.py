@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickline.bindings import Tables
-from brickline.catalog.registry import add_ctes, query, rounded
+from brickline.catalog.registry import NOISE_DIGITS, add_ctes, query, rounded
 from brickline.functions.text import strip_model_suffix
 from brickline.operators import aggregates, panel, quality, topk
 from brickline.plans import demographics, evaluate
@@ -101,27 +101,39 @@ def _(t: Tables) -> DataFrame:
     return rounded(out, "y", "yoy_pct", digits=4)
 
 
+def backtests_in_thousands(t: Tables) -> DataFrame:
+    """Prices in thousands, so that four digits of a squared error are within what a double holds."""
+    return all_backtests(t.series_dense).withColumns({c: F.col(c) / 1000 for c in ("y_true", "yhat")})
+
+
+def scores_in_thousands(t: Tables, with_horizon: bool = True) -> DataFrame:
+    """Scores without float noise, so that ties at the last digit round alike in both engines."""
+    scored = evaluate.score_models(backtests_in_thousands(t), with_horizon, digits=NOISE_DIGITS)
+    return rounded(scored, *evaluate.SCORE_COLUMNS, digits=4)
+
+
+add_ctes({"b_thousands": "select * replace (y_true / 1000 as y_true, yhat / 1000 as yhat) from b_backtests"})
 SCORES = """round(avg(abs(y_true - yhat)), 4) as mae, round(avg(abs((y_true - yhat) / y_true)) * 100, 4) as mape,
-    round(sqrt(avg((y_true - yhat) * (y_true - yhat))), 4) as rmse, round(avg((y_true - yhat) * (y_true - yhat)), 0) as mse,
+    round(sqrt(avg((y_true - yhat) * (y_true - yhat))), 4) as rmse, round(avg((y_true - yhat) * (y_true - yhat)), 4) as mse,
     round(1 - sum((y_true - yhat) * (y_true - yhat)) / nullif(var_pop(y_true) * count(*), 0), 4) as r2"""
 
 
 @query(
     "score_models",
     f"""select replace(model_name, '_backtest', '') as model_name, city, target, horizon_months, {SCORES}
-        from b_backtests group by 1, 2, 3, 4""",
+        from b_thousands group by 1, 2, 3, 4""",
 )
 def _(t: Tables) -> DataFrame:
-    scored = evaluate.score_models(all_backtests(t.series_dense), mse_digits=0)
+    scored = scores_in_thousands(t)
     return scored.withColumn("model_name", strip_model_suffix(F.col("model_name")))
 
 
 @query(
     "score_models_overall",
-    f"select model_name, city, target, {SCORES} from b_backtests group by 1, 2, 3",
+    f"select model_name, city, target, {SCORES} from b_thousands group by 1, 2, 3",
 )
 def _(t: Tables) -> DataFrame:
-    return evaluate.score_models(all_backtests(t.series_dense), with_horizon=False, mse_digits=0)
+    return scores_in_thousands(t, with_horizon=False)
 
 
 def best_sql(missing: str) -> str:
@@ -136,7 +148,7 @@ def best_sql(missing: str) -> str:
                 qualify row_number() over (partition by city, target order by v {sign}, model_name) = 1"""
         )
     return (
-        f"select * from (with scored as (select model_name, city, target, horizon_months, {SCORES} from b_backtests group by 1, 2, 3, 4) "
+        f"select * from (with scored as (select model_name, city, target, horizon_months, {SCORES} from b_thousands group by 1, 2, 3, 4) "
         + " union all ".join(parts)
         + ")"
     )
@@ -144,12 +156,12 @@ def best_sql(missing: str) -> str:
 
 @query("best_model_per_metric", best_sql("skip"))
 def _(t: Tables) -> DataFrame:
-    return evaluate.best_model_per_metric(evaluate.score_models(all_backtests(t.series_dense), mse_digits=0))
+    return evaluate.best_model_per_metric(scores_in_thousands(t))
 
 
 @query("best_model_per_metric_zero", best_sql("zero"))
 def _(t: Tables) -> DataFrame:
-    scored = evaluate.score_models(all_backtests(t.series_dense), mse_digits=0)
+    scored = scores_in_thousands(t)
     return evaluate.best_model_per_metric(scored, missing="zero")
 
 

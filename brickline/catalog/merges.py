@@ -18,6 +18,8 @@ add_ctes(
             join b_cities on s_nationkey = city_key""",
         "b_seen_last": """select * from b_seen qualify row_number() over (partition by listing_id
             order by date_posted desc, line desc, part desc, supp desc, price desc) = 1""",
+        "b_seen_first": """select * from b_seen qualify row_number() over (partition by listing_id
+            order by date_posted, line, part, supp, price) = 1""",
         "b_offered": """select listing_id, city, date_posted, case when listing_type = 'sale' then price end as price from b_sales""",
     }
 )
@@ -66,12 +68,12 @@ def _(t: Tables) -> DataFrame:
 @query(
     "upsert_coalesce",
     """select coalesce(n.listing_id, o.listing_id) as listing_id, case when n.listing_id is not null then n.city else o.city end as city,
-         greatest(o.date_posted, n.date_posted) as date_posted, coalesce(n.price, o.price) as price
-       from b_seen_last o full join b_offered n on o.listing_id = n.listing_id""",
+         greatest(o.date_posted, n.date_posted) as date_posted, coalesce(case when n.supp % 3 > 0 then n.price end, o.price) as price
+       from b_offered o full join b_seen_last n on o.listing_id = n.listing_id""",
 )
 def _(t: Tables) -> DataFrame:
-    stored = seen_last(t).select("listing_id", "city", "date_posted", "price")
-    return merge.upsert_coalesce(stored, offered(t), ["listing_id"], replace=["city"], greatest=["date_posted"])
+    incoming = seen(t).withColumn("price", F.when(F.col("supp") % 3 > 0, F.col("price")))
+    return merge.upsert_coalesce(offered(t), incoming, ["listing_id"], ["city"], ["date_posted"], ORDER)
 
 
 @query(
@@ -81,18 +83,19 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     stored = t.price_panel.select("city", "date", F.col("y").alias("price"), F.lit(None).cast("double").alias("rent"))
-    incoming = t.rent_panel.withColumnRenamed("y", "rent")
-    return rounded(merge.upsert_partial(stored, incoming, ["city", "date"], ["rent"]), "price", "rent", digits=4)
+    rent = t.rent_panel.withColumnRenamed("y", "rent")
+    incoming = rent.withColumn("run", F.lit(2)).unionByName(rent.withColumns({"run": F.lit(1), "rent": F.col("rent") * 2}))
+    out = merge.upsert_partial(stored, incoming, ["city", "date"], ["rent"], ["run"])
+    return rounded(out, "price", "rent", digits=4)
 
 
 @query(
     "insert_ignore",
-    """select listing_id, city, date_posted, price from b_seen_last
-       union all select * from b_offered where listing_id not in (select listing_id from b_seen)""",
+    """select * from b_offered
+       union all select listing_id, city, date_posted, price from b_seen_first where listing_id not in (select listing_id from b_offered)""",
 )
 def _(t: Tables) -> DataFrame:
-    stored = seen_last(t).select("listing_id", "city", "date_posted", "price")
-    return merge.insert_ignore(stored, offered(t), ["listing_id"])
+    return merge.insert_ignore(offered(t), seen(t), ["listing_id"], ORDER)
 
 
 @query("dedupe_keep_last", "select listing_id, city, date_posted, price, line, part, supp from b_seen_last")

@@ -11,14 +11,10 @@ from brickline.operators import reshape
 from brickline.plans import evaluate, features, serve
 from brickline.plans.baselines import all_backtests, forecast_drift, backtest_naive
 
-YEARS = [str(y) for y in range(1995, 2002)]
-
-
 @query("melt_years", "select city, year, cast(population as varchar) as population from b_annual")
 def _(t: Tables) -> DataFrame:
-    wide = t.annual.groupBy("city").agg(
-        *[F.max(F.when(F.col("year") == int(y), F.col("population").cast("string"))).alias(y) for y in YEARS]
-    )
+    years = [str(r["year"]) for r in t.annual.select("year").distinct().orderBy("year").collect()]
+    wide = t.annual.groupBy("city").pivot("year", years).agg(F.max(F.col("population").cast("string")))
     return reshape.melt_years(wide, ["city"], "population").filter("population is not null")
 
 
@@ -52,9 +48,10 @@ def _(t: Tables) -> DataFrame:
     "select date, city, round(y, 4) as value from b_price",
 )
 def _(t: Tables) -> DataFrame:
-    names = [f"NATION_{i}" for i in range(25)]
+    names = [r["city"] for r in t.cities.select("city").distinct().orderBy("city").collect()]
     matrix = t.price_panel.groupBy("date").agg(
-        *[F.max(F.when(F.col("city") == c, F.col("y"))).alias(c) for c in names], F.avg("y").alias("Composite_HPI")
+        *[F.max(F.when(F.col("city") == c, F.col("y"))).alias(c) for c in names],
+        *[F.avg("y").alias(c) for c in ("Composite_HPI", "Apartment", "Single_Family_Benchmark", "Detached")],
     )
     return rounded(reshape.melt_city_matrix(matrix, "date"), "value", digits=4)
 
@@ -71,7 +68,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("nest_by_model")
 def _(t: Tables) -> DataFrame:
-    return serve.serve_model_comparison(evaluate.score_models(all_backtests(t.series_dense), mse_digits=0))
+    return serve.serve_model_comparison(evaluate.score_models(all_backtests(t.series_dense)))
 
 
 @query(
@@ -79,12 +76,11 @@ def _(t: Tables) -> DataFrame:
     """select city, target, horizon_months, round(max(yhat) filter (where model_name = 'naive_backtest'), 4) as naive_backtest,
          round(max(yhat) filter (where model_name = 'seasonal_naive_backtest'), 4) as seasonal_naive_backtest,
          round(max(yhat) filter (where model_name = 'ar1_backtest'), 4) as ar1_backtest
-       from b_backtests where horizon_months <= 12 group by 1, 2, 3""",
+       from b_backtests group by 1, 2, 3""",
 )
 def _(t: Tables) -> DataFrame:
     models = ["naive_backtest", "seasonal_naive_backtest", "ar1_backtest"]
-    near = all_backtests(t.series_dense).filter("horizon_months <= 12")
-    out = reshape.pivot_by_key(near, ["city", "target", "horizon_months"], "model_name", models, "yhat")
+    out = reshape.pivot_models_by_horizon(all_backtests(t.series_dense), models)
     return rounded(out, *models, digits=4)
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,22 +83,6 @@ def _(t: Tables) -> DataFrame:
     return readers.flatten_observations(t.raw("events").select(payload.alias("p")), "p", OBS_ALIAS, "series_")
 
 
-def zip_of_city(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One archive per city holding a note and the annual table."""
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("readme.txt", "annual table")
-        z.writestr("notes.csv", "note\nnone\n")
-        z.writestr("table.csv", pdf[["city", "year", "population"]].to_csv(index=False))
-    return pd.DataFrame({"path": [pdf["city"].iloc[0]], "content": [buffer.getvalue()]})
-
-
-@query("read_zipped_table", "select city as path, city, year, population from b_annual")
-def _(t: Tables) -> DataFrame:
-    files = t.annual.groupBy("city").applyInPandas(zip_of_city, "path string, content binary")
-    return readers.read_zipped_table(files, "city string, year int, population bigint", prefer_city=True)
-
-
 @query(
     "union_sheets",
     """select city, date, round(y, 4) as benchmark from b_price""",
@@ -114,8 +94,8 @@ def _(t: Tables) -> DataFrame:
         "date",
         F.round(F.round("y", 9), 4).alias("benchmark"),
     ).write.option("header", True).partitionBy("sheet").csv(path)
-    sheets = {f"SHEET-{i}": f"NATION_{i}" for i in range(25)}
-    raw = readers.union_sheets(t.spark, path, sheets)
+    cities = [r["city"] for r in t.cities.select("city").distinct().collect()]
+    raw = readers.union_sheets(t.spark, path, {c.replace("NATION_", "SHEET-"): c for c in cities})
     return raw.select("city", F.col("date").cast("date").alias("date"), F.col("benchmark").cast("double").alias("benchmark"))
 
 

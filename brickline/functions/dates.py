@@ -63,22 +63,28 @@ def parse_mon_year(c: Column) -> Column:
     return F.try_to_date(F.trim(c), "MMM yyyy")
 
 
+def _month_number(word: Column) -> Column:
+    """1 to 12 for a word that begins with a month's short name, else null."""
+    short = F.array(*map(F.lit, MONTH_ABBREVIATIONS))
+    return F.nullif(F.array_position(short, F.left(F.lower(word), F.lit(3))), F.lit(0)).cast("int")
+
+
 def month_from_filename(name: Column, run_date: Column) -> Column:
-    """Month encoded in a file name; without one, the month before ``run_date``."""
-    low = F.lower(name)
-    digits = r"(20\d{2})[-_](1[0-2]|0?[1-9])"
-    words = r"(" + "|".join(MONTH_ABBREVIATIONS) + r")[a-z]*[_-]?(20\d{2})"
-    numeric = F.when(
-        low.rlike(digits), _first_of(F.regexp_extract(low, digits, 1), F.regexp_extract(low, digits, 2))
-    )
-    named = F.when(
-        low.rlike(words),
-        F.try_to_date(
-            F.concat(F.initcap(F.regexp_extract(low, words, 1)), F.lit(" "), F.regexp_extract(low, words, 2)),
-            "MMM yyyy",
-        ),
-    )
-    return F.coalesce(numeric, named, F.add_months(F.trunc(run_date.cast("date"), "MM"), -1))
+    """Month next to the year in a file name; without one, the month before ``run_date``.
+
+    The name is cut into runs of letters and of digits. The month is the number after the year, or the month name
+    before or after it.
+    """
+    runs = F.regexp_extract_all(F.lower(name), F.lit("([a-z]+|[0-9]+)"), 1)
+
+    def read(parts: Column) -> Column:
+        year_at = F.array_position(F.transform(parts, lambda p: p.rlike("^20[0-9]{2}$")), True).cast("int") - 1
+        before, year, after = (F.get(parts, year_at + k) for k in (-1, 0, 1))
+        number = after.try_cast("int")
+        month = F.coalesce(F.when(number.between(1, 12), number), _month_number(before), _month_number(after))
+        return F.when(year_at >= 0, F.make_date(year.try_cast("int"), month, F.lit(1)))
+
+    return F.coalesce(once(runs, read), F.add_months(F.trunc(run_date.cast("date"), "MM"), -1))
 
 
 def extract_year(c: Column) -> Column:
@@ -91,15 +97,12 @@ def year_start(year: Column) -> Column:
 
 
 def parse_posted_date(c: Column) -> Column:
-    """``Sep 10, 2025`` or ``September 10, 2025`` anywhere in the text, else null."""
-    pattern = r"(\w{3,9})\s+(\d{1,2}),\s*(\d{4})"
-    hit = F.concat_ws(" ", *[F.regexp_extract(c, pattern, i) for i in (1, 2, 3)])
-    return once(
-        hit,
-        lambda h: F.when(h.rlike(r"^[A-Za-z]{3} "), F.try_to_date(h, "MMM d yyyy")).when(
-            h.rlike(r"^[A-Za-z]{4,} "), F.try_to_date(h, "MMMM d yyyy")
-        ),
-    )
+    """The first ``month-name day, year`` of the text, names in full or short, else null."""
+    names = "|".join(MONTH_ABBREVIATIONS)
+    shape = rf"(?i)\b((?:{names})[a-z]*)[.]?\s+([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+([0-9]{{4}})\b"
+    month, day, year = (F.regexp_extract(c, shape, k) for k in (1, 2, 3))
+    text = F.concat_ws("-", year, _month_number(month).cast("string"), day)
+    return F.when(year != "", F.try_to_date(text, "yyyy-M-d"))
 
 
 def months_since(c: Column, cutoff: str) -> Column:

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brickline.functions.numbers import once
 
-# Target geographies in contains-rule order.
+# Target geographies, the first one named in a label counts.
 CANONICAL_GEOS = ["Kelowna", "Vancouver", "Toronto", "Canada"]
-# Province names and short forms cut from geography labels.
-PROVINCES = [
-    "british columbia", "ontario", "alberta", "saskatchewan", "manitoba", "quebec", "nova scotia",
-    "new brunswick", "newfoundland and labrador", "prince edward island", "yukon",
-    "northwest territories", "nunavut",
-]
-PROVINCE_SHORT = ["bc", "ont", "ab", "mb", "qc", "ns", "nb", "nl", "pe", "yt", "nt", "nu", "c\\-b"]
-AREA_SUFFIXES = ["cma", "ca", "census metropolitan area", "census agglomeration"]
-# Spellings of each bedroom class.
+# Number words of bedroom labels, from zero.
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five"]
+# Names of a dwelling without a separate bedroom.
+NO_BEDROOM = ["studio", "bachelor"]
 # Spellings that name a target city.
 CITY_SPELLINGS = {
     "vancouver, bc": "Vancouver",
@@ -30,13 +26,31 @@ CITY_SPELLINGS = {
     "kelowna, bc": "Kelowna",
     "kelowna": "Kelowna",
 }
-# Accented letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-# Square feet per square metre, property-type width, postal code pattern.
+# Square feet per square metre; letters that no accent rule takes apart.
 SQFT_PER_M2 = 10.7639
-PROPERTY_TYPE_WIDTH = 50
-POSTAL_PATTERN = r"(?i)\b([A-CEGHJ-NPR-TVXY]\d[A-CEGHJ-NPR-TV-Z])\s?(\d[ A-CEGHJ-NPR-TV-Z]\d)\b"
+OWN_LETTERS = {"Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "ss", "Þ": "Th", "þ": "th"}
+STROKED = {"Ł": "L", "ł": "l", "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ħ": "H", "ħ": "h", "ı": "i"}
+# Public rule of postal codes: letter digit letter, digit letter digit; D F I O Q U are not used, W and Z not in front.
+POSTAL_FRONT, POSTAL_LETTER = "ABCEGHJ-NPRSTVXY", "ABCEGHJ-NPRSTV-Z"
+POSTAL_CODE = rf"(?i)\b([{POSTAL_FRONT}][0-9][{POSTAL_LETTER}])[ -]?([0-9][{POSTAL_LETTER}][0-9])\b"
+# A count, with a half where there is one, and the words that may follow it.
+COUNT = r"(?i)\b([0-9]{1,3}(?:[.][0-9])?)[ -]*"
+BED_WORDS, BATH_WORDS = r"(?:bed|bdrm|br\b)", r"(?:bath|ba\b)"
+AMOUNT = r"(?i)\b([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)\s*"
+SQFT_WORDS, M2_WORDS = r"(?:sq[.]?\s*ft|square f(?:ee|oo)t|ft²|ft2)", r"(?:m2|m²|sq[.]?\s*m\b|square met)"
+
+
+def _plain_letters() -> dict[str, str]:
+    """Each accented Latin letter below U+0250 with the letter it is made from."""
+    table = dict(STROKED)
+    for code in range(0xC0, 0x250):
+        base = unicodedata.normalize("NFD", chr(code))[0]
+        if base != chr(code) and base.isascii():
+            table[chr(code)] = base
+    return table
+
+
+PLAIN_LETTERS = _plain_letters()
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
@@ -46,27 +60,21 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Latin letters without their accents; ligatures are written out."""
+    c = F.translate(c, "".join(PLAIN_LETTERS), "".join(PLAIN_LETTERS.values()))
+    for letter, plain in OWN_LETTERS.items():
+        c = F.replace(c, F.lit(letter), F.lit(plain))
+    return c
 
 
 def canonical_geo(c: Column) -> Column:
-    """Messy geography label to one of the four target names, else null."""
-    suffix = "|".join(AREA_SUFFIXES)
-    s = F.trim(F.lower(strip_accents(c)))
-    s = F.regexp_replace(s, r"\s+", " ")
-    s = F.regexp_replace(s, rf"\s*\(({suffix})\)$", "")
-    s = F.regexp_replace(s, rf"\s*({suffix})$", "")
-    s = F.regexp_replace(s, r",\s*(" + "|".join(PROVINCES) + r")\b", "")
-    s = F.trim(F.regexp_replace(s, r",\s*\b(" + "|".join(PROVINCE_SHORT) + r")\b\.?", ""))
+    """The first target geography whose name is a word of the label, else null."""
+    words = F.split(F.lower(strip_accents(c)), "[^a-z]+")
 
-    def first_contained(label: Column) -> Column:
-        ladder = F
-        for geo in CANONICAL_GEOS:
-            ladder = ladder.when(label.contains(geo.lower()), geo)
-        return ladder
+    def named(tokens: Column) -> Column:
+        return F.coalesce(*(F.when(F.array_contains(tokens, geo.lower()), geo) for geo in CANONICAL_GEOS))
 
-    # A label that equals a target also contains it, so the ordered ladder covers both rules.
-    return once(s, first_contained)
+    return once(words, named)
 
 
 def clean_geo_label(c: Column) -> Column:
@@ -81,28 +89,15 @@ def map_city_or_title(c: Column, spellings: dict[str, str] | None = None) -> Col
     return F.coalesce(lookup(key, spellings or CITY_SPELLINGS), F.initcap(key))
 
 
-def _bedroom_class(digit: int) -> str:
-    return "4BR+" if digit >= 4 else f"{digit}BR"
-
-
-def bedroom_spellings() -> dict[str, str]:
-    """Every accepted spelling, built from the digit and its word."""
-    table = {"studio": "0BR", "bachelor": "0BR"}
-    for n, word in enumerate(NUMBER_WORDS):
-        forms = [f"{n}", f"{n} br", f"{n}br", f"{n}-bedroom", f"{n} bedroom"]
-        if n > 0:
-            forms.append(f"{word} bedroom")
-        table.update({form: _bedroom_class(n) for form in forms})
-    return table
-
-
 def normalise_bedrooms(c: Column) -> Column:
-    """Bedroom label to ``0BR .. 4BR+``; outside the known classes null."""
+    """Bedroom label to ``0BR .. 4BR+``: its first number, or the number word or dwelling name it starts with; above five null."""
     label = F.lower(F.trim(c.cast("string")))
-    digits = F.regexp_extract(label, r"(\d+)", 1)
-    return F.coalesce(
-        lookup(label, bedroom_spellings()), lookup(digits, {str(n): _bedroom_class(n) for n in range(5)})
+    first_word = F.regexp_extract(label, "^([a-z]+)", 1)
+    word = F.nullif(F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), first_word), F.lit(0)) - 1
+    number = F.coalesce(
+        F.regexp_extract(label, "([0-9]+)", 1).try_cast("int"), word.cast("int"), F.when(first_word.isin(NO_BEDROOM), 0)
     )
+    return once(number, lambda n: F.when(n <= 3, F.concat(n.cast("string"), F.lit("BR"))).when(n < len(NUMBER_WORDS), "4BR+"))
 
 
 def normalise_property_type(c: Column) -> Column:
@@ -113,7 +108,7 @@ def normalise_property_type(c: Column) -> Column:
         .when(low.contains("condo"), "Condo")
         .when(low.rlike("apartment|suite"), "Apartment")
         .when(low.rlike("house|detached|home"), "Detached")
-        .otherwise(F.left(F.initcap(F.trim(c)), F.lit(PROPERTY_TYPE_WIDTH)))
+        .otherwise(F.initcap(F.trim(c)))
     )
 
 
@@ -127,7 +122,7 @@ def breadcrumb_property_type(c: Column) -> Column:
         .when(low.contains("apartment"), "Apartment")
         .when(low.contains("town"), "Townhouse")
         .when(low.contains("house"), "Detached")
-        .otherwise(F.left(tail, F.lit(PROPERTY_TYPE_WIDTH)))
+        .otherwise(tail)
     )
 
 
@@ -141,22 +136,23 @@ def parse_price(c: Column) -> Column:
 
 
 def parse_beds(c: Column) -> Column:
-    return _number_at(c, r"(?i)(\d+(?:\.\d+)?)\s*(?:bed|br)", "double")
+    return _number_at(c, COUNT + BED_WORDS, "double")
 
 
 def parse_baths(c: Column) -> Column:
-    return _number_at(c, r"(?i)(\d+(?:\.\d+)?)\s*ba", "double")
+    return _number_at(c, COUNT + BATH_WORDS, "double")
 
 
 def parse_area_sqft(c: Column) -> Column:
-    sqft = _number_at(c, r"(?i)(\d[\d,]*)\s*(?:sq\s*ft|ft²)", "bigint")
-    metres = _number_at(c, r"(?i)(\d[\d,]*)\s*m2", "double")
-    return F.coalesce(sqft, F.round(metres * SQFT_PER_M2).cast("bigint"))
+    """Whole square feet; square metres are converted."""
+    metres = _number_at(c, AMOUNT + M2_WORDS, "double")
+    return F.coalesce(_number_at(c, AMOUNT + SQFT_WORDS, "bigint"), F.round(metres * SQFT_PER_M2).cast("bigint"))
 
 
 def extract_postal_code(c: Column) -> Column:
-    code = F.upper(F.regexp_replace(F.regexp_extract(c, POSTAL_PATTERN, 0), r"\s", ""))
-    return once(code, lambda v: F.when(v != "", F.concat(F.left(v, F.lit(3)), F.lit(" "), F.substring(v, 4, 10))))
+    """The first postal code of the text as ``A1A 1A1``, else null."""
+    halves = [F.upper(F.regexp_extract(c, POSTAL_CODE, k)) for k in (1, 2)]
+    return F.when(halves[0] != "", F.concat_ws(" ", *halves))
 
 
 def listing_id(source: str, url: Column, native_id: Column | None = None) -> Column:

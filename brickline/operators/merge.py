@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickline.session import settle
+
 
 def _pick_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     """One whole row per key through a mergeable aggregate.
@@ -53,18 +55,35 @@ def _no_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
 
 
+def _reduced(incoming: DataFrame, keys: Sequence[str], order: Sequence[str], pick=F.max_by) -> DataFrame:
+    """One incoming row per key, written once: it is used by several joins, and its size tells whether to broadcast it."""
+    order = order or [c for c in incoming.columns if c not in keys]
+    require_columns(incoming, [*keys, *order])
+    known = _no_null_keys(incoming, keys)
+    return settle(_pick_row(known, keys, order, pick) if order else known.distinct(), "incoming")
+
+
+def _merged(existing: DataFrame, fresh: DataFrame, keys: Sequence[str], policy) -> DataFrame:
+    """Stored rows without a new one as they are, and a row per new key from it and the stored row it meets.
+
+    The stored table meets only the new keys, once to leave them out and once to find them, so a small refresh does
+    not move it. It must hold one row per key.
+    """
+    wanted = fresh.select(*keys)
+    kept = existing.join(wanted, list(keys), "left_anti").select(*existing.columns)
+    touched = existing.join(wanted, list(keys), "left_semi")
+    old = touched.select(*[F.col(c).alias(c if c in keys else f"__old_{c}") for c in existing.columns])
+    met = fresh.join(old, list(keys), "left")
+    return kept.unionByName(met.select(*[F.col(c) if c in keys else policy(c).alias(c) for c in existing.columns]))
+
+
 def upsert_last_wins(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """Insert or replace whole rows by key; among incoming copies the last by ``order`` wins.
-
-    The stored table only meets the distinct incoming keys in an anti join, so a
-    small refresh against a large table needs no shuffle of the table.
-    """
-    require_columns(incoming, [*keys, *order])
-    fresh = dedupe_keep_last(_no_null_keys(incoming, keys), keys, order).select(*existing.columns)
+    """Insert or replace whole rows by key; among incoming copies the last by ``order`` wins, null keys are left out."""
+    fresh = _reduced(incoming, keys, order)
     kept = existing.join(fresh.select(*keys), list(keys), "left_anti")
-    return kept.select(*existing.columns).unionByName(fresh)
+    return kept.select(*existing.columns).unionByName(fresh.select(*existing.columns))
 
 
 def upsert_coalesce(
@@ -73,48 +92,42 @@ def upsert_coalesce(
     keys: Sequence[str],
     replace: Sequence[str] = (),
     greatest: Sequence[str] = (),
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Per-column policy on conflict: replace, keep the greatest, else new-if-present.
 
-    Both sides must hold one row per key.
+    Among incoming copies of a key the last by ``order`` counts, by all other columns where none is given.
     """
-    e, i = existing.alias("e"), incoming.alias("i")
-    on = reduce(lambda a, b: a & b, [F.col(f"e.{k}") == F.col(f"i.{k}") for k in keys])
-    in_new = F.col(f"i.{keys[0]}").isNotNull()
 
     def policy(c: str) -> Column:
-        old, new = F.col(f"e.{c}"), F.col(f"i.{c}")
         if c in replace:
-            return F.when(in_new, new).otherwise(old)
-        if c in greatest:
-            return F.greatest(old, new)
-        return F.coalesce(new, old)
+            return F.col(c)
+        return F.greatest(f"__old_{c}", c) if c in greatest else F.coalesce(c, f"__old_{c}")
 
-    joined = e.join(i, on, "full_outer")
-    return joined.select(*[policy(c).alias(c) for c in existing.columns])
+    return _merged(existing, _reduced(incoming, keys, order), keys, policy)
 
 
 def upsert_partial(
-    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], measures: Sequence[str]
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], measures: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:
-    """Insert or update only ``measures``; the other stored columns stay untouched."""
-    e, i = existing.alias("e"), incoming.alias("i")
-    on = reduce(lambda a, b: a & b, [F.col(f"e.{k}") == F.col(f"i.{k}") for k in keys])
-    in_new = F.col(f"i.{keys[0]}").isNotNull()
-    out = []
-    for c in existing.columns:
-        if c in keys:
-            out.append(F.coalesce(F.col(f"e.{c}"), F.col(f"i.{c}")).alias(c))
-        elif c in measures:
-            out.append(F.when(in_new, F.col(f"i.{c}")).otherwise(F.col(f"e.{c}")).alias(c))
-        else:
-            out.append(F.col(f"e.{c}").alias(c))
-    return e.join(i, on, "full_outer").select(*out)
+    """Insert or update only ``measures``; the other stored columns stay untouched. Copies of a key as in ``upsert_coalesce``."""
 
+    def policy(c: str) -> Column:
+        return F.col(c) if c in measures else F.col(f"__old_{c}")
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add only rows whose key is not stored yet."""
-    new = incoming.join(existing.select(*keys), list(keys), "left_anti")
+    fresh = _reduced(incoming, keys, order).select(*keys, *measures)
+    return _merged(existing, fresh, keys, policy)
+
+
+def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Add only rows whose key is not stored yet, of incoming copies the first by ``order``, by all other columns where
+    none is given.
+
+    The new rows come from the incoming keys that the stored table does not hold; stored rows are only probed.
+    """
+    fresh = _reduced(incoming, keys, order, F.min_by)
+    held = existing.join(fresh.select(*keys), list(keys), "left_semi").select(*keys)
+    new = fresh.join(held, list(keys), "left_anti")
     return existing.unionByName(new.select(*existing.columns))
 
 

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 # Column names that are measures and not cities.
 MEASURE_WORDS = ["date", "sa", "nsa", "hpi", "benchmark", "composite", "index", "price", "average"]
-# Column-name preference, best first.
-PREFERRED_COLUMNS = [r"composite.*hpi.*\bsa\b", r"composite.*hpi", r"\bhpi\b", r"benchmark.*\bsa\b", r"benchmark"]
+# Words of housing types, whose columns are no cities and no overall index.
+HOUSING_WORDS = ["apartment", "condo", "detached", "family", "house", "row", "single", "storey", "story", "townhouse", "unit"]
+# What an overall index column is named by, best first.
+INDEX_WORDS = [("composite", "hpi", "sa"), ("composite", "hpi"), ("composite", "benchmark", "sa"), ("composite", "benchmark"),
+               ("hpi", "sa"), ("hpi",), ("benchmark", "sa"), ("benchmark",)]
 
 
-def _plain(name: str) -> str:
-    return re.sub(r"[_\s]+", " ", name).lower()
+def _words(name: str) -> set[str]:
+    return set(re.findall(r"[a-z0-9]+", name.lower()))
 
 
 def melt_years(df: DataFrame, ids: Sequence[str], value: str) -> DataFrame:
@@ -37,9 +40,9 @@ def melt_measures(
 
 
 def melt_city_matrix(df: DataFrame, date: str, value: str = "value") -> DataFrame:
-    """City columns to rows; columns whose name holds a measure word are left out."""
-    words = {w for w in MEASURE_WORDS}
-    cities = [c for c in df.columns if c != date and not words & set(_plain(c).split())]
+    """City columns to rows; columns whose name holds a word of a measure or a housing type are left out."""
+    other = {*MEASURE_WORDS, *HOUSING_WORDS}
+    cities = [c for c in df.columns if c != date and not other & _words(c)]
     return melt_measures(df, [date], {c: c for c in cities}, "city", value)
 
 
@@ -60,10 +63,11 @@ def pivot_metrics(
 
 
 def pick_best_column(columns: Sequence[str]) -> str | None:
-    """First column by preference: composite HPI (SA), HPI, benchmark (SA), benchmark."""
-    for pattern in PREFERRED_COLUMNS:
-        for c in columns:
-            if re.search(pattern, _plain(c)):
+    """The overall index column: composite before plain, HPI before benchmark, adjusted before raw; never a housing type's."""
+    overall = [c for c in columns if not _words(c) & set(HOUSING_WORDS)]
+    for wanted in INDEX_WORDS:
+        for c in overall:
+            if set(wanted) <= _words(c):
                 return c
     return None
 
@@ -91,3 +95,9 @@ def pivot_by_key(
 ) -> DataFrame:
     """One column per listed name, aligned by key; one value per key and name."""
     return df.groupBy(*keys).agg(*[F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names])
+
+
+def pivot_models_by_horizon(forecasts: DataFrame, models: Sequence[str], horizon: int | None = None) -> DataFrame:
+    """One column per model and one row per series and horizon, up to the selected horizon or all of them."""
+    near = forecasts if horizon is None else forecasts.filter(F.col("horizon_months") <= horizon)
+    return pivot_by_key(near, ["city", "target", "horizon_months"], "model_name", models, "yhat")

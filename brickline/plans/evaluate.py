@@ -10,7 +10,7 @@ SCORE_COLUMNS = ["mae", "mape", "rmse", "mse", "r2"]
 LARGER_IS_BETTER = "r2"
 
 
-def score_models(predictions: DataFrame, with_horizon: bool = True, digits: int = 4, mse_digits: int = 4) -> DataFrame:
+def score_models(predictions: DataFrame, with_horizon: bool = True, digits: int = 4) -> DataFrame:
     """MAE, MAPE %, RMSE, MSE and R2 per series and model; R2 is null without variance."""
     keys = ["model_name", "city", "target"] + (["horizon_months"] if with_horizon else [])
     e = F.col("y_true") - F.col("yhat")
@@ -22,7 +22,7 @@ def score_models(predictions: DataFrame, with_horizon: bool = True, digits: int
             F.round(F.avg(F.abs(e)), digits).alias("mae"),
             F.round(F.avg(F.abs(F.try_divide(e, F.col("y_true")))) * 100, digits).alias("mape"),
             F.round(F.sqrt(F.avg(e * e)), digits).alias("rmse"),
-            F.round(F.avg(e * e), mse_digits).alias("mse"),
+            F.round(F.avg(e * e), digits).alias("mse"),
             F.round(1 - F.try_divide(sse, F.var_pop("y_true") * F.count("y_true")), digits).alias("r2"),
         )
     )

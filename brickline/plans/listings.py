@@ -15,11 +15,6 @@ from brickline.operators.merge import dedupe_keep_last
 from brickline.operators.reshape import first_present
 from brickline.session import settle
 
-# Column widths of the listing table.
-URL_WIDTH = 500
-DESCRIPTION_WIDTH = 5000
-POSTAL_WIDTH = 20
-LISTING_TYPE_WIDTH = 10
 # Accepted column names of rent files, best first.
 CITY_NAMES = ["city", "location", "market", "metro"]
 BEDROOM_NAMES = ["bedroom", "bedrooms", "bedroom_type", "type"]
@@ -28,10 +23,6 @@ AVERAGE_NAMES = ["average_rent", "avg", "average rent", "avg_rent", "average_ren
 MONTH_NAMES = ["month", "date", "period"]
 
 
-def _cut(c: Column, width: int) -> Column:
-    return F.left(c, F.lit(width))
-
-
 def normalise_listings(
     postings: DataFrame, source: str, city: str, listing_type: str = "rent", city_names: Sequence[str] = ()
 ) -> DataFrame:
@@ -56,19 +47,19 @@ def normalise_listings(
     wanted = F.lower(F.trim("city")).isin(names) if names else F.lit(True)
     return postings.filter(wanted).select(
         text.listing_id(source, F.col("url"), native).alias("listing_id"),
-        _cut(F.col("url"), URL_WIDTH).alias("url"),
+        "url",
         posted.alias("date_posted"),
         posted.isNull().alias("is_date_missing"),
         (F.lit(city) if city else F.col("city")).alias("city"),
-        _cut(postal, POSTAL_WIDTH).alias("postal_code"),
+        postal.alias("postal_code"),
         kind.alias("property_type"),
-        F.lit(listing_type[:LISTING_TYPE_WIDTH]).alias("listing_type"),
+        F.lit(listing_type).alias("listing_type"),
         text.parse_price(F.regexp_extract(body, r"(\$\s?\d[\d,]*)", 1)).alias("price"),
         F.coalesce(beds, text.parse_beds(chunk)).alias("bedrooms"),
         F.coalesce(baths, text.parse_baths(chunk)).alias("bathrooms"),
         text.parse_area_sqft(chunk).alias("area_sqft"),
         F.lit(None).cast("int").alias("year_built"),
-        F.nullif(_cut(F.trim(details), DESCRIPTION_WIDTH), F.lit("")).alias("description"),
+        F.nullif(F.trim(details), F.lit("")).alias("description"),
     )
 
 

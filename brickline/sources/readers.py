@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +18,6 @@ from brickline.operators.merge import require_columns
 # National metrics belong to this city name.
 NATIONAL = "Canada"
 SEPARATORS = [",", ";", "\t"]
-# Header words that mark a table with a city column.
-CITY_WORDS = ["city", "location", "market", "metro", "geo", "geography"]
-LINES_PER_BATCH = 10_000
 
 
 def read_metric_csv(spark: SparkSession, paths: Sequence[str], metric: str, source: str) -> DataFrame:
@@ -40,11 +35,24 @@ def read_metric_csv(spark: SparkSession, paths: Sequence[str], metric: str, sour
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text whose separator (comma, semicolon, tab) is taken from its header line."""
-    header = spark.read.text(path).first()
-    line = header[0] if header else ""
-    sep = next((s for s in SEPARATORS if s in line), ",")
-    return spark.read.option("header", True).option("sep", sep).csv(path)
+    """Delimited text; each file's separator is the one that cuts its header line into the most columns.
+
+    Separators inside quotes do not count. Files with different columns are joined by name.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
+    )
+    heads = lines.withColumn("place", F.monotonically_increasing_id()).filter("at = 0").groupBy("file").agg(F.min_by("value", "place").alias("head"))
+    bare = F.regexp_replace("head", '"[^"]*"', "")
+    cuts = [F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in SEPARATORS]
+    best = F.coalesce(*(F.when(n == F.greatest(*cuts), F.lit(s)) for n, s in zip(cuts, SEPARATORS)))
+    name = F.try_url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    files: dict[str, list[str]] = {}
+    for row in heads.select(name.alias("file"), best.alias("sep")).collect():
+        files.setdefault(row["sep"], []).append(row["file"])
+    read = lambda sep, where: spark.read.option("header", True).option("sep", sep).csv(where)
+    parts = [read(sep, sorted(files[sep])) for sep in SEPARATORS if sep in files]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else read(SEPARATORS[0], path)
 
 
 def read_json_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -79,52 +87,8 @@ def series_name(sid: Column, alias: dict[str, str], prefix: str) -> Column:
     return F.coalesce(lookup(sid, alias), named) if alias else named
 
 
-def _member(archive: zipfile.ZipFile, prefer_city: bool) -> str | None:
-    names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
-    if prefer_city:
-        for n in names:
-            with archive.open(n) as f:
-                header = f.readline().decode("utf-8-sig", "replace").lower()
-            if any(w in [c.strip(' "\r\n') for c in header.split(",")] for w in CITY_WORDS):
-                return n
-    return names[0] if names else None
-
-
-def unzip_lines(files: DataFrame, prefer_city: bool = False) -> DataFrame:
-    """``path, content`` rows of ZIP files to ``path, member, line_no, line``.
-
-    Each archive is one task's work and its chosen member is streamed out in
-    batches; the lines are parsed afterwards by Spark.
-    """
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    name = _member(archive, prefer_city)
-                    if name is None:
-                        continue
-                    with archive.open(name) as f:
-                        rows = []
-                        for no, raw in enumerate(io.TextIOWrapper(f, "utf-8-sig", newline="\n")):
-                            rows.append((path, name, no, raw.rstrip("\r\n")))
-                            if len(rows) >= LINES_PER_BATCH:
-                                yield pd.DataFrame(rows, columns=["path", "member", "line_no", "line"])
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=["path", "member", "line_no", "line"])
-
-    return files.select("path", "content").mapInPandas(lines, "path string, member string, line_no long, line string")
-
-
-def read_zipped_table(files: DataFrame, schema: str, prefer_city: bool = False) -> DataFrame:
-    """CSV member of each archive as typed rows; the header line is skipped."""
-    parsed = unzip_lines(files, prefer_city).filter("line_no > 0 and line <> ''")
-    return parsed.select("path", F.from_csv("line", schema).alias("r")).select("path", "r.*")
-
-
 def union_sheets(spark: SparkSession, path: str, sheets: dict[str, str]) -> DataFrame:
-    """Exported sheets below ``path`` (``sheet=<name>/``) as one table with the mapped city."""
+    """Exported sheets below ``path`` (``sheet=<name>/``) as one table with the mapped city; an unmapped sheet keeps its name."""
     raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
     sheet = F.regexp_extract(F.col("_metadata.file_path"), r"sheet=([^/]+)/", 1)
-    return raw.select("*", lookup(sheet, sheets).alias("city")).filter("city is not null")
+    return raw.select("*", (F.coalesce(lookup(sheet, sheets), sheet) if sheets else sheet).alias("city"))

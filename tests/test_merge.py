@@ -86,3 +86,32 @@ def test_retain_keeps_the_boundary_day(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 1, 2),)], "d date")
     kept = merge.retain_recent(df, "d", F.lit("2024-04-01").cast("date"), 90)
     assert rows(kept) == [(dt.date(2024, 1, 2),)]
+
+
+def test_copies_of_an_incoming_key_count_once(spark):
+    old = spark.createDataFrame([("a", 0, 1)], SCHEMA)
+    new = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("b", 2, 7), ("b", 1, 8), (None, 1, 1)], SCHEMA)
+    assert rows(merge.insert_ignore(old, new, ["k"], ["seq"])) == [("a", 0, 1), ("b", 1, 8)]
+    assert rows(merge.upsert_coalesce(old, new, ["k"], order=["seq"])) == [("a", 2, 1), ("b", 2, 7)]
+    assert rows(merge.upsert_partial(old, new, ["k"], ["v"], ["seq"])) == [("a", 0, None), ("b", None, 7)]
+
+
+@pytest.mark.parametrize("name", ["upsert_last_wins", "upsert_coalesce", "upsert_partial", "insert_ignore"])
+def test_stored_rows_do_not_move_for_a_small_refresh(spark, name):
+    path = new_table_path(spark, "stored-rows")
+    spark.range(20_000).selectExpr("cast(id as string) as k", "0 as seq", "1 as v").write.parquet(path)
+    new = spark.createDataFrame([("7", 1, 5), ("x", 1, 6)], SCHEMA)
+    arguments = {"upsert_last_wins": [["seq"]], "upsert_partial": [["v"]]}.get(name, [])
+    out = getattr(merge, name)(spark.read.parquet(path), new, ["k"], *arguments)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert out.count() == 20_001
+
+
+def test_long_listing_text_is_kept_whole(spark):
+    from brickline.plans.listings import normalise_listings
+
+    url, details = "http://x.example/" + "u" * 600, "d" * 6000
+    posts = spark.createDataFrame([(url, "t" * 80, "b", details, "Kelowna", None)], "url string, title string, body string, details string, city string, breadcrumb string")
+    row = normalise_listings(posts, "shop", "Kelowna").first()
+    assert (row["url"], row["description"], len(row["property_type"])) == (url, details, 80)

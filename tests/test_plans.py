@@ -30,11 +30,6 @@ def test_scan_reads_only_the_needed_columns_and_pushes_the_filter(spark, folder)
     assert "GreaterThanOrEqual(l_shipdate" in text
 
 
-def test_stored_rows_do_not_move_for_a_small_refresh(spark, folder):
-    text = plan(spark, folder, "upsert_last_wins")
-    assert "LeftAnti" in text
-
-
 @pytest.mark.parametrize("name", ["backtest_ar1", "zscore_by_city", "normalise_listings", "lexicon_sentiment", "stl_panel"])
 def test_native_operators_stay_in_the_jvm(spark, folder, name):
     text = plan(spark, folder, name)

@@ -13,7 +13,7 @@ SAMPLE = [
     "listings_monthly", "price_index_from_sales", "price_yoy_flagship", "score_models", "best_model_per_metric",
     "composite_risk", "describe_numeric", "quality_report", "build_features", "model_features", "fill_missing_members",
     "upsert_last_wins", "upsert_coalesce", "upsert_partial", "insert_ignore", "parse_month", "normalise_listings",
-    "normalise_rents", "flatten_observations", "read_zipped_table", "write_facts", "write_replace_slice",
+    "normalise_rents", "flatten_observations", "write_facts", "write_replace_slice",
     "rolling_mean", "annual_to_monthly", "extrapolate_last3", "zscore_by_city", "sample_horizon", "repeat_sales_pairs",
     "backtest_ar1", "forecast_drift", "stl_panel", "stationarity_panel", "lexicon_sentiment", "serve_risk_gauge",
     "serve_risk_gauge_oldest", "city_report", "stream_daily_sentiment", "stream_sessions", "stream_upsert",

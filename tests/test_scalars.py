@@ -27,8 +27,12 @@ def test_month_from_filename(spark):
 
 
 def test_canonical_geo(spark):
-    inputs = ["Kelowna (CMA), British Columbia", "City of Kelowna", "Greater Vancouver, BC", "TORONTO", "Canada", "Montréal", None]
-    assert values(spark, text.canonical_geo, inputs) == ["Kelowna", "Kelowna", "Vancouver", "Toronto", "Canada", None, None]
+    inputs = ["Kelowna (CMA), British Columbia", "City of Kelowna", "Greater Vancouver, BC", "TORONTO", "Canada", "Montréal", None, "Tóronto, ON"]
+    assert values(spark, text.canonical_geo, inputs) == ["Kelowna", "Kelowna", "Vancouver", "Toronto", "Canada", None, None, "Toronto"]
+
+
+def test_accents(spark):
+    assert values(spark, text.strip_accents, ["Œuvre Łódź Ångström Straße", "Québec"]) == ["OEuvre Lodz Angstrom Strasse", "Quebec"]
 
 
 def test_clean_geo_label(spark):
@@ -37,8 +41,8 @@ def test_clean_geo_label(spark):
 
 
 def test_bedrooms(spark):
-    inputs = ["Studio", "1 Bedroom", "two bedroom", "3br", "5 bedroom", "4+", "7 rooms", "loft"]
-    want = ["0BR", "1BR", "2BR", "3BR", "4BR+", "4BR+", None, None]
+    inputs = ["Studio", "1 Bedroom", "two bedroom", "3br", "5 bedroom", "4+", "7 rooms", "loft", "zero bedroom", "Bachelor suite"]
+    want = ["0BR", "1BR", "2BR", "3BR", "4BR+", "4BR+", None, None, "0BR", "0BR"]
     assert values(spark, text.normalise_bedrooms, inputs) == want
 
 
@@ -47,7 +51,7 @@ def test_listing_fields(spark):
     assert values(spark, text.parse_beds, ["2 Bed 1.5 Bath", "3BR", "x"]) == [2.0, 3.0, None]
     assert values(spark, text.parse_baths, ["2 Bed 1.5 Bath", "2 ba"]) == [1.5, 2.0]
     assert values(spark, text.parse_area_sqft, ["850 sq ft", "1,200 sqft", "78 m2", "none"]) == [850, 1200, 840, None]
-    assert values(spark, text.extract_postal_code, ["near v1y1a1.", "V1Y 1A1", "12345"]) == ["V1Y 1A1", "V1Y 1A1", None]
+    assert values(spark, text.extract_postal_code, ["near v1y1a1.", "V1Y 1A1", "12345", "V1Y 1 1", "D1Y 1A1"]) == ["V1Y 1A1", "V1Y 1A1", None, None, None]
     assert values(spark, text.normalise_property_type, ["Town house", "Condo apartment", "Basement suite", "lake home", "yurt"]) == [
         "Townhouse", "Condo", "Apartment", "Detached", "Yurt",
     ]
