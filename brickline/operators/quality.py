@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickline.operators.quantiles import exact_quantiles
+from brickline.operators.quantiles import quantile_profile
 
 
 def key_uniqueness(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
@@ -81,18 +81,15 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
         [F.col(k) for k in keys], [F.col(c) for c in columns], "column_name", "v"
     )
     group = [*keys, "column_name"]
-    moments = long.groupBy(*group).agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
+    moments, q = quantile_profile(
+        long, group, "v", [0.25, 0.5, 0.75], {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     )
-    q = exact_quantiles(long, group, "v", [0.25, 0.5, 0.75])
     quartiles = q.groupBy(*group).agg(
         *[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
     )
-    return moments.join(quartiles, group, "left")
+    named = quartiles.select(*[F.col(c).alias(f"__of_{c}" if c in group else c) for c in quartiles.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in group]
+    return moments.join(named, same, "left").drop(*[f"__of_{c}" for c in group])
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
