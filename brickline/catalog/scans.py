@@ -9,7 +9,10 @@ from brickline.bindings import Tables
 from brickline.catalog.registry import query, rounded
 from brickline.operators.reshape import pick_best_column
 from brickline.plans.baselines import all_backtests, backtest_ar1, backtest_naive, backtest_seasonal_naive
-from brickline.schemas import FORECAST_KEYS, FORECAST_TYPES
+from brickline.plans import serve
+from brickline.plans.anomalies import detect_zscore
+from brickline.plans.risk import all_risks
+from brickline.schemas import ANOMALY_KEYS, ANOMALY_TYPES, FORECAST_KEYS, FORECAST_TYPES, RISK_KEYS, RISK_TYPES
 from brickline.session import new_table_path
 from brickline.sources import loaders, readers, sinks
 
@@ -147,14 +150,41 @@ FACTS = "round(yhat, 4) as yhat, round(yhat_lower, 4) as yhat_lower, round(yhat_
 )
 def _(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "facts")
-    sinks.write_facts(all_backtests(t.series_dense), path, FORECAST_TYPES, FORECAST_KEYS, ["model_name", "target"])
-    back = t.spark.read.parquet(path).select(
+    rows = all_backtests(t.series_dense)
+    runs = ((rows.withColumn("yhat", F.col("yhat") * 2), "2024-01-01"), (rows, "2024-02-01"))
+    for run, day in runs:
+        sinks.write_facts(run, path, FORECAST_TYPES, FORECAST_KEYS, ["model_name", "target"], F.lit(day).cast("timestamp"))
+    back = serve.latest_run(t.spark.read.parquet(path), FORECAST_KEYS).select(
         "run_id", "model_name", "target", "city", "horizon_months", "predict_date",
         "yhat", "yhat_lower", "yhat_upper", "y_true", "property_type",
     )
     return rounded(back, "yhat", "yhat_lower", "yhat_upper", "y_true", digits=4)
 
 
+@query(
+    "write_facts_risk",
+    """select sha256(city || '|' || risk_type || '|' || cast(predict_date as varchar)) as run_id, city, risk_type, predict_date,
+         round(risk_value, 6) as risk_value from b_risk_all""",
+)
+def _(t: Tables) -> DataFrame:
+    path = new_table_path(t.spark, "risk-facts")
+    sinks.write_facts(all_risks(t), path, RISK_TYPES, RISK_KEYS, ["risk_type"])
+    back = t.spark.read.parquet(path).select("run_id", "city", "risk_type", "predict_date", "risk_value")
+    return rounded(back, "risk_value")
+
+
+@query(
+    "write_facts_anomaly",
+    """select sha256(city || '|' || target || '|' || cast(detect_date as varchar) || '|' || model_name) as run_id, city, target, detect_date,
+         round(value, 4) as value, is_anomaly from b_signals""",
+)
+def _(t: Tables) -> DataFrame:
+    path = new_table_path(t.spark, "anomaly-facts")
+    sinks.write_facts(detect_zscore(t.series), path, ANOMALY_TYPES, ANOMALY_KEYS, ["target"])
+    back = t.spark.read.parquet(path).select("run_id", "city", "target", "detect_date", "value", "is_anomaly")
+    return rounded(back, "value", digits=4)
+
+
 @query("write_replace", "select city, date, round(y, 4) as y from b_rent")
 def _(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "replace")

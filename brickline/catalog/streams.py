@@ -1,8 +1,4 @@
-"""Streaming jobs over the event table.
-
-Windows still open when the available input ends are not emitted in append mode,
-so the check SQL leaves out what the watermark has not passed.
-"""
+"""Streaming jobs over the event table; the check SQL is the plain batch query."""
 
 from __future__ import annotations
 
@@ -16,7 +12,6 @@ from brickline.streaming import jobs
 add_ctes(
     {
         "b_events": "select *, 'NATION_' || (user_id % 25) as city from events",
-        "b_mark": "select max(ts) - interval 1 day as mark from events",
     }
 )
 
@@ -24,35 +19,30 @@ add_ctes(
 @query(
     "stream_daily_sentiment",
     """select date, city, s as sentiment_score, case when s > 0.05 then 'POS' when s < -0.05 then 'NEG' else 'NEU' end as sentiment_label from
-         (select cast(ts as date) as date, city, round(avg(value / 10 - 0.5), 2) as s from b_events group by 1, 2), b_mark
-       where date + interval 1 day <= mark""",
+         (select cast(ts as date) as date, city, round(avg(value / 10 - 0.5), 2) as s from b_events group by 1, 2)""",
 )
 def _(t: Tables) -> DataFrame:
-    events = jobs.event_stream(t.spark, t.folder)
-    return jobs.to_table(t.spark, jobs.daily_sentiment_stream(events), "daily-sentiment")
+    return jobs.closed_table(t.spark, t.folder, jobs.daily_sentiment_stream, "daily-sentiment")
 
 
 @query(
     "stream_rolling_mean",
     """select cast(d as date) as first_day, city, round(avg(value), 4) as mean_value, count(*) as n from
-         (select *, unnest([cast(ts as date), cast(ts as date) - 1, cast(ts as date) - 2]) as d from b_events), b_mark
-       where d + interval 3 day <= mark group by 1, 2""",
+         (select *, unnest([cast(ts as date), cast(ts as date) - 1, cast(ts as date) - 2]) as d from b_events) group by 1, 2""",
 )
 def _(t: Tables) -> DataFrame:
-    events = jobs.event_stream(t.spark, t.folder)
-    return rounded(jobs.to_table(t.spark, jobs.rolling_mean_stream(events), "rolling"), "mean_value", digits=4)
+    return rounded(jobs.closed_table(t.spark, t.folder, jobs.rolling_mean_stream, "rolling"), "mean_value", digits=4)
 
 
 @query(
     "stream_sessions",
     """select user_id, date_trunc('milliseconds', min(ts)) as session_start, count(*) as n_events, round(sum(value), 4) as total from
          (select *, sum(case when prev is null or ts >= prev + interval 30 minute then 1 else 0 end) over (partition by user_id order by ts, event_id) as s
-          from (select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from b_events)), b_mark
-       group by user_id, s, mark having max(ts) + interval 30 minute <= mark""",
+          from (select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from b_events))
+       group by user_id, s""",
 )
 def _(t: Tables) -> DataFrame:
-    events = jobs.event_stream(t.spark, t.folder)
-    out = jobs.to_table(t.spark, jobs.sessions_stream(events), "sessions")
+    out = jobs.closed_table(t.spark, t.folder, jobs.sessions_stream, "sessions")
     ms = F.date_trunc("millisecond", "session_start").cast("timestamp_ntz")
     return rounded(out.withColumn("session_start", ms), "total", digits=4)
 

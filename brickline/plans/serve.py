@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from brickline.functions import labels
 from brickline.functions.text import strip_model_suffix
 from brickline.operators.filters import filter_ci, filter_segment_or_any
-from brickline.operators.merge import dedupe_keep_first
+from brickline.operators.merge import dedupe_keep_first, dedupe_keep_last
 from brickline.operators.panel import sample_horizon
 from brickline.operators.reshape import nest_points
 from brickline.operators.topk import top_per_group
+from brickline.schemas import ANOMALY_KEYS, FORECAST_KEYS, RISK_KEYS
 
 RISK_NAMES = ["affordability", "price_to_rent", "inventory", "composite_index"]
 
@@ -20,6 +21,11 @@ def _for(df: DataFrame, **wanted: str | None) -> DataFrame:
     return filter_ci(df, **{c: v for c, v in wanted.items() if v is not None})
 
 
+def latest_run(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Of facts that several runs wrote, the rows of each key's latest run; without run times all rows."""
+    return dedupe_keep_last(facts, keys, ["created_at"]) if "created_at" in facts.columns else facts
+
+
 def fill_interval(df: DataFrame) -> DataFrame:
     """A missing bound becomes the point forecast."""
     return df.withColumns({c: F.coalesce(c, "yhat") for c in ("yhat_lower", "yhat_upper")})
@@ -38,7 +44,8 @@ def serve_forecast(
     facts: DataFrame, months: int, city: str | None = None, target: str | None = None, model: str | None = None
 ) -> DataFrame:
     """Monthly path up to the horizon, in date order, thinned for long horizons."""
-    path = _for(facts, city=city, target=target, model_name=model).filter(F.col("horizon_months").between(1, months))
+    facts = latest_run(_for(facts, city=city, target=target, model_name=model), FORECAST_KEYS)
+    path = facts.filter(F.col("horizon_months").between(1, months))
     thin = sample_horizon(path, ["city", "target", "model_name"], months, "predict_date")
     return thin.select(
         "city",
@@ -134,7 +141,8 @@ def daily_anomaly_series(signals: DataFrame) -> DataFrame:
 
 def city_report(facts: DataFrame, risks: DataFrame, signals: DataFrame) -> DataFrame:
     """Forecast, risk and anomaly sections of every city as one tagged table."""
-    forecast = fill_interval(facts.filter("target = 'price'")).select(
+    risks, signals = latest_run(risks, RISK_KEYS), latest_run(signals, ANOMALY_KEYS)
+    forecast = fill_interval(latest_run(facts.filter("target = 'price'"), FORECAST_KEYS)).select(
         "city",
         F.lit("forecast").alias("section"),
         F.row_number().over(Window.partitionBy("city").orderBy("predict_date", "model_name")).alias("ord"),

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+# Column types and keys of the stored tables.
 FORECAST_TYPES = {
     "run_id": "string", "model_name": "string", "target": "string", "horizon_months": "int", "city": "string",
     "property_type": "string", "beds": "int", "baths": "int", "sqft_min": "int", "sqft_max": "int",
     "year_built_min": "int", "year_built_max": "int", "predict_date": "date", "yhat": "double",
     "yhat_lower": "double", "yhat_upper": "double", "y_true": "double", "features_version": "string",
-    "model_artifact_uri": "string", "is_micro": "boolean",
+    "model_artifact_uri": "string", "is_micro": "boolean", "created_at": "timestamp",
 }
 RISK_TYPES = {
     "run_id": "string", "city": "string", "risk_type": "string", "predict_date": "date", "risk_value": "double",
-    "model_name": "string",
+    "model_name": "string", "created_at": "timestamp",
 }
 ANOMALY_TYPES = {
     "run_id": "string", "city": "string", "target": "string", "detect_date": "date", "value": "double",
     "anomaly_score": "double", "is_anomaly": "boolean", "model_name": "string",
+    "created_at": "timestamp",
 }
 METRIC_TYPES = {"date": "date", "city": "string", "metric": "string", "value": "double", "source": "string"}
 LISTING_TYPES = {

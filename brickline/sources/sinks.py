@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickline.operators.merge import align_columns, require_columns
@@ -21,13 +21,23 @@ def write_replace(df: DataFrame, path: str) -> None:
 
 
 def write_facts(
-    df: DataFrame, path: str, types: dict[str, str], keys: Sequence[str], partitions: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    types: dict[str, str],
+    keys: Sequence[str],
+    partitions: Sequence[str] = (),
+    created_at: Column | None = None,
 ) -> None:
-    """Append facts in the table layout; ``run_id`` is a hash of the key, so a re-run repeats it."""
+    """Append facts in the table layout with the time of their run.
+
+    ``run_id`` is a hash of the key, so a re-run repeats it; ``created_at`` tells the runs apart and readers take the
+    latest (``serve.latest_run``).
+    """
     require_columns(df, keys)
     aligned = align_columns(df, types)
     run_id = F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256)
-    writer = aligned.withColumn("run_id", run_id).write.mode("append")
+    stamped = aligned.withColumns({"run_id": run_id, "created_at": F.current_timestamp() if created_at is None else created_at})
+    writer = stamped.write.mode("append")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 

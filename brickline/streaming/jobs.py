@@ -20,6 +20,8 @@ from brickline.session import new_table_path
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 # Event value to score in about -0.5 .. and up.
 SCORE_SCALE, SCORE_SHIFT = 10, 0.5
+# Days after the last event at which the marker of an ended input lies; more than any window and delay.
+AFTER_DAYS = 400
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +29,10 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
     The pattern matches the table both as one file and as a directory of parts.
     """
-    raw = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/events.parque[t]")
+    return _with_city(spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/events.parque[t]"))
+
+
+def _with_city(raw: DataFrame) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
         "city", F.concat(F.lit("NATION_"), F.pmod("user_id", F.lit(25)).cast("string"))
     )
@@ -46,6 +51,32 @@ def to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "append"
     return spark.read.parquet(path)
 
 
+def closed_table(spark: SparkSession, folder: str, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """A windowed job over the whole event table, with the windows that are open when the input ends.
+
+    First everything available is read. Then one marker event, far later than any other, is added beside the table and
+    the query goes on from its checkpoint: the marker moves the watermark past every window, and its own never closes.
+    The input counts as ended then; events that come later are late.
+    """
+    path = new_table_path(spark, name)
+    marks = f"{path}-marks"
+    spark.createDataFrame([], EVENT_SCHEMA).write.parquet(marks)
+
+    def run() -> None:
+        events = event_stream(spark, folder).unionByName(_with_city(spark.readStream.schema(EVENT_SCHEMA).parquet(marks)))
+        run_available(spark, lambda w: w.format("parquet").outputMode("append").option("path", path), job(events), path)
+
+    run()
+    last = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder}/events.parquet").agg(F.max("ts").alias("ts")).filter("ts is not null")
+    last.select(
+        F.lit(None).cast("bigint").alias("event_id"),
+        (F.col("ts") + F.expr(f"interval {AFTER_DAYS} days")).alias("ts"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in (("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string"))],
+    ).write.mode("append").parquet(marks)
+    run()
+    return spark.read.schema(job(event_stream(spark, folder)).schema).parquet(path)
+
+
 def daily_sentiment_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Mean score per day and city in event time; rows later than the delay are dropped."""
     score = F.col("value") / SCORE_SCALE - SCORE_SHIFT
