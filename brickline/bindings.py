@@ -11,6 +11,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ class Tables:
     def stage(self, *names: str) -> Tables:
         """Store the named tables side by side; their jobs do not depend on each other."""
         with ThreadPoolExecutor(len(names)) as pool:
-            list(pool.map(lambda name: getattr(self, name), names))
+            jobs = [inheritable_thread_target(self.spark)(lambda name=name: getattr(self, name)) for name in names]
+            for done in [pool.submit(job) for job in jobs]:
+                done.result()
         return self
 
     def raw(self, name: str) -> DataFrame:

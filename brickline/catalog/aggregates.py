@@ -10,8 +10,8 @@ from brickline.catalog.registry import NOISE_DIGITS, add_ctes, query, rounded
 from brickline.functions.text import strip_model_suffix
 from brickline.operators import aggregates, panel, quality, topk
 from brickline.plans import demographics, evaluate
-from brickline.plans.baselines import all_backtests
-from brickline.plans.risk import affordability, composite_risk, risk_components
+from brickline.plans.baselines import all_backtests, forecast_drift
+from brickline.plans.risk import affordability, composite_risk, horizon_risks, risk_components
 
 
 @query(
@@ -193,6 +193,16 @@ def _(t: Tables) -> DataFrame:
     return rounded(affordability(t.price_panel.withColumnRenamed("date", "ds"), ["city"]), "risk_value")
 
 
+@query(
+    "risk_by_horizon",
+    """select city, target, model_name, h as horizon_months, max(predict_date) as predict_date, 'affordability' as risk_type,
+         round(least(max_by(yhat, predict_date) / 1000000, 1), 6) as risk_value
+       from b_drift_long, (select unnest([12, 24, 60, 120]) as h) where horizon_months <= h group by 1, 2, 3, 4""",
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(horizon_risks(forecast_drift(t.series, 120), [12, 24, 60, 120]), "risk_value")
+
+
 @query(
     "risk_components",
     "select city, predict_date, risk_type, round(risk_value, 6) as risk_value from b_risk",
@@ -260,15 +270,19 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "missing_profile",
-    """select c as column_name, n_null, round(n_null / n, 6) as null_share from (
-         select count(*) as n, count(*) filter (where hpi_benchmark is null) as hpi, count(*) filter (where gdp_growth is null) as gdp,
-           count(*) filter (where cpi_yoy is null) as cpi, count(*) filter (where overnight_rate is null) as onr from b_features) s,
-         lateral (select unnest(['hpi_benchmark', 'gdp_growth', 'cpi_yoy', 'overnight_rate']) as c, unnest([hpi, gdp, cpi, onr]) as n_null) x""",
+    """select name as column_name, sum(is_null) as n_null, round(sum(is_null) / count(*), 6) as null_share from (
+         select unnest(['date', 'city', 'discount', 'n', 'quantity', 'tax', 'unit_price', 'mean_price', 'population']) as name,
+           unnest([date is null, s.city is null, discount is null, n is null, quantity is null, tax is null, unit_price is null,
+                   p.y is null, a.population is null]) :: integer as is_null
+         from b_ships s left join b_price p using (city, date) left join b_annual a on a.city = s.city and a.year = year(date))
+       group by 1""",
 )
 def _(t: Tables) -> DataFrame:
-    from brickline.plans.features import build_features_from
-
-    return quality.missing_profile(build_features_from(t), ["hpi_benchmark", "gdp_growth", "cpi_yoy", "overnight_rate"])
+    price = t.price_panel.withColumnRenamed("y", "mean_price")
+    people = t.annual.select("city", "year", "population")
+    ships = t.shipments.select("date", "city", "discount", "n", "quantity", "tax", "unit_price")
+    wide = ships.join(price, ["city", "date"], "left").withColumn("year", F.year("date")).join(people, ["city", "year"], "left")
+    return quality.missing_profile(wide.drop("year"))
 
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

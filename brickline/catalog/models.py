@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from brickline.bindings import CUTOFF, Tables
 from brickline.catalog.registry import CTES, add_ctes, query, rounded
@@ -94,13 +95,15 @@ def panel(t: Tables) -> DataFrame:
 
 
 def panel_with_regressors(t: Tables) -> DataFrame:
-    """All series with the macro columns of their city and month and their own rolling means."""
+    """All series with the macro columns of their city and month and their own rolling means up to the month before."""
     t.stage("price_panel", "sales_monthly", "shipments")
     macro = features.macro_by_city(t.macro, t.cities)
     wide = features.pivot_city_metrics(t.metrics, t.cities).join(macro, ["date", "city"], "full_outer")
     joined = t.series_dense.join(wide.withColumnRenamed("date", "ds"), ["city", "ds"], "left")
     rolls = {f"roll_{k}": rolling_mean("y", k, baselines.SERIES, "ds") for k in (3, 6)}
-    return settle(joined.withColumns(rolls), "series-regressors")
+    earlier = Window.partitionBy(*baselines.SERIES).orderBy("ds")
+    ended = joined.withColumns(rolls).withColumns({c: F.lag(c).over(earlier) for c in rolls})
+    return settle(ended, "series-regressors")
 
 
 @query("forecast_arima_panel")
@@ -115,9 +118,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("forecast_sarima_fixed")
 def _(t: Tables) -> DataFrame:
-    series = panel(t)
-    seasonal = arima.forecast_arima(series.filter("target = 'price'"), arima.SARIMA_SEASONAL, 36)
-    return seasonal.unionByName(arima.forecast_arima(series.filter("target = 'rent'"), arima.SARIMA_PLAIN, 36))
+    return arima.forecast_fixed(panel(t), {"price": arima.SARIMA_SEASONAL, "rent": arima.SARIMA_PLAIN}, 36)
 
 
 @query("forecast_additive_panel")
@@ -200,10 +201,19 @@ add_ctes(
 )
 
 
+def price_predictions(t: Tables) -> DataFrame:
+    rows = history.build_history_from(t)
+    return learned.train_price_model(rows, ["price", "rent", "median_income", "mortgage_rate"], "target_12m", CUTOFF)
+
+
 @query("train_price_model")
 def _(t: Tables) -> DataFrame:
-    history_rows = history.build_history_from(t)
-    return learned.train_price_model(history_rows, ["price", "rent", "median_income", "mortgage_rate"], "target_12m", CUTOFF)
+    return price_predictions(t)
+
+
+@query("train_price_model_scores")
+def _(t: Tables) -> DataFrame:
+    return learned.prediction_scores(price_predictions(t))
 
 
 @query("hedonic_regression")

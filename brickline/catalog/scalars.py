@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brickline.bindings import CUTOFF, Tables
 from brickline.catalog.registry import add_ctes, query, rounded
 from brickline.functions import dates, labels, numbers, text
+from brickline.operators.merge import dedupe_keep_last, upsert_last_wins
 from brickline.plans import listings, scenarios
 from brickline.plans.baselines import all_backtests, forecast_drift
 from brickline.plans.risk import risk_panel
@@ -242,16 +243,23 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "normalise_listings_pages",
-    """select 'web:' || left(sha1(url), 16) as listing_id, url, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) as title,
-         'rent' as listing_type from pages""",
+    """select 'web:' || left(sha1(url), 16) as listing_id, url, date '2025-09-10' as date_posted, false as is_date_missing, 'Kelowna' as city,
+         'V' || (page_id % 10) || 'Y 1A1' as postal_code, case when page_id % 2 = 0 then 'Apartment' else 'Townhouse' end as property_type,
+         'rent' as listing_type, page_id + 500 as price, cast(page_id % 5 as double) as bedrooms, cast(1.5 as double) as bathrooms,
+         page_id % 900 + 300 as area_sqft from pages""",
 )
 def _(t: Tables) -> DataFrame:
-    posts = listings.postings_from_pages(t.raw("pages")).withColumn("city", F.lit("Kelowna"))
-    rows = listings.normalise_listings(posts, "web", "Kelowna")
-    titles = posts.select("url", "title").withColumn("listing_id", text.listing_id("web", F.col("url")))
-    keyed = titles.groupBy("listing_id", "url", "title").agg(F.count(F.lit(1)).alias("copies"))
-    shown = rows.select("listing_id", "listing_type").distinct().join(keyed, "listing_id")
-    return shown.select("listing_id", "url", "title", "listing_type", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    """Whole pages as they are, each with an own title and a line of listing facts in front."""
+    key = F.col("page_id")
+    number = lambda c: c.cast("string")
+    facts = F.concat(
+        F.when(key % 2 == 0, "<title>Bright apartment</title>").otherwise("<title>Sunny town house</title>"),
+        F.lit("<div>$"), F.format_number(key + 500, 0), F.lit(" a month, <b>"), number(key % 5), F.lit("</b> bed 1.5 bath, "),
+        number(key % 900 + 300), F.lit(" sq ft, v"), number(key % 10), F.lit("y1a1, posted Sep 10, 2025</div>"),
+    )
+    pages = t.raw("pages").withColumn("html", F.concat(facts, F.col("html")))
+    posts = listings.postings_from_pages(pages).withColumn("city", F.lit("Kelowna"))
+    return listings.normalise_listings(posts, "web", "Kelowna").drop("year_built", "description")
 
 
 add_ctes(
@@ -284,6 +292,35 @@ def _(t: Tables) -> DataFrame:
     return listings.normalise_rents(raw, "survey")
 
 
+@query(
+    "upsert_rents",
+    """select city, date, bedroom_type, max_by(median_rent, seq) as median_rent, 'survey' as source from b_rent_rows group by 1, 2, 3
+       union all select 'Elsewhere', date '2025-06-01', '1BR', cast(1 as double), 'old'""",
+)
+def _(t: Tables) -> DataFrame:
+    """Rows in the older form, with the rent as text in ``value``, over a stored table that holds some of their keys."""
+    n = F.pmod("p_size", F.lit(6)).cast("int")
+    kind = F.when(n == 0, "0BR").when(n <= 3, F.concat(n.cast("string"), F.lit("BR"))).otherwise("4BR+")
+    rows = t.raw("part").select(
+        text.map_city_or_title(F.regexp_replace(F.regexp_replace("p_brand", "^Brand#1$", "Vancouver"), "^Brand#2$", "Toronto")).alias("city"),
+        F.when(F.col("p_size") % 2 == 0, "2025-08-01").otherwise("2025-07").alias("date"),
+        kind.alias("bedroom_type"),
+        F.format_number("p_retailprice", 2).alias("value"),
+        F.lit("survey").alias("source"),
+        F.col("p_partkey").alias("seq"),
+    )
+    unread = rows.withColumns({"value": F.lit("n/a"), "seq": F.col("seq") + 1_000_000_000})
+    latest = dedupe_keep_last(rows, ["city", "date", "bedroom_type"], ["seq"])
+    incoming = listings.rents_for_upsert(latest.unionByName(unread))
+    stored = incoming.filter("bedroom_type = '0BR'").withColumns({"median_rent": F.lit(-1.0), "source": F.lit("old")})
+    other = t.spark.range(1).select(
+        F.lit("Elsewhere").alias("city"), F.lit("2025-06-01").cast("date").alias("date"), F.lit("1BR").alias("bedroom_type"),
+        F.lit(1.0).alias("median_rent"), F.lit("old").alias("source"),
+    )
+    keys = ["city", "date", "bedroom_type"]
+    return upsert_last_wins(stored.unionByName(other), incoming, keys, ["median_rent"])
+
+
 @query(
     "normalise_statcan",
     """select case n_nationkey % 5 when 0 then 'Toronto' when 1 then 'Kelowna' when 2 then 'Canada' when 3 then 'Vancouver' end as city,

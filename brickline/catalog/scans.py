@@ -114,10 +114,14 @@ def _(t: Tables) -> DataFrame:
 @query(
     "load_timeseries",
     """select city, target, ds, round(y, 4) as y from (select * from b_series
-       union all select city, metric, date, value from b_metrics) where y is not null""",
+       union all select city, metric, date, value from b_metrics
+       union all select city, 'features', date, y from b_price) where y is not null""",
 )
 def _(t: Tables) -> DataFrame:
-    return rounded(loaders.load_timeseries(t.price_panel, t.rent_panel, t.metrics), "y", digits=4)
+    index = t.price_panel.select("city", "date", F.col("y").alias("hpi_composite_sa"), F.lit("All").alias("property_type"))
+    houses = index.withColumns({"hpi_composite_sa": F.col("hpi_composite_sa") * 2, "property_type": F.lit("House")})
+    out = loaders.load_timeseries(t.price_panel, t.rent_panel, t.metrics, index.unionByName(houses))
+    return rounded(out, "y", digits=4)
 
 
 @query(

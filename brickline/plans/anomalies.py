@@ -110,19 +110,17 @@ def forest_scores(y: np.ndarray, seed: int = SEED) -> np.ndarray:
 def detect_forest(series: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
     """Isolation forest per series: one task per series, series bounded by the calendar.
 
-    The most isolated ``contamination`` share of each series is flagged.
+    Flagged is what scores above the ``1 - contamination`` quantile of its series' scores, in short series too; where
+    all score alike nothing is.
     """
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
-        return pdf.assign(score=forest_scores(pdf["y"].to_numpy(dtype=float)))
+        scores = forest_scores(pdf["y"].to_numpy(dtype=float))
+        return pdf.assign(score=scores, flagged=scores > np.quantile(scores, 1 - contamination) + 1e-12)
 
     # Few bytes but much work per series: a fixed spread keeps adaptive merging from making one task of it.
     spread = series.sparkSession.sparkContext.defaultParallelism
     known = series.filter("y is not null").select("city", "target", "ds", "y").repartition(spread, *SERIES)
-    scored = known.groupBy(*SERIES).applyInPandas(score, "city string, target string, ds date, y double, score double")
-    w = Window.partitionBy(*SERIES)
-    ranked = scored.withColumn("__r", F.row_number().over(w.orderBy(F.desc("score"), "ds"))).withColumn(
-        "__n", F.count(F.lit(1)).over(w)
-    )
-    return _signals(ranked, SERIES, F.col("score"), F.col("__r") <= F.floor(F.col("__n") * contamination), "isolation_forest")
+    scored = known.groupBy(*SERIES).applyInPandas(score, "city string, target string, ds date, y double, score double, flagged boolean")
+    return _signals(scored, SERIES, F.col("score"), F.col("flagged"), "isolation_forest")

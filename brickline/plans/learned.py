@@ -5,29 +5,50 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickline.session import settle
+
 # Tree ensemble settings.
 TREE_DEPTH = 4
 TREE_COUNT = 10
 SEED = 42
+# Months that the price label lies ahead of its row.
+LABEL_MONTHS = 12
+
 
+def train_price_model(
+    history: DataFrame, columns: Sequence[str], label: str, cutoff: str, label_months: int = LABEL_MONTHS
+) -> DataFrame:
+    """Gradient-boosted trees; predictions ``city, date, label, prediction`` of the months after the cutoff.
 
-def train_price_model(history: DataFrame, columns: Sequence[str], label: str, cutoff: str) -> DataFrame:
-    """Gradient-boosted trees fitted on months up to the cutoff; held-out scores as rows."""
+    A label lies ``label_months`` ahead of its row, so only rows whose label is known by the cutoff are learned from.
+    A month whose label is not known yet is predicted too; its label is null.
+    """
     data = history.select("city", "date", F.col(label).alias("label"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
-    train = data.filter(F.col("date") <= F.lit(cutoff).cast("date"))
-    valid = data.filter(F.col("date") > F.lit(cutoff).cast("date"))
+    data = settle(data, "model-history")
+    known_by = F.add_months(F.lit(cutoff).cast("date"), -label_months)
+    train = data.filter((F.col("date") <= known_by) & F.col("label").isNotNull())
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     trees = GBTRegressor(maxDepth=TREE_DEPTH, maxIter=TREE_COUNT, seed=SEED)
     model = Pipeline(stages=[assembler, trees]).fit(train)
-    scored = model.transform(valid)
-    rows = [(m, float(RegressionEvaluator(metricName=m).evaluate(scored))) for m in ("rmse", "mae", "r2")]
-    return history.sparkSession.createDataFrame(rows, "metric string, value double")
+    later = data.filter(F.col("date") > F.lit(cutoff).cast("date"))
+    return model.transform(later).select("city", "date", "label", "prediction")
+
+
+def prediction_scores(predictions: DataFrame) -> DataFrame:
+    """``metric, value`` over the predictions whose label is known: rmse, mae, r2 and their number."""
+    e, known = F.col("label") - F.col("prediction"), F.col("label").isNotNull()
+    one = predictions.filter(known).agg(
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.avg(F.abs(e)).alias("mae"),
+        (1 - F.try_divide(F.sum(e * e), F.var_pop("label") * F.count("label"))).alias("r2"),
+        F.count("label").cast("double").alias("n"),
+    )
+    return one.unpivot([], ["rmse", "mae", "r2", "n"], "metric", "value")
 
 
 def hedonic_regression(listings: DataFrame, attributes: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from brickline.functions import text
 from brickline.functions.dates import parse_month, parse_posted_date
 from brickline.functions.numbers import parse_number, pct_change
 from brickline.operators.filters import select_valid
-from brickline.operators.merge import dedupe_keep_last
+from brickline.operators.merge import dedupe_keep_last, require_columns
 from brickline.operators.reshape import first_present
 from brickline.session import settle
 
@@ -104,6 +104,19 @@ def normalise_rents(raw: DataFrame, source: str, cities: Sequence[str] | None =
     return dedupe_keep_last(tidy, ["city", "date", "bedroom_type"], ["seq", "median_rent"]).drop("seq")
 
 
+def rents_for_upsert(rows: DataFrame) -> DataFrame:
+    """Rows for the rent table, ``city, date, bedroom_type, median_rent, source``; an older ``value`` column serves as the rent.
+
+    Dates and rents are read from text; rows without either are left out.
+    """
+    names = rows.columns
+    rent = "median_rent" if "median_rent" in names else "value"
+    require_columns(rows, ["city", "date", "bedroom_type", rent, "source"])
+    day = F.coalesce(F.col("date").cast("string").try_cast("date"), parse_month(F.col("date")))
+    columns = ["city", day.alias("date"), "bedroom_type", parse_number(F.col(rent)).alias("median_rent"), "source"]
+    return rows.select(*columns).filter("date is not null and median_rent is not null")
+
+
 def normalise_statcan(raw: DataFrame, metric: str) -> DataFrame:
     """``REF_DATE, GEO, VALUE`` to metric rows of the target geographies; no GEO column means national.
 

@@ -24,6 +24,19 @@ def affordability(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def horizon_risks(forecasts: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Affordability risk at the end of each forecast horizon: the path up to it is the series."""
+    path = forecasts.select(
+        "city", "target", "model_name", F.col("predict_date").alias("ds"), F.col("yhat").alias("y"), "horizon_months",
+        F.explode(F.array(*map(F.lit, horizons))).alias("horizon"),
+    ).filter("horizon_months <= horizon")
+    risks = affordability(path, ["city", "target", "model_name", "horizon"])
+    return risks.select(
+        "city", "target", "model_name", F.col("horizon").alias("horizon_months"), "predict_date",
+        F.lit("affordability").alias("risk_type"), "risk_value",
+    )
+
+
 def risk_panel(price: DataFrame, rent: DataFrame, listings: DataFrame) -> DataFrame:
     """city, date and one 0..1 column per component."""
     joined = (
