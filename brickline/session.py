@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -43,12 +46,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="brickline-")
+    folder = tempfile.mkdtemp(prefix="brickline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+# Paths of the tables that this process has written and not yet dropped.
+_WRITTEN: list[str] = []
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; runs never overwrite each other."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete every intermediate table that this process has written; returns how many there were.
+
+    Results that are still lazy read those tables, so write or collect them first.
+    """
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """``with scratch(spark): ...`` drops the intermediate tables at the end of a unit of work."""
+    try:
+        yield
+    finally:
+        drop_tables(spark)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
