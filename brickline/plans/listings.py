@@ -120,31 +120,20 @@ def rents_for_upsert(rows: DataFrame) -> DataFrame:
 def normalise_statcan(raw: DataFrame, metric: str) -> DataFrame:
     """``REF_DATE, GEO, VALUE`` to metric rows of the target geographies; no GEO column means national.
 
-    Labels repeat for every row of a month and place, so the pattern work is done
-    once per distinct (place, month) pair and joined back. The pair table is
-    stored first: Spark broadcasts it only if its written size allows.
+    One pass: each label, date and value is parsed once in its row.
     """
     by_upper = {c.upper(): c for c in raw.columns}
     if "REF_DATE" not in by_upper or "VALUE" not in by_upper:
         raise ValueError("REF_DATE and VALUE are required")
     geo = F.col(by_upper["GEO"]) if "GEO" in by_upper else F.lit("Canada")
-    rows = raw.select(geo.alias("__geo"), F.col(by_upper["REF_DATE"]).alias("__ref"), F.col(by_upper["VALUE"]).alias("__value"))
-    labels = rows.select("__geo", "__ref").distinct()
     columns = [
-        F.col("__geo"),
-        F.col("__ref"),
-        text.canonical_geo(F.col("__geo")).alias("city"),
-        parse_month(F.col("__ref")).alias("date"),
-    ]
-    known = settle(select_valid(labels, columns, ["city", "date"]), "labels")
-    tag = metric.split("_", 1)[-1]
-    return rows.join(known, ["__geo", "__ref"]).select(
-        "city",
-        "date",
+        text.canonical_geo(geo).alias("city"),
+        parse_month(F.col(by_upper["REF_DATE"])).alias("date"),
         F.lit(metric).alias("metric"),
-        parse_number(F.col("__value")).alias("value"),
-        F.lit(f"StatCan_{tag}").alias("source"),
-    ).filter("value is not null")
+        parse_number(F.col(by_upper["VALUE"])).alias("value"),
+        F.lit(f"StatCan_{metric.split('_', 1)[-1]}").alias("source"),
+    ]
+    return select_valid(raw, columns, ["city", "date", "value"])
 
 
 def derived_row_metrics(listings: DataFrame, ref_year: int, types: Sequence[str]) -> DataFrame:
@@ -166,6 +155,7 @@ def repeat_sales_pairs(sales: DataFrame, segments: int = 4096) -> DataFrame:
     the first and last sale of each range meet those of the next one.
     """
     order = ["date_posted", "listing_id"]
+    sales = settle(sales.select("unit_id", *order, "price"), "sales")  # read for the bounds and twice below
     bounds = sales.agg(F.struct(F.min("date_posted").alias("lo"), F.max("date_posted").alias("hi"))).scalar()
     cut = (
         sales.select("unit_id", *order, "price", bounds.alias("__b"))
