@@ -30,6 +30,7 @@ FILE_BYTES = 16 * 1024 * 1024
 #: Payloads of fewer bytes are always stored, never revisited.
 LEAST_REVISITED = 0
 RANGE_ENTRIES = 200_000
+LAST_SECOND = 253_402_300_799
 ENTRY = (
     "page_id long, url string, url_key string, ts long, record_type string, refers_to long, payload_bytes long, "
     "payload_digest string, file string, offset long, length long"
@@ -74,8 +75,13 @@ def record(page_id: int, url: str, ts: int, payload: str, refers_to: int | None,
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """``page_id, url, ts, html`` with nulls as empty text. Without a column ``ts`` a page's time is its id in seconds."""
-    ts = F.col("ts").cast("long") if "ts" in pages.columns else F.lit(None).cast("long")
+    """``page_id, url, ts, html`` with nulls as empty text.
+
+    Without a column ``ts`` of seconds, or where it holds no second of a year up to 9999, a page's time is its id in
+    seconds.
+    """
+    ts = F.col("ts").try_cast("long") if "ts" in pages.columns else F.lit(None).cast("long")
+    ts = F.when(ts.between(0, LAST_SECOND), ts)
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce("url", F.lit("")).alias("url"),

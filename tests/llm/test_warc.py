@@ -10,11 +10,11 @@ from brickline.llm import warc
 from brickline.llm.warc import capture_index, merge_index, merged, parsed, read_archives, url_key, write_archives
 from brickline.session import new_table_path, settle
 
-PAGES = "page_id long, url string, html string, file string, offset string"
+PAGES = "page_id long, url string, html string, file string, offset string, ts string"
 
 
 def pages(spark, rows):
-    return spark.createDataFrame([(*r, "?", "?") for r in rows], PAGES)
+    return spark.createDataFrame([(*r, "?", "?", ts) for r, ts in zip(rows, ["?", None, "-5", "99999999999999", "1700000000"] * len(rows))], PAGES)
 
 
 def entry(key, ts, page, file):
