@@ -257,7 +257,9 @@ def near_duplicates(docs: DataFrame, size: int = N_GRAM) -> DataFrame:
     members = settle(members.join(sizes, "label"), "family-members")
     blocks = F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("grams") / FAMILY_BLOCK_GRAMS))
     texts = texts_of(docs).withColumnRenamed("doc_id", "text_id")
-    with_text = _block_pairs(members.join(texts, F.col("doc_id").eqNullSafe(F.col("text_id"))), blocks, "key")
+    # Merged at every size: the members grow with the documents, so they are never broadcast.
+    with_text = members.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("text_id")))
+    with_text = _block_pairs(with_text, blocks, "key")
     found = (
         with_text.select("label", "i", "j", "block", "key", "copies", "text")
         .repartition("label", "i", "j")
@@ -291,6 +293,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__own_id")
     first = near_duplicates(docs).where("doc_id <=> class_id").select(own).distinct()
-    kept = docs.withColumn("__own_id", own).join(first, "__own_id", "left_semi")
+    kept = docs.withColumn("__own_id", own).join(first.hint("merge"), "__own_id", "left_semi")
     equal = Window.partitionBy("__own_id", "text").orderBy(F.lit(0))
     return kept.withColumn("__copy", F.row_number().over(equal)).where("__copy = 1").drop("__own_id", "__copy")
