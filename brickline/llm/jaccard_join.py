@@ -276,6 +276,8 @@ def near_duplicates(docs: DataFrame, size: int = N_GRAM) -> DataFrame:
     by_key = reps.select("key", F.col("doc_id").alias("copy_of"), "copies").join(
         linked.join(lowest, "label").select("key", "class_id", "n_texts", "n_docs"), "key", "left"
     )
+    # Written, so that the join below is one of two plain shuffles: Spark splits a key that a third of the documents have.
+    by_key = settle(by_key, "by-key")
     alone = F.col("key").isNull()
     return sketched.select("doc_id", "key").join(by_key, "key", "left").select(
         "doc_id",
