@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickline.llm.bpe import Kept
-from brickline.llm.shared import WORD, components, texts_of, whole_groups
+from brickline.llm.shared import WORD, components, only, portions, texts_of, whole_groups
 from brickline.session import settle
 
 N_GRAM = 5
@@ -90,8 +90,8 @@ def sketches(docs: DataFrame, size: int = N_GRAM) -> DataFrame:
     """``doc_id, key, n_grams, signature``; the key names the n-gram set and is null for a text without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_of = Grams(size)
-        for batch in batches:
+        grams_of = only(("grams", size), lambda: Grams(size))
+        for batch in portions(batches):
             keys, sizes, signatures = [], [], []
             for text in batch["text"].to_pylist():
                 grams = grams_of(text)
@@ -199,7 +199,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _verified(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """For each member of a block pair its exact links; and spanning links, as rows with a ``peer``."""
     num, den = THRESHOLD
-    grams_of = Grams(size)
+    grams_of = only(("grams", size), lambda: Grams(size))
     for table, starts in whole_groups(batches, ["label", "i", "j"]):
         for lo, hi in zip(starts[:-1], starts[1:]):
             part = table.slice(lo, hi - lo)

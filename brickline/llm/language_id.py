@@ -11,6 +11,7 @@ bounded: the most frequent words and n-grams of each language, ``n_words`` and `
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brickline.llm.shared import held_out
+from brickline.llm.shared import held_out, only, portions
 from brickline.session import settle
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -49,7 +50,8 @@ def _counted(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatc
             names=["lang", "token", "n"],
         )
 
-    for batch in batches:
+    only("language-counts", dict)
+    for batch in portions(batches, 2_000):
         for lang, tokens in count(batch):
             for token, n in tokens.items():
                 held[lang, token] += n
@@ -202,11 +204,11 @@ def learn(docs: DataFrame, n_words: int = 20_000, n_grams: int = 5_000) -> Model
 
 
 def _scored(docs: DataFrame, model: Model, columns: list[str], schema) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
+        scorer = only(("languages", name), lambda: Scorer(shared.value))
+        for batch in portions(batches):
             found = scorer([t or "" for t in batch["text"].to_pylist()])
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *added], names=[*columns, "lang_pred", "score"])
@@ -231,11 +233,11 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     Where there was nothing to learn from, documents keep the language they came with.
     """
     names, model = docs.columns, learn(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
+        scorer = only(("languages", name), lambda: Scorer(shared.value))
+        for batch in portions(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             columns = dict(zip(names, batch.columns))
             if shared.value.langs:

@@ -14,7 +14,6 @@ SentencePiece writes for a blank.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import zlib
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickline.llm.shared import texts_of
+from brickline.llm.shared import only, texts_of
 
 BLANK_MARK = "▁"
 KEPT_NODES = 1_500_000
@@ -166,9 +165,8 @@ class Lattice:
         return text.removeprefix(self.prefix)
 
 
-@functools.cache
 def lattice(path: str, temperature: float = 1.0) -> Lattice:
-    return Lattice(path, temperature)
+    return only(("lattice", path, temperature), lambda: Lattice(path, temperature))
 
 
 def _sampled(batch: pa.RecordBatch, held: Lattice, seed: int) -> Iterator[tuple[int, list[str], list[np.ndarray]]]:

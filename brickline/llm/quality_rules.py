@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brickline.llm.shared import WORD, texts_of
+from brickline.llm.shared import WORD, only, portions, texts_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -106,7 +106,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in REPORT.split(", ")]
-        for batch in batches:
+        for batch in portions(batches):
             rows = [judge(t)[0] for t in batch["text"].to_pylist()]
             columns = [batch["doc_id"], *(pa.array(c) for c in zip(*rows))]
             if rows:
@@ -123,7 +123,8 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only("rules", dict)
+        for batch in portions(batches):
             judged = [judge(t or "") for t in batch["text"].to_pylist()]
             keep = [k for k, (report, _) in enumerate(judged) if report[-1]]
             texts = [judged[k][1] for k in keep]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,27 @@ from brickline.session import settle
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+_HELD: dict[object, object] = {}
+
+
+def only(name: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks, of one operator at a time.
+
+    Workers outlive the stages of a pipeline; when another operator's tasks come, what the last one had kept goes.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def portions(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows, so that a task holds few texts as Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def held_out() -> Column:
     """True for the third of the documents that no model may learn from; a null doc_id is not among them."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))

@@ -11,7 +11,6 @@ budget, without encoding again.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickline.llm import bpe
-from brickline.llm.shared import texts_of
+from brickline.llm.shared import only, portions, texts_of
 
 # Contractions that the library's pattern keeps whole only when they are complete.
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
@@ -152,9 +151,8 @@ class PrefixCounter:
         return best
 
 
-@functools.cache
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return only(("counter", path), lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, budget: int = 1024) -> DataFrame:
@@ -166,7 +164,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, budget: int = 1024) -> DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch["text"].to_pylist()
             n = [count.total(t) for t in texts]
             fit = [len(t) if k <= budget else count.longest_within(t, budget) for t, k in zip(texts, n)]

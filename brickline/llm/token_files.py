@@ -8,7 +8,6 @@ lengths alone touches only the pages that hold them. Files ascend by document id
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickline.llm import bpe
-from brickline.llm.shared import texts_of
+from brickline.llm.shared import only, portions, texts_of
 from brickline.session import new_table_path, settle
 
 END_ID = 2
@@ -37,15 +36,14 @@ class Encoder(bpe.Chunked):
         super().__init__(path, self._chunk, b"".join, lambda i: np.array([i], "<u4").tobytes())
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self.pieces[p] for p in bpe.pieces(self.path, chunk)])
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return only(("encoder", path), lambda: Encoder(path))
 
 
 def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -53,7 +51,7 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in portions(batches):
             n = [len(encode(t)) // 4 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
