@@ -65,6 +65,7 @@ def byte_letters() -> dict[int, str]:
 
 
 LETTERS = byte_letters()
+BLANK = LETTERS[0x20]
 
 
 def as_letters(text: str) -> str:
@@ -80,6 +81,14 @@ NOT_ALIKE = re.compile("[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be]")
 
 def pieces(path: str, chunk: str) -> list[str]:
     """The pieces of a chunk as letters that stand for bytes: by the library, or by the same pattern where that is sure."""
+    word = chunk[1:] if chunk[0] == " " else chunk
+    if chunk.isascii():
+        if word.isalpha():
+            return [BLANK + word if word is not chunk else word]
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return [BLANK + word[:-1] if word is not chunk else word[:-1], word[-1]]
+    elif word.isalpha() and max(word) < "\u0250":
+        return [as_letters(chunk)]
     if max(chunk) < "\u0250" and NOT_ALIKE.search(chunk) is None:
         return [as_letters(p) for p in LATIN_PIECE.findall(chunk)]
     return [p for p, _ in load(path).pre_tokenizer.pre_tokenize_str(chunk)]
