@@ -190,11 +190,14 @@ def _meetings(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.Rec
 
 
 def _local_join(meetings: pa.Table, vectors: pa.Table) -> pa.Table:
-    """Within a block of centres, the pairs that are nearer than the farthest link of an end, gathered by that end."""
+    """Within a block of centres, the pairs that are nearer than the farthest link of an end.
+
+    What was found goes out as one row for each block that has such ends, however many they are.
+    """
     member = vectors["member"].to_numpy()
     order = np.argsort(member)
     member, x = member[order], _matrix(vectors["vec32"], np.float32)[order]
-    worst = vectors["worst"].to_numpy()[order]
+    worst, home = vectors["worst"].to_numpy()[order], vectors["home"].to_numpy()[order]
     centre, kind = meetings["centre"].to_numpy(), meetings["kind"].to_numpy()
     place = np.searchsorted(member, meetings["member"].to_numpy())
     shuffled = np.random.default_rng(len(centre)).permutation(len(centre))
@@ -218,25 +221,57 @@ def _local_join(meetings: pa.Table, vectors: pa.Table) -> pa.Table:
             far.append(both[b])
             length.append(d[a, b])
     if not near:
-        return pa.table({"node": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "ds": pa.array([], pa.binary())})
+        return pa.table({n: pa.array([], t) for n, t in zip(("home", "nodes", "ids", "ds"), (pa.int32(), *3 * [pa.binary()]))})
     near, far, length = map(np.concatenate, (near, far, length))
     a, b, d = np.concatenate([near, far]), np.concatenate([far, near]), np.concatenate([length, length])
     good = d < worst[a]
     a, b, d = a[good], b[good], d[good]
     _, once = np.unique(a * np.int64(len(member)) + b, return_index=True)
     a, b, d = a[once], b[once], d[once]
-    order = np.lexsort((d, a))
+    order = np.lexsort((b, d, a))
     a, b, d = a[order], b[order], d[order].astype(np.float32)
-    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
-    ends = np.minimum(np.append(starts[1:], len(a)), starts + LINKS)
-    ids = member[b]
-    return pa.table(
-        {
-            "node": pa.array(member[a[starts]]),
-            "ids": pa.array([ids[lo:hi].tobytes() for lo, hi in zip(starts, ends)], pa.binary()),
-            "ds": pa.array([d[lo:hi].tobytes() for lo, hi in zip(starts, ends)], pa.binary()),
-        }
-    )
+    nearest_few = np.arange(len(a)) - np.searchsorted(a, a) < LINKS
+    a, b, d = a[nearest_few], b[nearest_few], d[nearest_few]
+    to = home[a]
+    order = np.argsort(to, kind="stable")
+    a, b, d, to = a[order], b[order], d[order], to[order]
+    homes, starts = np.unique(to, return_index=True)
+    rows = [(int(h), member[a[lo:hi]].tobytes(), member[b[lo:hi]].tobytes(), d[lo:hi].tobytes()) for h, lo, hi in zip(homes, starts, np.append(starts[1:], len(a)))]
+    columns = zip(*rows) if rows else [[]] * 4
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("home", "nodes", "ids", "ds"), columns, (pa.int32(), *3 * [pa.binary()]))})
+
+
+def _merge_block(graph: pa.Table, found: pa.Table, number: int) -> pa.Table:
+    """The nearest of what the nodes of a block held and what was found for them; links not held before are new."""
+    nodes = graph["node"].to_numpy()
+    ids, ds, fresh = _matrix(graph["ids"], np.int64), _matrix(graph["ds"], np.float32), _matrix(graph["fresh"], bool).copy()
+    for k, node in enumerate(nodes):
+        fresh[k, _picked(int(node), number, fresh[k] & (ids[k] != NONE))[0]] = False
+    more = [np.frombuffer(b"".join(found[c].to_pylist()), t) for c, t in (("nodes", np.int64), ("ids", np.int64), ("ds", np.float32))]
+    order = np.argsort(nodes)
+    row = np.concatenate([np.repeat(np.arange(len(nodes)), ids.shape[1]), order[np.searchsorted(nodes[order], more[0])]])
+    link, d = np.concatenate([ids.ravel(), more[1]]), np.concatenate([ds.ravel(), more[2]])
+    new = np.concatenate([fresh.ravel(), np.ones(len(more[0]), bool)])
+    held = np.concatenate([np.ones(ids.size, bool), np.zeros(len(more[0]), bool)])
+    keep = np.flatnonzero(link != NONE)
+    keep = keep[np.lexsort((~held[keep], link[keep], row[keep]))]
+    keep = keep[np.append(True, (row[keep][1:] != row[keep][:-1]) | (link[keep][1:] != link[keep][:-1]))[: len(keep)]]
+    keep = keep[np.lexsort((link[keep], d[keep], row[keep]))]
+    place = np.arange(len(keep)) - np.searchsorted(row[keep], row[keep])
+    keep, place = keep[place < LINKS], place[place < LINKS]
+    out_ids = np.full((len(nodes), LINKS), NONE)
+    out_ds = np.full((len(nodes), LINKS), np.inf, np.float32)
+    out_fresh = np.zeros((len(nodes), LINKS), bool)
+    at = row[keep], place
+    out_ids[at], out_ds[at], out_fresh[at] = link[keep], d[keep], new[keep]
+    changed = np.bincount(row[keep][~held[keep]], minlength=len(nodes)).astype(np.int64)
+    columns = [pa.array(nodes), _binary(out_ids), _binary(out_ds), _binary(out_fresh), pa.array(changed)]
+    return pa.table(dict(zip(("node", "ids", "ds", "fresh", "changed"), columns)))
+
+
+def _merger(number: int):
+    """The merge of one round; a function of the two tables alone, as a cogroup takes it."""
+    return lambda graph, found: _merge_block(graph, found, number)
 
 
 def build_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
@@ -253,17 +288,21 @@ def build_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     start = in_trees.unionByName(at_random).withColumn("fresh", F.lit(None).cast("binary"))
     graph = settle(_merged(start, -1), "graph-start")
     for number in range(ROUNDS):
-        block = F.pmod(F.xxhash64("centre"), F.lit(blocks)).cast("int")
+        home = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
         meetings = graph.select("node", "ids", "fresh").mapInArrow(lambda it, k=number: _meetings(it, k), "centre long, member long, kind int")
-        meetings = settle(meetings.withColumn("block", block), "meetings")
+        meetings = settle(meetings.withColumn("block", home("centre")), "meetings")
         worst = graph.select(F.col("node").alias("member"), _last("ds").alias("worst"))
-        sent = meetings.select(F.col("block").alias("at"), F.col("member").alias("m")).distinct().toDF("block", "member").join(nodes.select(F.col("node").alias("member"), "vec32"), "member")
-        sent = sent.join(worst, "member").select("block", "member", "vec32", "worst")
+        sent = meetings.select(F.col("block").alias("at"), F.col("member").alias("m")).distinct().toDF("block", "member")
+        sent = sent.join(nodes.select(F.col("node").alias("member"), "vec32"), "member").join(worst, "member")
+        sent = sent.select("block", "member", "vec32", "worst", home("member").alias("home"))
         found = (
-            meetings.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_local_join, "node long, ids binary, ds binary")
+            meetings.groupBy("block")
+            .cogroup(sent.groupBy("block"))
+            .applyInArrow(_local_join, "home int, nodes binary, ids binary, ds binary")
         )
-        lists = graph.select("node", "ids", "ds", "fresh").unionByName(found.withColumn("fresh", F.lit(None).cast("binary")))
-        graph = settle(_merged(lists, number), "graph")
+        held = graph.select(home("node").alias("home"), "node", "ids", "ds", "fresh")
+        merged = held.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(_merger(number), GRAPH + ", changed long")
+        graph = settle(merged, "graph")
         changed = graph.agg(F.sum("changed")).first()[0] or 0
         _release(spark)
         if changed < DONE * LINKS * n:
