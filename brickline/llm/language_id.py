@@ -4,8 +4,10 @@ A word that some language's list holds is scored by its log frequency there. A w
 character n-grams: the longest order of which any n-gram is known scores it, by the mean log frequency. A document's
 language is the one with the largest sum over its words.
 
-The counts cover all documents that may be learned from; they are summed in Spark. The model that every task holds is
-bounded: the most frequent words and n-grams of each language, ``n_words`` and ``n_grams`` of each order.
+The counts cover all documents that may be learned from; they are summed in Spark and stay written tables. Every task
+holds the words and n-grams that are among the most frequent of any language, ``n_words`` and ``n_grams`` of each order,
+with their counts in all languages. What lies outside is looked up by joins of the distinct words with the whole counts,
+so these two numbers bound memory and change no result.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -98,43 +101,51 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def _most_frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """The ``most`` tokens of each key with the largest counts, ties to the smaller token, and the sum of all counts.
+    """All rows of the tokens that are among the ``most`` with the largest counts of any key, ties to the smaller token.
 
     Ranked in ``SHARES`` shares of a key's tokens first, so that one task never sees more than the best of each share.
     """
     share = F.pmod(F.xxhash64("token"), F.lit(SHARES))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    best = counts
     for parts in ([*keys, share], keys):
         order = Window.partitionBy(*parts).orderBy(F.desc("n"), "token")
-        counts = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
-    return counts.join(totals, keys)
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
+    return counts.join(F.broadcast(best.select("token").distinct()), "token", "left_semi")
 
 
 class Model:
-    """Log frequencies by token for every language; one row each, in the order of the sorted language names."""
-
-    def __init__(self, words: list, by_size: list):
-        self.langs = sorted({r["lang"] for r in words})
-        self.words = self._table([(r["token"], r["lang"], r["n"], r["total"]) for r in words])
-        self.grams = [
-            self._table([(r["token"], r["lang"], r["n"], r["total"]) for r in by_size if r["size"] == size])
-            for size in range(LONGEST_GRAM, 0, -1)
-        ]
-
-    def _table(self, rows: list[tuple]) -> tuple[dict[str, int], np.ndarray]:
-        place = {lang: k for k, lang in enumerate(self.langs)}
-        totals = np.ones(len(self.langs))
+    """Log frequencies by token for every language; one row each, in the order of the sorted language names.
+
+    ``sums`` has ``lang, size, total`` and ``distinct`` the number of tokens by size, where size 0 stands for the words.
+    ``counts`` are the whole tables of words and n-grams; they stay behind when a model is sent to tasks.
+    """
+
+    def __init__(self, sums: list, distinct: dict[int, int], words: list, by_size: list, counts: tuple[DataFrame, DataFrame]):
+        self.counts = counts
+        self.langs = sorted({r["lang"] for r in sums if r["size"] == 0})
+        self.place = {lang: k for k, lang in enumerate(self.langs)}
+        totals = np.ones((LONGEST_GRAM + 1, len(self.langs)))
+        for r in sums:
+            totals[r["size"], self.place[r["lang"]]] = r["total"]
+        self.whole = np.log(totals + 0.5 * np.array([[distinct.get(k, 0)] for k in range(LONGEST_GRAM + 1)]))
+        self.words = self._table(0, words)
+        self.grams = [self._table(size, [r for r in by_size if r["size"] == size]) for size in range(LONGEST_GRAM, 0, -1)]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}
+
+    def _table(self, size: int, rows: list) -> tuple[dict[str, int], np.ndarray]:
         number: dict[str, int] = {}
-        for token, lang, _, total in rows:
-            number.setdefault(token, len(number))
-            totals[place[lang]] = total
+        for r in rows:
+            number.setdefault(r["token"], len(number))
         counts = np.full((len(number), len(self.langs)), 0.5)
-        for token, lang, n, _ in rows:
-            counts[number[token], place[lang]] = n
-        return number, np.log(counts / (totals + 0.5 * len(number)))
+        for r in rows:
+            counts[number[r["token"]], self.place[r["lang"]]] = r["n"]
+        return number, np.log(counts) - self.whole[size]
 
     def places(self, word: str) -> tuple[int, list[int]]:
-        """The table that scores a word, and its rows there: the words' own, or that of the longest known n-grams."""
+        """Of the tables held here, the one that scores a word, and its rows there: the words' own, or that of the
+        longest known n-grams."""
         found = self.words[0].get(word)
         if found is not None:
             return 0, [found]
@@ -145,75 +156,122 @@ class Model:
                 return k + 1, known
         return 0, []
 
+    def elsewhere(self, word: str) -> set[str]:
+        """The n-grams of a word that the tables held here lack."""
+        return {g for k, size in enumerate(range(LONGEST_GRAM, 0, -1)) for g in grams(word, size) if g not in self.grams[k][0]}
 
-class Scorer:
-    """Scores texts with a model; keeps the rows of the words it has met, up to a bound."""
-
-    BOUND = 200_000
-
-    def __init__(self, model: Model):
-        self.model = model
-        tables = [model.words[1], *(logs for _, logs in model.grams)]
-        self.base = np.cumsum([0, *map(len, tables[:-1])])
-        self.logs = np.concatenate(tables)
-        self.rows = np.zeros((0, len(model.langs)))
-        self.number: dict[str, int] = {}
-
-    def _meet(self, words: set[str]) -> None:
-        """Rows for words not met before: the mean over each word's places, zeros for a word without any."""
-        new = list(words - self.number.keys())
-        if len(self.number) + len(new) > self.BOUND:
-            self.number.clear()
-            self.rows, new = self.rows[:0], list(words)
-        at, sizes = [], np.zeros(len(new), np.int64)
-        for k, word in enumerate(new):
-            table, known = self.model.places(word)
-            sizes[k] = len(known)
-            base = int(self.base[table])
-            at += [base + x for x in known] if base else known
-        rows = np.zeros((len(new), len(self.model.langs)))
-        some = sizes > 0
-        if some.any():
-            starts = np.cumsum(sizes[some]) - sizes[some]
-            rows[some] = np.add.reduceat(self.logs[at], starts, axis=0) / sizes[some, None]
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.rows = np.concatenate([self.rows, rows])
-
-    def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
-        out = []
-        for lo in range(0, len(texts), 256):
-            listed = [words_of(t) for t in texts[lo : lo + 256]]
-            self._meet(set().union(*listed))
-            out += [self._verdict(words) for words in listed]
-        return out
-
-    def _verdict(self, words: list[str]) -> tuple[str, float]:
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
-        total = self.rows[list(map(self.number.__getitem__, words))].sum(0)
-        best = int(total.argmax())
-        certain = (total - total[best]) * (min(len(words), FULL_EVIDENCE) / len(words))
-        return self.model.langs[best], float(1.0 / np.exp(certain).sum())
+    def row(self, word: str, cells: list[dict], gram_cells: list[dict]) -> np.ndarray:
+        """A word's logs from its own counts, or where it has none from its n-grams, held here or given."""
+        if cells:
+            return self._table(0, [{"token": word} | c for c in cells])[1][0]
+        for k, size in enumerate(range(LONGEST_GRAM, 0, -1)):
+            number, logs = self.grams[k]
+            more, more_logs = self._table(size, [c for c in gram_cells if len(c["token"]) == size])
+            known = [logs[number[g]] if g in number else more_logs[more[g]] for g in grams(word, size) if g in number or g in more]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(len(self.langs))
 
 
 def learn(docs: DataFrame, n_words: int = 20_000, n_grams: int = 5_000) -> Model:
     """A model of every language in the table. Only its bounded lists come to the driver, never the counts."""
     words = settle(word_counts(docs), "language-words")
-    by_size = gram_counts(words).withColumn("size", F.length("token"))
-    return Model(_most_frequent(words, ["lang"], n_words).collect(), _most_frequent(by_size, ["lang", "size"], n_grams).collect())
+    by_size = settle(gram_counts(words).withColumn("size", F.length("token")), "language-grams")
+    both = words.withColumn("size", F.lit(0)).unionByName(by_size)
+    sums = both.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()
+    distinct = dict(both.select("size", "token").distinct().groupBy("size").count().collect())
+    lists = _most_frequent(words, ["lang"], n_words).collect(), _most_frequent(by_size, ["lang", "size"], n_grams).collect()
+    return Model(sums, distinct, *lists, (words, by_size))
+
+
+#: ``rest`` are distinct words between blanks, ``times`` how often each is there.
+TEXTS = "key binary, n_words long, known array<double>, rest string, times array<int>"
+
+
+def _text_key():
+    """Names a text; null for a null text. Only texts decide, so copies share a verdict."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
-def _scored(docs: DataFrame, model: Model, columns: list[str], schema) -> DataFrame:
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+def _read(docs: DataFrame, shared, name: str) -> DataFrame:
+    """Each text once: the summed logs of the words that the model holds, and its other words with their counts."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = only(("languages", name), lambda: shared.value)
+        number, logs = model.words
+        for batch in portions(batches):
+            sizes, known, rest, times = [], [], [], []
+            for text in batch["text"].to_pylist():
+                words = words_of(text)
+                at = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+                others = Counter(words[k] for k in np.flatnonzero(at < 0))
+                sizes.append(len(words))
+                known.append(logs[at[at >= 0]].sum(0))
+                rest.append(" ".join(others))
+                times.append(list(others.values()))
+            columns = zip((sizes, [k.tolist() for k in known], rest, times), (pa.int64(), pa.list_(pa.float64()), pa.string(), pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(
+                [batch["key"], *(pa.array(c, t) for c, t in columns)], names=["key", "n_words", "known", "rest", "times"]
+            )
+
+    texts = docs.where(F.col("text").isNotNull()).select(_text_key().alias("key"), "text")
+    once = texts.mapInArrow(read, TEXTS).dropDuplicates(["key"])
+    return settle(once.withColumn("id", F.monotonically_increasing_id()), "language-texts")
+
+
+def _looked_up(words: DataFrame, model: Model, shared, name: str) -> DataFrame:
+    """``word, logs`` of distinct words that the model does not hold, from the whole counts."""
+    of_words, of_grams = model.counts
+    cell = F.when(F.col("lang").isNotNull(), F.struct("lang", "n"))
+    own = words.join(of_words.withColumnRenamed("token", "word"), "word", "left").groupBy("word").agg(F.collect_list(cell).alias("cells"))
+    own = settle(own, "language-asked")
+
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = only(("languages", name), lambda: shared.value)
+        for batch in portions(batches):
+            pairs = [(w, g) for w in batch["word"].to_pylist() for g in model.elsewhere(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["word", "token"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = only(("languages", name), lambda: Scorer(shared.value))
+        model = only(("languages", name), lambda: shared.value)
         for batch in portions(batches):
-            found = scorer([t or "" for t in batch["text"].to_pylist()])
-            added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *added], names=[*columns, "lang_pred", "score"])
+            logs = [model.row(*r).tolist() for r in zip(*(batch[c].to_pylist() for c in ("word", "cells", "gram_cells")))]
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(logs, pa.list_(pa.float64()))], names=["word", "logs"])
+
+    unseen = own.where(F.size("cells") == 0).select("word").mapInArrow(take_apart, "word string, token string")
+    by_gram = unseen.join(of_grams, "token").groupBy("word").agg(F.collect_list(F.struct("token", "lang", "n")).alias("gram_cells"))
+    rows = own.join(by_gram, "word", "left").select("word", "cells", F.coalesce("gram_cells", F.array()).alias("gram_cells"))
+    return settle(rows.mapInArrow(score, "word string, logs array<double>"), "language-rows")
+
+
+def _verdicts(docs: DataFrame, model: Model) -> DataFrame:
+    """``key, lang_pred, score`` of every text that is not null, written."""
+    shared, name, n = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, len(model.langs)
+    texts = _read(docs, shared, name)
+    pairs = texts.where("rest <> ''").select("id", F.inline(F.arrays_zip(F.split("rest", " ").alias("word"), F.col("times").alias("n"))))
+    rows = _looked_up(pairs.select("word").distinct(), model, shared, name)
+    sums = [F.sum(F.col("n") * F.get("logs", F.lit(k))).alias(f"s{k}") for k in range(n)]
+    found = pairs.join(rows, "word").groupBy("id").agg(*sums).select("id", F.array(*(f"s{k}" for k in range(n))).alias("found"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs = only(("languages", name), lambda: shared.value).langs
+        for batch in batches:
+            out = []
+            for words, known, more in zip(*(batch[c].to_pylist() for c in ("n_words", "known", "found"))):
+                out.append(_verdict(langs, words, np.array(known) + (0.0 if more is None else np.array(more))))
+            columns = [batch["key"], pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "lang_pred", "score"])
+
+    decided = texts.select("id", "key", "n_words", "known").join(found, "id", "left").mapInArrow(decide, "key binary, lang_pred string, score double")
+    return settle(decided, "language-verdicts")
+
 
-    return docs.mapInArrow(score, schema)
+def _verdict(langs: list[str], n_words: int, total: np.ndarray) -> tuple[str, float]:
+    if not n_words:
+        return UNKNOWN, 0.0
+    best = int(total.argmax())
+    certain = (total - total[best]) * (min(n_words, FULL_EVIDENCE) / n_words)
+    return langs[best], float(1.0 / np.exp(certain).sum())
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -223,8 +281,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     the name that sorts first. Each row stands alone, repeated rows alike; other columns are left behind.
     """
     model = model or learn(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return _scored(rows, model, ["doc_id", "held_out"], "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), _text_key().alias("key"))
+    if not model.langs:
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return rows.join(_verdicts(docs, model), "key", "left").select(
+        "doc_id", "held_out", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score")
+    )
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -233,19 +295,14 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     Where there was nothing to learn from, documents keep the language they came with.
     """
     names, model = docs.columns, learn(docs)
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    if model.langs:
+        found = _verdicts(docs, model).where(F.col("lang_pred") != UNKNOWN)
+        found = found.select(F.col("key").alias("__key"), F.col("lang_pred").cast(docs.schema["lang"].dataType).alias("__lang"))
+        kept = docs.withColumn("__key", _text_key()).join(found, "__key")
+        return kept.select(*(F.col("__lang").alias("lang") if n == "lang" else F.col(f"`{n}`") for n in names))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = only(("languages", name), lambda: Scorer(shared.value))
         for batch in portions(batches):
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            columns = dict(zip(names, batch.columns))
-            if shared.value.langs:
-                found = [lang for lang, _ in scorer(texts)]
-                columns["lang"] = pa.array(found, batch["lang"].type)
-                good = [lang != UNKNOWN for lang in found]
-            else:
-                good = [bool(words_of(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(pa.array(good, pa.bool_()))
+            yield batch.filter(pa.array([bool(words_of(t or "")) for t in batch["text"].to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

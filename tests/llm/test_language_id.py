@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
-from brickline.llm.language_id import identify, keep_identified, learn, word_counts, words_of
+import pytest
+
+from brickline.llm.language_id import grams, identify, keep_identified, learn, word_counts, words_of
 
 EN = "the house and the garden are near the river and the old bridge"
 DE = "das haus und der garten sind bei dem fluss und der alten brücke"
@@ -49,3 +53,48 @@ def test_stage_drops_only_what_has_no_language(odd_documents):
 def test_nothing_to_learn_from(documents):
     assert [r["lang_pred"] for r in identify(documents((1, "words here", None))).collect()] == ["und"]
     assert identify(documents((1, "a")).where("false")).collect() == []
+
+
+def plain_totals(rows, asked):
+    """Summed logs of each text by language, from whole counts in memory."""
+    tables = [defaultdict(Counter) for _ in range(5)]
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            for word in words_of(text):
+                for size in range(5):
+                    tables[size][lang].update(grams(word, size) if size else [word])
+    langs = sorted(tables[0])
+
+    def row(size, token):
+        table, known = tables[size], set().union(*tables[size].values())
+        if token in known:
+            return [math.log((table[k][token] or 0.5) / (sum(table[k].values()) + 0.5 * len(known))) for k in langs]
+
+    def of_word(word):
+        for size in (0, 4, 3, 2, 1):
+            found = [r for t in (grams(word, size) if size else [word]) if (r := row(size, t))]
+            if found:
+                return [sum(c) / len(found) for c in zip(*found)]
+        return [0.0] * len(langs)
+
+    held = {}
+    for text in asked:
+        for word in words_of(text):
+            held[word] = held.get(word) or of_word(word)
+    return langs, [[sum(c) for c in zip(*(held[w] for w in words_of(t)))] for t in asked]
+
+
+def test_lists_change_no_result(documents):
+    rng = random.Random(3)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 5)))
+    known = {lang: [make(letters) for _ in range(60)] for lang, letters in (("a", "abcde"), ("b", "bcdef"), ("c", "abdfg"))}
+    rows = [(k, " ".join(rng.choices(known[lang] + known["b"][:20], range(80, 0, -1), k=8)), lang) for k, lang in enumerate("abc" * 20)]
+    asked = [(1000 + k, " ".join(rng.choices(known["a"] + known["c"], k=2) + [make("abcdefgh"), "zz"]), None) for k in range(30)]
+    langs, totals = plain_totals(rows, [t for _, t, _ in asked])
+    docs = documents(*rows)
+    for lists in ((20_000, 5_000), (4, 3), (1, 1)):
+        got = {r["doc_id"]: r for r in identify(documents(*asked), learn(docs, *lists)).collect()}
+        for (i, _, _), total in zip(asked, totals):
+            best = max(total)
+            assert got[i]["score"] == pytest.approx(1 / sum(math.exp(x - best) for x in total), rel=1e-9)
+            assert total[langs.index(got[i]["lang_pred"])] == pytest.approx(best)
