@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,6 @@ from brickline.session import settle
 
 LINKS = 48
 SAMPLED = 24
-ROUNDS = 8
 DONE = 0.02
 WINDOW_ROWS = 256
 RANGE_ROWS = 20_000
@@ -287,7 +287,7 @@ def build_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     at_random = _window_links(nodes, [F.xxhash64("node", F.lit(17)), F.col("node")], ranges, None)
     start = in_trees.unionByName(at_random).withColumn("fresh", F.lit(None).cast("binary"))
     graph = settle(_merged(start, -1), "graph-start")
-    for number in range(ROUNDS):
+    for number in count():
         home = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
         meetings = graph.select("node", "ids", "fresh").mapInArrow(lambda it, k=number: _meetings(it, k), "centre long, member long, kind int")
         meetings = settle(meetings.withColumn("block", home("centre")), "meetings")
@@ -305,7 +305,7 @@ def build_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
         graph = settle(merged, "graph")
         changed = graph.agg(F.sum("changed")).first()[0] or 0
         _release(spark)
-        if changed < DONE * LINKS * n:
+        if not changed or changed < DONE * LINKS * n:
             break
     return graph
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brickline.llm import neighbours
 from brickline.llm.neighbours import nearest
@@ -65,3 +66,19 @@ def test_few_or_no_candidates(spark):
     assert listed(nearest(table(spark, [(0, [1.0, 2.0], None, None), (5, [2.0, 2.0], None, None)]))) == {0: [(5, 1.0)]}
     assert nearest(table(spark, [(0, [1.0], None, None)])).collect() == []
     assert nearest(table(spark, [(0, [1.0], None, None)]).where("false")).collect() == []
+
+
+def test_descent_goes_on_while_links_change(spark, vectors, monkeypatch):
+    """Ten rounds that say that links still change are followed by an eleventh, which says that none does."""
+    rounds, write = [], neighbours.settle
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "graph":
+            rounds.append(name)
+            out = out.withColumn("changed", F.lit(10_000 if len(rounds) <= 10 else 0).cast("long"))
+        return out
+
+    monkeypatch.setattr(neighbours, "settle", noted)
+    assert len(listed(nearest(table(spark, vectors[:60])))) == 1
+    assert len(rounds) == 11
