@@ -178,7 +178,8 @@ class AttentionModel:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passages: int = SAMPLE_PASSAGES) -> AttentionModel:
     """Fit on a bounded sample of the labelled documents that may be learned from.
 
-    Null labels are left out; labels that differ for one document count by their majority, a tie as 1.
+    Null labels are left out; labels that differ for one document count by their majority, a tie as 1. Of rows that share
+    an id, the text with the lowest hash is learned from, a null one only where there is no other.
     """
     known = labels.where(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
@@ -190,6 +191,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passa
             yield pa.RecordBatch.from_arrays([batch["id"], batch["quality"], pa.array(bags, pa.binary())], names=["id", "quality", "bag"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
+    order = F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")
+    texts = texts.groupBy("id", "quality").agg(F.min_by("text", order).alias("text"))
     rows = texts.select("id", "quality", "text").mapInArrow(encode, "id long, quality int, bag binary").collect()
     rows = sorted(rows, key=lambda r: (r["id"], bytes(r["bag"])))
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brickline.llm.quality_model import FEATURES, AttentionModel, encode_passages, score_documents
+from brickline.llm.quality_model import FEATURES, AttentionModel, encode_passages, learn, score_documents
 
 
 def test_gradients_match_differences():
@@ -75,3 +75,18 @@ def test_passages_cover_the_whole_text():
     changed = encode_passages(text + " END!!")
     assert not np.allclose(changed[-1], encode_passages(text)[-1])
     assert encode_passages("").shape == (1, FEATURES)
+
+
+def learned_bags(docs, labels, monkeypatch):
+    held = []
+    monkeypatch.setattr(AttentionModel, "fit", lambda self, bags, labels: held.extend(bags) or self)
+    learn(docs, labels)
+    return held
+
+
+def test_an_id_is_learned_from_once(spark, documents, monkeypatch):
+    learnable = [k for k in range(30) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(k, f"text {k} here") for k in learnable] + [(learnable[0], "again " * n) for n in range(1, 200)] + [(learnable[1], None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in learnable], "doc_id long, quality int")
+    bags = learned_bags(documents(*rows), labels, monkeypatch)
+    assert len(bags) == len(learnable) and all(b.any() for b in bags)
