@@ -1,9 +1,9 @@
 """Near-duplicate join of documents by the Jaccard similarity of their word n-grams, with a MinHash LSH forest.
 
 1. Each text becomes the set of its hashed word n-grams. Documents with equal sets are copies; one stands for all.
-2. The forest: each tree sorts the representatives by a stretch of their signature, so that a prefix of that stretch
-   is a branch of a prefix trie. Starting at full depth, the prefix is shortened one value at a time until a pair at
-   the threshold shares a branch of some tree with the target probability.
+2. Each tree groups the representatives by the hash of a prefix of its stretch of the signature. The prefix has the
+   same length for all: the longest at which a pair at the threshold shares a branch of some tree with the target
+   probability. It follows from the constants, before any data is read; no trie is built.
 3. Within a branch, signatures are compared; members that look alike are linked to a family by spanning links only.
 4. Families, components of those links, are verified: every pair of a family is compared exactly on its n-gram sets.
    Rows that come out are sums for each member and spanning links, never the pairs.
