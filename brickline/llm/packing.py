@@ -1,8 +1,8 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
 Pieces are placed from the longest down, each into the open bin that it leaves the least room in. Where none has room,
-a bin is opened with the capacity of the least cost per token that it may yet be filled with, so that all permitted
-lengths are weighed together; a sequence costs its length and a fixed part. At the end every bin takes the smallest
+a bin is opened with the capacity of the least cost per token that it may yet be filled with; a sequence costs its length
+and a fixed part. That cost falls with the capacity, so the largest is opened until a window has less left than it holds. At the end every bin takes the smallest
 permitted capacity that holds what is in it. Documents longer than the largest capacity are cut into pieces of it.
 
 Documents are packed by windows of consecutive doc_ids, so memory and the work of a task are bounded, and windows are
