@@ -1,8 +1,7 @@
 from __future__ import annotations
 
-import datetime as dt
-
 import pytest
+from months import month
 
 from brickline.session import local_session
 
@@ -22,10 +21,6 @@ def folder():
     return SMALL
 
 
-def month(i: int, year: int = 2000) -> dt.date:
-    return dt.date(year + i // 12, i % 12 + 1, 1)
-
-
 @pytest.fixture
 def panel_of(spark):
     """Series rows ``city, target, ds, y`` from lists of values; None leaves the month out."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from conftest import month
+from months import month
 from pyspark.sql import functions as F
 
 from brickline.operators.joins import scale_by_ratio

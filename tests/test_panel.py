@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import month
+from months import month
 from pyspark.sql import functions as F
 
 from brickline.operators import panel
