@@ -6,17 +6,21 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brickline.llm.jaccard_join import near_duplicates
 from brickline.llm.language_id import identify
+from brickline.llm.lexical_search import search
 from brickline.llm.neighbours import nearest
 from brickline.llm.packing import pack_documents
 from brickline.llm.piece_lattice import encode_digest
 from brickline.llm.quality_model import score_documents
 from brickline.llm.quality_rules import quality_report
+from brickline.llm.repeats import repeated_spans
 from brickline.llm.token_counts import count_tokens
 from brickline.llm.token_files import token_lengths, token_stream
 from brickline.llm.warc import capture_index
+from brickline.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,6 +114,59 @@ select page_id, octet_length(encode(h)) as payload_bytes, payload_digest,
 from p join first using (hex) join named using (page_id)
 """
 
+OP11_SQL = """
+with d as (select row_number() over () as row, doc_id, encode(coalesce(text, '')) as b from documents),
+windows as (
+  select row, s, sha256(b[s : s + 399]) as w
+  from (select row, b, unnest(generate_series(1, octet_length(b) - 399)) as s from d where octet_length(b) >= 400)
+),
+again as (select row, s from (select row, s, count(*) over (partition by w) as times from windows) where times > 1),
+runs as (
+  select row, s, sum(fresh) over (partition by row order by s) as run
+  from (select row, s, case when s <= lag(s) over (partition by row order by s) + 400 then 0 else 1 end as fresh from again)
+),
+spans as (select row, run, min(s) as lo, max(s) + 399 as hi from runs group by row, run),
+kept as (
+  select row, string_agg(hex(b[lo : hi]), '' order by lo) as kept from (
+    select row, hi + 1 as lo, lead(lo, 1, 2000000000) over (partition by row order by lo) - 1 as hi from spans
+    union all select row, 1, min(lo) - 1 from spans group by row
+  ) join d using (row) where hi >= lo and lo <= octet_length(b) group by row
+),
+lost as (select row, sum(hi - lo + 1) as n_removed, count(*) as n_spans from spans group by row)
+select doc_id, octet_length(b) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  case when n_removed is null then sha256(b) else sha256(unhex(coalesce(kept, ''))) end as kept_sha256
+from d left join lost using (row) left join kept using (row)
+"""
+
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as row, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+),
+c as (select count(*) as n_docs, cast(sum(len(terms)) as bigint) as n_terms from d where len(terms) > 0),
+held as (select row, term, count(*) as tf from (select row, unnest(terms) as term from d) group by row, term),
+asked as (
+  select distinct item_id, text, term from (
+    select item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark
+  )
+),
+weighed as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w
+  from held, c where term in (select term from asked) group by term, n_docs
+),
+scored as (
+  select item_id, text, row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * cast(len(terms) as bigint) * n_docs) // n_terms)))) as score
+  from asked join weighed using (term) join held using (term) join d using (row), c group by item_id, text, row
+),
+ranked as (
+  select item_id, doc_id, score, row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as rank
+  from scored join d using (row) where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from ranked where rank <= 10
+"""
+
 
 @query("op1_quality_rules", OP1_SQL)
 def op1_quality_rules(spark, folder):
@@ -161,3 +218,19 @@ def op9_language_id(spark, folder):
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op11_repeats", OP11_SQL)
+def op11_repeats(spark, folder):
+    return repeated_spans(table(spark, folder, "documents")).drop("spans")
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12_lexical_search(spark, folder):
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, folder):
+    whitened = whiten(table(spark, folder, "embeddings"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
