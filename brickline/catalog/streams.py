@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brickline.bindings import Tables
 from brickline.catalog.registry import add_ctes, query, rounded
-from brickline.streaming import jobs
+from brickline.streaming import jobs, upsert
 
 add_ctes(
     {
@@ -53,7 +53,7 @@ def _(t: Tables) -> DataFrame:
        qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1""",
 )
 def _(t: Tables) -> DataFrame:
-    out = jobs.upsert_stream(t.spark, jobs.event_stream(t.spark, t.folder))
+    out = upsert.upsert_table(t.spark, jobs.event_stream(t.spark, t.folder))
     return out.select("event_id", "user_id", "event_type", "value", "city")
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from brickline.functions.labels import sentiment_label
-from brickline.operators.merge import dedupe_keep_last
 from brickline.session import new_table_path
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -112,41 +111,3 @@ def sessions_stream(events: DataFrame, gap: str = "30 minutes", delay: str = "1
 def dedupe_stream(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
     """First event per key within the watermark."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-
-
-def upsert_stream(spark: SparkSession, events: DataFrame, name: str = "latest", buckets: int = 16) -> DataFrame:
-    """Last event per user and type, kept up to date batch by batch.
-
-    Every micro batch reduces its own rows, joins only the buckets it touches and
-    writes a new version of those buckets; the version number is the batch id, so
-    a repeated batch replaces its own output.
-    """
-    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
-    path = new_table_path(spark, name)
-
-    def versions(s: SparkSession, before: int) -> DataFrame | None:
-        """Stored rows as of the last batch before this one: the newest version of each bucket."""
-        try:
-            stored = s.read.parquet(path)
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
-        stored = stored.filter(F.col("version") < before)
-        newest = stored.groupBy("bucket").agg(F.max("version").alias("version"))
-        return stored.join(newest, ["bucket", "version"], "left_semi")
-
-    def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        bucket = F.pmod(F.hash(*keys), F.lit(buckets))
-        fresh = dedupe_keep_last(batch, keys, order).withColumn("bucket", bucket)
-        stored = versions(s, batch_id)
-        if stored is not None:
-            touched = stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi").drop("version")
-            fresh = dedupe_keep_last(touched.select(*fresh.columns).unionByName(fresh), keys, order)
-        fresh.withColumn("version", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("version", "bucket").parquet(path)
-
-    run_available(spark, lambda w: w.foreachBatch(merge_batch), events, path)
-    return versions(spark, 2**31).drop("version", "bucket")

@@ -76,15 +76,6 @@ def test_late_row_is_dropped_and_the_rest_equals_batch(spark, tmp_path):
     assert dt.date(2024, 1, 11) in got
 
 
-def test_upsert_stream_over_several_batches(spark, tmp_path):
-    folder, t0 = str(tmp_path), dt.datetime(2024, 1, 1)
-    for k in range(3):
-        write_events(spark, folder, [event(10 * k + u, t0 + dt.timedelta(hours=k), float(k), u) for u in range(3 - k)])
-    stream = jobs.event_stream(spark, folder)
-    got = {r.user_id: r.value for r in jobs.upsert_stream(spark, stream).collect()}
-    assert got == {0: 2.0, 1: 1.0, 2: 0.0}
-
-
 def test_top3_breaks_ties_by_target(spark):
     d = dt.date(2024, 1, 1)
     rows = [("a", t, d, True) for t in ("rent", "price", "x", "y")] + [("a", "price", dt.date(2025, 1, 1), False)]
