@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from brickline.bindings import CUTOFF, Tables
 from brickline.catalog.registry import CTES, add_ctes, query, rounded
+from brickline.functions.dates import month_floor
 from brickline.operators.panel import rolling_mean
-from brickline.plans import additive, arima, baselines, decomposition, features, history, learned, sequence
+from brickline.plans import additive, arima, baselines, decomposition, features, hedonic, history, learned, repeat_sales, sequence
 from brickline.session import settle
 
 TRAIN = "ds <= date '1999-12-01'"
@@ -218,4 +219,39 @@ def _(t: Tables) -> DataFrame:
 
 @query("hedonic_regression")
 def _(t: Tables) -> DataFrame:
-    return learned.hedonic_regression(t.sales, ["property_type", "listing_type", "province"])
+    """Types and kinds of listing; places and months are absorbed, errors are clustered by place."""
+    sales = t.sales.withColumn("month", month_floor(F.col("date_posted")))
+    return hedonic.hedonic_regression(sales, ["property_type", "listing_type"], absorbed=["city", "month"], cluster="city")
+
+
+# One key is absorbed by centring once, and two regressors are solved by hand, so this much can be said in SQL.
+@query(
+    "hedonic_by_city",
+    """select term, round(b, 6) as coefficient, round(e, 6) as std_error, round(b / e, 4) as t_value from (
+         with r as (select city, ln(price) - avg(ln(price)) over c as y, z - avg(z) over c as x from
+             (select city, price, case listing_type when 'sale' then 1.0 else 0.0 end as z from b_sales) window c as (partition by city)),
+         f as (select sum(x * y) / sum(x * x) as b, sum(x * x) as xx, count(*) as n, count(distinct city) as g from r),
+         s as (select city, sum(x * (y - b * x)) as s from r, f group by city)
+         select 'listing_type=sale' as term, any_value(b) as b,
+           sqrt(any_value(g / (g - 1.0) * (n - 1.0) / (n - 1 - g)) * sum(s * s)) / any_value(xx) as e from s, f)""",
+)
+def _(t: Tables) -> DataFrame:
+    out = hedonic.hedonic_regression(t.sales, ["listing_type"], absorbed=["city"], cluster="city")
+    return rounded(rounded(out, "coefficient", "std_error"), "t_value", digits=4)
+
+
+SUMS_SQL = """select province, first_month, second_month, count(*) as n, round(sum(d), 6) as total, round(sum(d * d), 6) as squares from (
+     select province, cast(date_trunc('month', d0) as date) as first_month, cast(date_trunc('month', date_posted) as date) as second_month, ln(price / p0) as d from (
+       select province, date_posted, price, lag(price) over w as p0, lag(date_posted) over w as d0
+       from b_sales window w as (partition by unit_id order by date_posted, listing_id)) where d0 is not null)
+   where first_month < second_month group by all"""
+
+
+@query("repeat_sales_sums", SUMS_SQL)
+def _(t: Tables) -> DataFrame:
+    return rounded(repeat_sales.pair_sums(t.sales, ["province"]), "total", "squares")
+
+
+@query("repeat_sales_index")
+def _(t: Tables) -> DataFrame:
+    return repeat_sales.repeat_sales_index(t.sales)

@@ -108,11 +108,7 @@ def _(t: Tables) -> DataFrame:
        from (select *, row_number() over (partition by city order by date desc, id desc) as rank from b_scored) where rank <= 3""",
 )
 def _(t: Tables) -> DataFrame:
-    newest = serve.latest3_headlines(t.news)
-    scored = sentiment.lexicon_scores(newest)
-    return scored.join(newest.select("id", "rank"), "id").select(
-        "id", "date", "city", "sentiment_score", "sentiment_label", "rank"
-    )
+    return sentiment.lexicon_scores(serve.latest3_headlines(t.news), keep=["rank"])
 
 
 @query(

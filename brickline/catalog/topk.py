@@ -16,13 +16,28 @@ add_ctes(
         "b_zscore": """select city, target, ds as detect_date, y as value, abs((y - avg(y) over w) / nullif(stddev_pop(y) over w, 0)) as anomaly_score
             from b_series window w as (partition by city, target)""",
         "b_signals": "select *, coalesce(anomaly_score > 2, false) as is_anomaly, 'zscore' as model_name from b_zscore",
-        "b_lexicon": "select * from (values "
-        + ", ".join(f"('{w}', {v}::double)" for w, v in sentiment.LEXICON.items())
-        + ") l(word, weight)",
+        "b_lexicon": "select * from (values " + ", ".join(f"('{w}', {v}::double)" for w, v in sentiment.LEXICON.items()) + ") l(word, weight)",
+        "b_degree": "select * from (values " + ", ".join(f"('{w}', {v}::double)" for w, v in sentiment.DEGREES.items()) + ") l(word, degree)",
+        "b_negation": "select * from (values " + ", ".join(f"(\'{w.replace(chr(39), chr(39) * 2)}\')" for w in sentiment.NEGATIONS) + ") l(word)",
+        "b_words": f"""select id, place, word as shown, lower(word) as word,
+            lag(lower(word), 1) over w as p1, lag(lower(word), 2) over w as p2, lag(lower(word), 3) over w as p3,
+            max(case when lower(word) = 'but' then place end) over (partition by id) as turn,
+            bool_or(word <> upper(word)) over (partition by id) as mixed
+            from (select id, unnest(words) as word, generate_subscripts(words, 1) as place from
+              (select id, regexp_extract_all(title, '{sentiment.WORD.replace(chr(39), chr(39) * 2)}') as words from b_news))
+            window w as (partition by id order by place)""",
+        "b_valence": """select id, place, turn, sign(weight) * (abs(weight)
+              + case when length(shown) > 1 and shown = upper(shown) and mixed then 0.733 else 0 end
+              + coalesce(d1.degree, 0) + 0.95 * coalesce(d2.degree, 0) + 0.9 * coalesce(d3.degree, 0))
+              * case when p1 in (from b_negation) or p2 in (from b_negation) or p3 in (from b_negation) then -0.74 else 1 end as v
+            from b_words join b_lexicon using (word) left join b_degree d1 on p1 = d1.word left join b_degree d2 on p2 = d2.word
+            left join b_degree d3 on p3 = d3.word""",
+        "b_folded": """select id, sum(v * case when turn is null then 1 when place < turn then 0.5 else 1.5 end) as v from b_valence group by id""",
+        "b_marked": """select id, date, city, coalesce(v, 0) as v, length(title) - length(replace(title, '!', '')) as shouts,
+            length(title) - length(replace(title, '?', '')) as asked from b_news left join b_folded using (id)""",
         "b_scored": """select id, date, city, s, round(s / sqrt(s * s + 15), 2) as sentiment_score from (
-            select id, date, city, coalesce(sum(weight), 0) as s from
-              (select id, date, city, unnest(regexp_split_to_array(lower(title), '[^a-z]+')) as word from b_news) left join b_lexicon using (word)
-            group by 1, 2, 3)""",
+            select id, date, city, case when abs(v) < 1e-12 then 0 else v + sign(v) * (least(shouts, 4) * 0.292
+              + case when asked < 2 then 0 when asked <= 3 then asked * 0.18 else 0.96 end) end as s from b_marked)""",
     }
 )
 

@@ -1,12 +1,12 @@
-"""Tree and hedonic models trained with Spark's own distributed learners."""
+"""Tree models trained with Spark's own distributed learners."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +26,15 @@ def train_price_model(
     """Gradient-boosted trees; predictions ``city, date, label, prediction`` of the months after the cutoff.
 
     A label lies ``label_months`` ahead of its row, so only rows whose label is known by the cutoff are learned from.
-    A month whose label is not known yet is predicted too; its label is null.
+    A month whose label is not known yet is predicted too; its label is null. With nothing to learn from there are no
+    predictions.
     """
     data = history.select("city", "date", F.col(label).alias("label"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
     data = settle(data, "model-history")
     known_by = F.add_months(F.lit(cutoff).cast("date"), -label_months)
     train = data.filter((F.col("date") <= known_by) & F.col("label").isNotNull())
+    if train.first() is None:
+        return data.select("city", "date", "label", F.lit(0.0).alias("prediction")).limit(0)
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     trees = GBTRegressor(maxDepth=TREE_DEPTH, maxIter=TREE_COUNT, seed=SEED)
     model = Pipeline(stages=[assembler, trees]).fit(train)
@@ -49,21 +52,3 @@ def prediction_scores(predictions: DataFrame) -> DataFrame:
         F.count("label").cast("double").alias("n"),
     )
     return one.unpivot([], ["rmse", "mae", "r2", "n"], "metric", "value")
-
-
-def hedonic_regression(listings: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """Log price on one-hot attributes and the year: one coefficient row per term."""
-    data = listings.filter("price > 0").select(
-        F.log("price").alias("label"), F.year("date_posted").cast("double").alias("year"), *attributes
-    )
-    indexers = [StringIndexer(inputCol=a, outputCol=f"{a}_i", stringOrderType="alphabetAsc") for a in attributes]
-    onehot = OneHotEncoder(inputCols=[f"{a}_i" for a in attributes], outputCols=[f"{a}_v" for a in attributes])
-    assembler = VectorAssembler(inputCols=["year", *[f"{a}_v" for a in attributes]], outputCol="features")
-    linear = LinearRegression(solver="normal")
-    model = Pipeline(stages=[*indexers, onehot, assembler, linear]).fit(data)
-    terms = ["year"]
-    for i, a in enumerate(attributes):
-        terms += [f"{a}={v}" for v in model.stages[i].labels[:-1]]
-    fitted = model.stages[-1]
-    rows = [("intercept", float(fitted.intercept)), *zip(terms, [float(c) for c in fitted.coefficients])]
-    return listings.sparkSession.createDataFrame(rows, "term string, coefficient double")

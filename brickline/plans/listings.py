@@ -147,18 +147,18 @@ def derived_row_metrics(listings: DataFrame, ref_year: int, types: Sequence[str]
     )
 
 
-def repeat_sales_pairs(sales: DataFrame, segments: int = 4096) -> DataFrame:
-    """Consecutive sales of the same unit with their log price difference.
+def repeat_sales_pairs(sales: DataFrame, segments: int = 4096, keep: Sequence[str] = ()) -> DataFrame:
+    """Consecutive sales of the same unit with their log price difference, and the columns to keep of the later sale.
 
     A unit may hold a large share of the sales, so its history is cut into time
     ranges: pairs inside a range come from one window per (unit, range), and only
     the first and last sale of each range meet those of the next one.
     """
     order = ["date_posted", "listing_id"]
-    sales = settle(sales.select("unit_id", *order, "price"), "sales")  # read for the bounds and twice below
+    sales = settle(sales.select("unit_id", *order, "price", *keep), "sales")  # read for the bounds and twice below
     bounds = sales.agg(F.struct(F.min("date_posted").alias("lo"), F.max("date_posted").alias("hi"))).scalar()
     cut = (
-        sales.select("unit_id", *order, "price", bounds.alias("__b"))
+        sales.select("unit_id", *order, "price", *keep, bounds.alias("__b"))
         .withColumn("__days", F.greatest(F.lit(1), F.date_diff(F.col("__b.hi"), F.col("__b.lo")) + 1))
         .withColumn(
             "__seg", F.floor(F.date_diff(F.col("date_posted"), F.col("__b.lo")) * segments / F.col("__days")).cast("int")
@@ -166,13 +166,13 @@ def repeat_sales_pairs(sales: DataFrame, segments: int = 4096) -> DataFrame:
         .drop("__b", "__days")
     )
     inner = Window.partitionBy("unit_id", "__seg").orderBy(*order)
-    row = F.struct(*order, "price")
+    row = F.struct(*order, "price", *keep)
     inside = cut.withColumn("__prev", F.lag(row).over(inner))
     ends = cut.groupBy("unit_id", "__seg").agg(F.min(row).alias("__first"), F.max(row).alias("__last"))
     across = ends.withColumn(
         "__prev", F.lag("__last").over(Window.partitionBy("unit_id").orderBy("__seg"))
     ).select("unit_id", "__first.*", "__prev")
-    pairs = inside.select("unit_id", *order, "price", "__prev").unionByName(across).filter("__prev is not null")
+    pairs = inside.select("unit_id", *order, "price", *keep, "__prev").unionByName(across).filter("__prev is not null")
     return pairs.select(
         "unit_id",
         "listing_id",
@@ -180,4 +180,5 @@ def repeat_sales_pairs(sales: DataFrame, segments: int = 4096) -> DataFrame:
         F.col("date_posted").alias("second_date"),
         F.log(F.col("price") / F.col("__prev.price")).alias("log_change"),
         pct_change(F.col("price"), F.col("__prev.price")).alias("change"),
+        *keep,
     )
