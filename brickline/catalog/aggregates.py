@@ -167,7 +167,6 @@ def _(t: Tables) -> DataFrame:
 
 add_ctes(
     {
-        "b_rent_scaled": "select city, date, y from b_rent",
         "b_ratio": """select p.city, p.date, p.y as price, p.y / nullif(12 * r.y, 0) as ratio, l.n as listings
             from b_price p left join b_rent r on p.city = r.city and p.date = r.date
             left join (select city, cast(date_trunc('month', date_posted) as date) as date, count(*) as n from b_sales group by 1, 2) l
@@ -378,26 +377,27 @@ def _(t: Tables) -> DataFrame:
     return rounded(overall.unionByName(leaders), "mean_price", digits=4)
 
 
-@query(
-    "quality_report",
-    """select 'size' as section, 'rows' as name, cast(count(*) as varchar) as value from b_ships
-       union all select 'size', 'columns', '7'
-       union all select 'missing', c, '0' from (select unnest(['date', 'discount', 'n', 'quantity', 'tax']) as c)
-       union all select 'correlation', a || '~' || b, printf('%.3f', corr) from
-         (select * from (select 'unit_price' as a, 'discount' as b, corr(unit_price, discount) as corr from b_ships
-           union all select 'unit_price', 'quantity', corr(unit_price, quantity) from b_ships
-           union all select 'discount', 'quantity', corr(discount, quantity) from b_ships))
-       union all select 'outliers', c, cast(n as varchar) from (
-         select 'unit_price' as c, count(*) filter (where abs((unit_price - m) / s) > 3) as n from b_ships, (select avg(unit_price) as m, stddev_pop(unit_price) as s from b_ships)
-         union all select 'discount', count(*) filter (where abs((discount - m) / s) > 3) from b_ships, (select avg(discount) as m, stddev_pop(discount) as s from b_ships)
-         union all select 'quantity', count(*) filter (where abs((quantity - m) / s) > 3) from b_ships, (select avg(quantity) as m, stddev_pop(quantity) as s from b_ships))
-       union all select 'time', 'first', cast(min(date) as varchar) from b_ships
-       union all select 'time', 'last', cast(max(date) as varchar) from b_ships""".replace(
-        "['date', 'discount', 'n', 'quantity', 'tax']", "['discount', 'quantity', 'unit_price']"
-    ),
-)
+REPORTED = ["n", "unit_price", "discount", "tax", "quantity"]
+
+
+def report_sql() -> str:
+    """Every section of the report over the shipments table, column by column."""
+    columns = ["city", "date", *REPORTED]
+    pairs = [(a, b) for i, a in enumerate(REPORTED) for b in REPORTED[i + 1 :]]
+    parts = ["select 'size' as section, 'rows' as name, cast(count(*) as varchar) as value from b_ships"]
+    parts.append(f"select 'size', 'columns', '{len(columns)}'")
+    parts += [f"select 'missing', '{c}', cast(count(*) - count({c}) as varchar) from b_ships" for c in columns]
+    parts += [f"select 'correlation', '{a}~{b}', printf('%.3f', corr({a}, {b})) from b_ships" for a, b in pairs]
+    outlying = "cast(count(*) filter (where abs(({c} - m) / s) > 3) as varchar)"
+    moments = "(select avg({c}) as m, stddev_pop({c}) as s from b_ships)"
+    parts += [f"select 'outliers', '{c}', {outlying.format(c=c)} from b_ships, {moments.format(c=c)}" for c in REPORTED]
+    parts += [f"select 'time', '{name}', cast({f}(date) as varchar) from b_ships" for name, f in (("first", "min"), ("last", "max"))]
+    return " union all ".join(parts)
+
+
+@query("quality_report", report_sql())
 def _(t: Tables) -> DataFrame:
-    return quality.quality_report(t.shipments, OUTLIER_COLUMNS)
+    return quality.quality_report(t.shipments, REPORTED, k=10)
 
 
 @query(

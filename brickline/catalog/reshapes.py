@@ -28,17 +28,16 @@ add_ctes(
 
 def wide_types(t: Tables, kinds: list[str]) -> DataFrame:
     month = F.trunc("date_posted", "MM").alias("date")
-    return t.sales.groupBy("city", month).agg(
-        *[F.avg(F.when(F.col("property_type") == k, F.col("price"))).alias(f"{k}_Benchmark") for k in kinds]
-    )
+    means = [F.avg(F.when(F.col("property_type") == k, F.col("price"))).alias(f"{k}_Benchmark") for k in kinds]
+    return t.sales.groupBy("city", month).agg(*means) if means else t.sales.select("city", month).distinct()
 
 
 @query(
     "melt_measures",
-    """select city, date, lower(property_type) as measure, round(price, 4) as value from b_by_type where property_type in ('House', 'Condo', 'Apartment')""",
+    """select city, date, lower(property_type) as measure, round(price, 4) as value from b_by_type""",
 )
 def _(t: Tables) -> DataFrame:
-    kinds = ["House", "Condo", "Apartment"]
+    kinds = sorted(r["property_type"] for r in t.sales.select("property_type").distinct().collect())
     long = reshape.melt_measures(wide_types(t, kinds), ["city", "date"], {f"{k}_Benchmark": k.lower() for k in kinds})
     return rounded(long, "value", digits=4)
 

@@ -55,9 +55,8 @@ def _(t: Tables) -> DataFrame:
     record = F.struct("city", "province", "year", "population")
     docs = t.annual.join(t.cities, "city").groupBy("city").agg(F.collect_list(record).alias("data"))
     docs.select("data").write.json(path)
-    return readers.read_json_records(t.spark, path, multi_line=False).select(
-        "city", "province", F.col("year").cast("int").alias("year"), "population"
-    )
+    types = {"city": "string", "province": "string", "year": "int", "population": "bigint"}
+    return readers.read_json_records(t.spark, path, False, types)
 
 
 OBS_ALIAS = {"view": "views_index"}
@@ -98,7 +97,7 @@ def _(t: Tables) -> DataFrame:
         F.round(F.round("y", 9), 4).alias("benchmark"),
     ).write.option("header", True).partitionBy("sheet").csv(path)
     cities = [r["city"] for r in t.cities.select("city").distinct().collect()]
-    raw = readers.union_sheets(t.spark, path, {c.replace("NATION_", "SHEET-"): c for c in cities})
+    raw = readers.union_sheets(t.spark, path, {c.replace("NATION_", "SHEET-"): c for c in cities}, "date date, benchmark double")
     return raw.select("city", F.col("date").cast("date").alias("date"), F.col("benchmark").cast("double").alias("benchmark"))
 
 
@@ -157,8 +156,8 @@ def _(t: Tables) -> DataFrame:
     rows = all_backtests(t.series_dense)
     runs = ((rows.withColumn("yhat", F.col("yhat") * 2), "2024-01-01"), (rows, "2024-02-01"))
     for run, day in runs:
-        sinks.write_facts(run, path, FORECAST_TYPES, FORECAST_KEYS, ["model_name", "target"], F.lit(day).cast("timestamp"))
-    back = serve.latest_run(t.spark.read.parquet(path), FORECAST_KEYS).select(
+        table = sinks.write_facts(run, path, FORECAST_TYPES, FORECAST_KEYS, ["model_name", "target"], F.lit(day).cast("timestamp"))
+    back = serve.latest_run(table, FORECAST_KEYS).select(
         "run_id", "model_name", "target", "city", "horizon_months", "predict_date",
         "yhat", "yhat_lower", "yhat_upper", "y_true", "property_type",
     )
@@ -172,8 +171,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "risk-facts")
-    sinks.write_facts(all_risks(t), path, RISK_TYPES, RISK_KEYS, ["risk_type"])
-    back = t.spark.read.parquet(path).select("run_id", "city", "risk_type", "predict_date", "risk_value")
+    back = sinks.write_facts(all_risks(t), path, RISK_TYPES, RISK_KEYS, ["risk_type"]).select("run_id", "city", "risk_type", "predict_date", "risk_value")
     return rounded(back, "risk_value")
 
 
@@ -184,8 +182,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "anomaly-facts")
-    sinks.write_facts(detect_zscore(t.series), path, ANOMALY_TYPES, ANOMALY_KEYS, ["target"])
-    back = t.spark.read.parquet(path).select("run_id", "city", "target", "detect_date", "value", "is_anomaly")
+    back = sinks.write_facts(detect_zscore(t.series), path, ANOMALY_TYPES, ANOMALY_KEYS, ["target"]).select("run_id", "city", "target", "detect_date", "value", "is_anomaly")
     return rounded(back, "value", digits=4)
 
 
@@ -209,9 +206,8 @@ def _(t: Tables) -> DataFrame:
     first = backtest_naive(t.series_dense).unionByName(backtest_seasonal_naive(t.series_dense))
     second = backtest_ar1(t.series_dense).filter("target = 'price'")
     sinks.write_replace_slice(first, path, ["target", "city"])
-    sinks.write_replace_slice(second, path, ["target", "city"])
-    columns = [c for c in first.columns]
-    return rounded(t.spark.read.parquet(path).select(*columns), "yhat", "yhat_lower", "yhat_upper", "y_true", digits=4)
+    table = sinks.write_replace_slice(second, path, ["target", "city"])
+    return rounded(table.select(*first.columns), "yhat", "yhat_lower", "yhat_upper", "y_true", digits=4)
 
 
 @query("write_parquet", "select city, year, population, median_income, migration_rate from b_annual")
@@ -235,8 +231,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "snapshot")
     docs = t.raw("documents").select("doc_id", "text", "source")
-    sinks.snapshot_raw(docs, path, "2024-05-01")
-    return t.spark.read.parquet(path).groupBy("source", F.col("run_date").cast("string").alias("run_date")).agg(
+    return sinks.snapshot_raw(docs, path, "2024-05-01").groupBy("source", "run_date").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_text")
     )
 

@@ -138,7 +138,10 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], limit: float = 3.0) ->
 
 
 def quality_report(df: DataFrame, columns: Sequence[str], date: str = "date", k: int = 5) -> DataFrame:
-    """Row and column counts, missingness, correlations, outliers and time range as one table."""
+    """Row and column counts, missing values of every column, correlations and outliers of the given ones, and time range.
+
+    Of the columns and pairs, the ``k`` with most to report.
+    """
 
     def rows(frame: DataFrame, section: str, name, value) -> DataFrame:
         return frame.select(
@@ -147,7 +150,7 @@ def quality_report(df: DataFrame, columns: Sequence[str], date: str = "date", k:
 
     size = df.agg(F.count(F.lit(1)).alias("v"))
     span = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    missing = missing_profile(df, columns).orderBy(F.desc("n_null"), "column_name").limit(k)
+    missing = missing_profile(df, df.columns).orderBy(F.desc("n_null"), "column_name").limit(k)
     corr = top_correlations(correlation_matrix(df, columns), k)
     worst = outlier_counts(df, columns).orderBy(F.desc("n_outliers"), "column_name").limit(k)
     parts = [

@@ -22,10 +22,12 @@ def _words(name: str) -> set[str]:
 
 
 def melt_years(df: DataFrame, ids: Sequence[str], value: str) -> DataFrame:
-    """Year columns (all-digit names) to ``ids, year, value``."""
+    """Year columns (all-digit names) to ``ids, year, value``; a frame with no column but the ids gives no rows."""
     years = [c for c in df.columns if c.strip().isdigit()]
     if not years:
-        raise ValueError("no year columns found")
+        if set(df.columns) - set(ids):
+            raise ValueError("no year columns found")
+        return df.select(*ids, F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias(value)).where("false")
     long = df.unpivot([F.col(i) for i in ids], [F.col(f"`{y}`") for y in years], "year", value)
     return long.withColumn("year", F.trim("year").cast("int"))
 
@@ -33,7 +35,9 @@ def melt_years(df: DataFrame, ids: Sequence[str], value: str) -> DataFrame:
 def melt_measures(
     df: DataFrame, ids: Sequence[str], measures: dict[str, str], name: str = "measure", value: str = "value"
 ) -> DataFrame:
-    """Measure columns to rows under their mapped names; null values dropped."""
+    """Measure columns to rows under their mapped names; null values dropped, no measure gives no rows."""
+    if not measures:
+        return df.select(*ids, F.lit(None).cast("string").alias(name), F.lit(None).cast("double").alias(value)).where("false")
     renamed = df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(n) for c, n in measures.items()])
     long = renamed.unpivot([F.col(i) for i in ids], [F.col(n) for n in measures.values()], name, value)
     return long.filter(F.col(value).isNotNull())

@@ -13,7 +13,7 @@ from brickline.functions.dates import parse_month
 from brickline.functions.numbers import parse_number
 from brickline.functions.text import lookup
 from brickline.operators.filters import select_valid
-from brickline.operators.merge import require_columns
+from brickline.operators.merge import align_columns, require_columns
 
 # National metrics belong to this city name.
 NATIONAL = "Canada"
@@ -55,14 +55,18 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else read(SEPARATORS[0], path)
 
 
-def read_json_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Records from a list of objects or from the list inside a ``data``/``rows`` shell."""
+def read_json_records(spark: SparkSession, path: str, multi_line: bool = True, types: dict[str, str] | None = None) -> DataFrame:
+    """Records from a list of objects or from the list inside a ``data``/``rows`` shell.
+
+    With ``types`` the result has those columns, absent ones null, and files without a record give an empty table.
+    """
     raw = spark.read.option("multiLine", multi_line).json(path)
     lists = [f.name for f in raw.schema if isinstance(f.dataType, T.ArrayType)]
     shell = next((c for c in ("data", "rows") if c in raw.columns), lists[0] if lists else None)
-    if shell is None:
-        return raw
-    return raw.select(F.explode(shell).alias("r")).select("r.*")
+    if shell is None and types and not set(types) & set(raw.columns):
+        return spark.createDataFrame([], ", ".join(f"`{c}` {kind}" for c, kind in types.items()))
+    records = raw if shell is None else raw.select(F.explode(shell).alias("r")).select("r.*")
+    return align_columns(records, types) if types else records
 
 
 def flatten_observations(df: DataFrame, payload: str, alias: dict[str, str], prefix: str) -> DataFrame:
@@ -87,8 +91,12 @@ def series_name(sid: Column, alias: dict[str, str], prefix: str) -> Column:
     return F.coalesce(lookup(sid, alias), named) if alias else named
 
 
-def union_sheets(spark: SparkSession, path: str, sheets: dict[str, str]) -> DataFrame:
-    """Exported sheets below ``path`` (``sheet=<name>/``) as one table with the mapped city; an unmapped sheet keeps its name."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+def union_sheets(spark: SparkSession, path: str, sheets: dict[str, str], schema: str | None = None) -> DataFrame:
+    """Exported sheets below ``path`` (``sheet=<name>/``) as one table with the mapped city; an unmapped sheet keeps its name.
+
+    With ``schema`` the columns needn't be read off the files, so a folder without a sheet is an empty table.
+    """
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+    raw = (reader.schema(schema) if schema else reader).csv(path)
     sheet = F.regexp_extract(F.col("_metadata.file_path"), r"sheet=([^/]+)/", 1)
     return raw.select("*", (F.coalesce(lookup(sheet, sheets), sheet) if sheets else sheet).alias("city"))

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from brickline.operators.merge import align_columns, require_columns
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path`` with the columns of the frame that was written there; no row written, no row read."""
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_append(df: DataFrame, path: str) -> None:
     """Append with lower-case column names."""
     df.toDF(*[c.lower() for c in df.columns]).write.mode("append").parquet(path)
@@ -27,8 +32,8 @@ def write_facts(
     keys: Sequence[str],
     partitions: Sequence[str] = (),
     created_at: Column | None = None,
-) -> None:
-    """Append facts in the table layout with the time of their run.
+) -> DataFrame:
+    """Append facts in the table layout with the time of their run; returns the whole table.
 
     ``run_id`` is a hash of the key, so a re-run repeats it; ``created_at`` tells the runs apart and readers take the
     latest (``serve.latest_run``).
@@ -39,23 +44,25 @@ def write_facts(
     stamped = aligned.withColumns({"run_id": run_id, "created_at": F.current_timestamp() if created_at is None else created_at})
     writer = stamped.write.mode("append")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+    return stored(stamped, path)
 
 
-def write_replace_slice(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Overwrite only the partitions present in the frame."""
+def write_replace_slice(df: DataFrame, path: str, partitions: Sequence[str]) -> DataFrame:
+    """Overwrite only the partitions present in the frame; returns the whole table."""
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
         .parquet(path)
     )
+    return stored(df, path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def snapshot_raw(df: DataFrame, path: str, run_date: str, source: str = "source") -> None:
-    """Keep raw payloads under ``source=…/run_date=…``; an earlier run of the same day is replaced."""
+def snapshot_raw(df: DataFrame, path: str, run_date: str, source: str = "source") -> DataFrame:
+    """Keep raw payloads under ``source=…/run_date=…``; an earlier run of the same day is replaced. Returns all kept."""
     dated = df.withColumn("run_date", F.lit(run_date))
-    write_replace_slice(dated, path, [source, "run_date"])
+    return write_replace_slice(dated, path, [source, "run_date"])
