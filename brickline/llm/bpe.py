@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 CHUNK = re.compile(r"\s*\S+|\s+")
 # White space for Python's pattern but not for the library's.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-SPACE = re.compile(r"\s+")
 KEPT_CHUNKS = 350_000
 
 

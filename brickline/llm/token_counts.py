@@ -11,6 +11,7 @@ budget, without encoding again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 KEPT_PAIRS = 500_000
 KEPT_STATES = 600_000
 SHORT_PIECE = 64
+# White space as the library sees it: Python counts four control characters too.
+LIBRARY_SPACE = re.compile("[^\\S\x1c-\x1f]+")
 
 
 class PrefixCounter:
@@ -96,7 +99,7 @@ class PrefixCounter:
             if text in LONG_CONTRACTIONS:
                 out[lo + 2] = base + 2
             base += counts[-1]
-        for run in bpe.SPACE.finditer(chunk):
+        for run in LIBRARY_SPACE.finditer(chunk):
             if run.end() < len(chunk) and len(run.group()) > 1:
                 lo, text = run.start(), run.group()
                 counts = np.asarray(self.piece(bpe.as_letters(text)))

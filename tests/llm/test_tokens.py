@@ -58,6 +58,11 @@ def test_counts_of_odd_rows(odd_documents):
         assert got[row["doc_id"]]["over_limit"] == (len(library(row["text"])) > 30)
 
 
+def test_prefixes_within_white_space_before_a_control_character():
+    for text in (" \x85\x1c", "a \x1c \t\x1fb", " \x1d "):
+        assert counter(PATH).prefixes(text).tolist() == [len(library(text[:i])) for i in range(len(text) + 1)]
+
+
 def test_stored_counts_answer_without_encoding(documents):
     text = "An answer that doesn't need  to be\nencoded again."
     rows = prefix_counts(documents((1, text), (2, None)), PATH)
