@@ -27,6 +27,8 @@ PAGE_BYTES = 256 * 1024
 PAGE_ROWS = 1_000
 
 
+# Words whose ids a worker keeps, about 200 bytes each.
+KEPT_WORDS = 800_000
 # Marks that are a piece of their own after a word.
 MARKS = ".,;:!?"
 
@@ -67,6 +69,7 @@ class Encoder(Words):
     def __init__(self, path: str):
         ids = [i.to_bytes(4, "little") for i in range(bpe.load(path).get_vocab_size())]
         super().__init__(path, lambda tokens: b"".join([ids[t.id] for t in tokens]), b"".join, lambda i: ids[i])
+        self.spaced.bound = KEPT_WORDS
 
 
 def encoder(path: str) -> Encoder:
