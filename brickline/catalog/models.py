@@ -9,7 +9,7 @@ from brickline.bindings import CUTOFF, Tables
 from brickline.catalog.registry import CTES, add_ctes, query, rounded
 from brickline.functions.dates import month_floor
 from brickline.operators.panel import rolling_mean
-from brickline.plans import additive, arima, baselines, decomposition, features, hedonic, history, learned, repeat_sales, sequence
+from brickline.plans import additive, arima, baselines, decomposition, features, hedonic, history, learned, repeat_sales, sequence, statespace
 from brickline.session import settle
 
 TRAIN = "ds <= date '1999-12-01'"
@@ -119,7 +119,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("forecast_sarima_fixed")
 def _(t: Tables) -> DataFrame:
-    return arima.forecast_fixed(panel(t), {"price": arima.SARIMA_SEASONAL, "rent": arima.SARIMA_PLAIN}, 36)
+    return statespace.forecast_fixed(panel(t), {"price": statespace.SEASONAL, "rent": statespace.PLAIN}, 36)
 
 
 @query("forecast_additive_panel")

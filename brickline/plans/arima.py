@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -69,11 +68,6 @@ def fixed_spec(name: str, diff: tuple[int, int], ar: Sequence[int], ma: Sequence
     return Spec(name, (diff,), tuple(ar), tuple(ma), ((tuple(ar), tuple(ma)),))
 
 
-# (1,1,1)(1,1,1) with season 12, its product terms free, and (0,1,1).
-SARIMA_SEASONAL = fixed_spec("sarima_111_111_12", (1, 1), (1, 12, 13), (1, 12, 13))
-SARIMA_PLAIN = fixed_spec("arima_011", (1, 0), (), (1,))
-
-
 def diff_weights(d: int, s: int) -> np.ndarray:
     """Coefficients of (1-B)^d (1-B^12)^s."""
     w = np.ones(1)
@@ -240,12 +234,3 @@ def backtest_arima(panel: DataFrame, spec: Spec | None = None, cutoff: str = CUT
     # The differenced value holds y plus known history, so its error is the error of y.
     scored = rows.join(order, KEYS).withColumn("__p", F.col("y") - F.col("z") + step)
     return backtest_rows(scored, {f"{spec.name}_backtest": (F.col("__p"), Z95 * F.sqrt("sigma2"))}, cutoff)
-
-
-def forecast_fixed(panel: DataFrame, specs: dict[str, Spec], horizon: int, cutoff: str = CUTOFF) -> DataFrame:
-    """A fixed order per target: the path beyond the data, and the forecast of the test span with its actual values."""
-    parts = []
-    for target, spec in specs.items():
-        series = panel.filter(F.col("target") == target)
-        parts += [forecast_arima(series, spec, horizon), backtest_arima(series, spec, cutoff)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

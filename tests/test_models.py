@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brickline.operators.joins import scale_by_ratio
 from brickline.operators.regression import fit_ridge
-from brickline.plans import additive, anomalies, arima, baselines, evaluate, risk, sequence
+from brickline.plans import additive, anomalies, arima, baselines, evaluate, risk, sequence, statespace
 
 CUT = "2005-12-01"
 
@@ -79,7 +79,7 @@ def test_arima_backtest_beats_nothing_by_cheating(noisy):
 
 
 def test_seasonal_order_runs(noisy):
-    check_forecast(arima.forecast_arima(noisy, arima.SARIMA_SEASONAL, 36), 2, 36)
+    check_forecast(statespace.forecast_state_space(noisy, statespace.SEASONAL, 36), 2, 36)
 
 
 def test_additive_follows_trend_and_season(spark):
