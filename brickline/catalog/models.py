@@ -9,7 +9,7 @@ from brickline.bindings import CUTOFF, Tables
 from brickline.catalog.registry import CTES, add_ctes, query, rounded
 from brickline.functions.dates import month_floor
 from brickline.operators.panel import rolling_mean
-from brickline.plans import additive, arima, baselines, decomposition, features, hedonic, history, learned, repeat_sales, sequence, statespace
+from brickline.plans import additive, arima, baselines, decomposition, features, hedonic, history, learned, loess, repeat_sales, sequence, statespace
 from brickline.session import settle
 
 TRAIN = "ds <= date '1999-12-01'"
@@ -175,6 +175,36 @@ def _(t: Tables) -> DataFrame:
     return rounded(decomposition.unit_root(t.series_dense), "t_stat", digits=4)
 
 
+@query("stl_robust_panel")
+def _(t: Tables) -> DataFrame:
+    return loess.robust_decomposition(t.series_dense)
+
+
+@query("stationarity_augmented")
+def _(t: Tables) -> DataFrame:
+    return decomposition.augmented_unit_root(t.series_dense)
+
+
+def _critical_sql(powers: tuple[float, ...]) -> str:
+    return " + ".join(f"({c}) / power(n, {k})" for k, c in enumerate(powers))
+
+
+@query(
+    "stationarity_one_lag",
+    """select city, target, cast(n as bigint) as n_obs, round(b / sqrt((dd - b * xd - c * zd) / (n - 3) * zz / det), 4) as t_stat, """
+    + ", ".join(f"round({_critical_sql(powers)}, 6) as {name}" for name, powers in decomposition.CRITICAL.items())
+    + """ from (select *, (xd * zz - zd * xz) / det as b, (zd * xx - xd * xz) / det as c from (select *, xx * zz - xz * xz as det from (
+         select city, target, count(*) as n, count(*) * var_pop(x) as xx, count(*) * var_pop(z) as zz, count(*) * var_pop(d) as dd,
+           count(*) * covar_pop(x, z) as xz, count(*) * covar_pop(x, d) as xd, count(*) * covar_pop(z, d) as zd
+         from (select *, lag(d) over (partition by city, target order by ds) as z
+               from (select *, y - x as d from (select *, lag(y) over (partition by city, target order by ds) as x from b_filled)))
+         where d is not null and z is not null group by 1, 2)))""",
+)
+def _(t: Tables) -> DataFrame:
+    tested = decomposition.augmented_unit_root(t.series_dense, fixed=1).drop("lags", "p_value", "is_stationary")
+    return rounded(rounded(tested, "t_stat", digits=4), *decomposition.CRITICAL, digits=6)
+
+
 SIMILAR = ["hpi_benchmark", "rent_avg_city", "mortgage_rate", "unemployment_rate", "overnight_rate"]
 
 

@@ -309,8 +309,12 @@ def _one_step_udf(spec: Orders):
 
 
 def _by_series(panel: DataFrame, cutoff: str) -> DataFrame:
-    """One row per series: ``s`` its months in order, ``trained`` how many lie up to the cutoff; no nulls, no NaN."""
-    known = panel.filter(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
+    """One row per series: ``s`` its months in order, ``trained`` how many lie up to the cutoff; no nulls, no NaN.
+
+    The number of partitions is given, because a fit costs far more than the size of its row says.
+    """
+    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = panel.filter(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double"))).repartition(tasks, *SERIES)
     months = F.array_sort(F.collect_list(F.struct("ds", F.col("y").cast("double").alias("y"))))
     trained = F.count_if(F.col("ds") <= F.lit(cutoff).cast("date")).alias("trained")
     return known.groupBy(*SERIES).agg(months.alias("s"), trained)

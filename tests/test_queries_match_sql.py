@@ -15,7 +15,7 @@ SAMPLE = [
     "upsert_last_wins", "upsert_coalesce", "upsert_partial", "insert_ignore", "parse_month", "normalise_listings",
     "normalise_rents", "flatten_observations", "write_facts", "write_replace_slice",
     "rolling_mean", "annual_to_monthly", "extrapolate_last3", "zscore_by_city", "sample_horizon", "repeat_sales_pairs",
-    "backtest_ar1", "forecast_drift", "stl_panel", "stationarity_panel", "lexicon_sentiment", "serve_risk_gauge",
+    "backtest_ar1", "forecast_drift", "stl_panel", "stationarity_panel", "stationarity_one_lag", "lexicon_sentiment", "serve_risk_gauge",
     "serve_risk_gauge_oldest", "city_report", "stream_daily_sentiment", "stream_sessions", "stream_upsert",
 ]
 NAMES = sorted(catalog.ORACLES) if os.environ.get("CHECK_ALL") else SAMPLE
