@@ -9,7 +9,7 @@ from brickline.bindings import CUTOFF, Tables
 from brickline.catalog.registry import CTES, add_ctes, query, rounded
 from brickline.functions.dates import month_floor
 from brickline.operators.panel import rolling_mean
-from brickline.plans import additive, arima, baselines, decomposition, features, hedonic, history, learned, loess, repeat_sales, sequence, statespace
+from brickline.plans import additive, arima, baselines, decomposition, features, hedonic, history, learned, loess, periods, repeat_sales, sequence, statespace
 from brickline.session import settle
 
 TRAIN = "ds <= date '1999-12-01'"
@@ -223,11 +223,52 @@ def _(t: Tables) -> DataFrame:
     return rounded(decomposition.period_similarity(scored, [f"{c}_z" for c in SIMILAR]), "similarity", digits=4)
 
 
+def _windows_sql(length: int) -> str:
+    frame = f"over (partition by city, k order by date rows between {length - 1} preceding and current row)"
+    return f"""select city, {length} as months, date, match_date, round(s, 6) as s from (
+        select city, date, match_date, k, sum(sq) {frame} as s, count(*) {frame} as n from b_z_pairs) where n = {length} and k >= {length}"""
+
+
+def _pairs_sql() -> dict[str, str]:
+    squares = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in SIMILAR)
+    return {
+        "b_z_numbered": "select *, row_number() over (partition by city order by date) as i from b_z",
+        "b_z_pairs": f"""select a.city, a.date, b.date as match_date, a.i - b.i as k, {squares} as sq
+            from b_z_numbered a join b_z_numbered b on a.city = b.city and a.i > b.i""",
+        "b_z_windows": " union all ".join(_windows_sql(length) for length in periods.MONTHS),
+    }
+
+
+def _z_columns() -> list[str]:
+    return [f"{c}_z" for c in SIMILAR]
+
+
+@query(
+    "period_profile",
+    """select city, months, date, match_date, round(sqrt(s), 4) as distance from (
+         select * from b_z_windows union all select city, months, match_date as date, date as match_date, s from b_z_windows)
+       qualify row_number() over (partition by city, months, date order by s, match_date) = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(periods.period_profile(features.model_features_from(t), _z_columns()), "distance", digits=4)
+
+
+@query(
+    "period_matches",
+    """select city, months, date, match_date, round(sqrt(s), 4) as distance, cast(rank as integer) as rank from (
+         select *, row_number() over (partition by city, months order by s, match_date) as rank
+         from (select * from b_z_windows qualify date = max(date) over (partition by city))) where rank <= 5""",
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(periods.period_matches(features.model_features_from(t), _z_columns()), "distance", digits=4)
+
+
 add_ctes(
     {
         "b_z": "select city, date, "
         + ", ".join(f"coalesce(({c} - avg({c}) over c) / (stddev_samp({c}) over c + 1e-6), 0) as {c}" for c in SIMILAR)
         + " from b_derived window c as (partition by city) qualify row_number() over (partition by city order by date) > 12",
+        **_pairs_sql(),
     }
 )
 
