@@ -108,19 +108,25 @@ def forest_scores(y: np.ndarray, seed: int = SEED) -> np.ndarray:
 
 
 def detect_forest(series: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
-    """Isolation forest per series: one task per series, series bounded by the calendar.
+    """Isolation forest per series: a row holds a series, bounded by the calendar, and a task takes rows in batches.
 
     Flagged is what scores above the ``1 - contamination`` quantile of its series' scores, in short series too; where
     all score alike nothing is.
     """
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        scores = forest_scores(pdf["y"].to_numpy(dtype=float))
-        return pdf.assign(score=scores, flagged=scores > np.quantile(scores, 1 - contamination) + 1e-12)
+    @F.pandas_udf("array<struct<score: double, flagged: boolean>>")
+    def score(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            scores = forest_scores(np.asarray(v, dtype=float))
+            flagged = scores > np.quantile(scores, 1 - contamination) + 1e-12
+            out.append(list(zip(scores.tolist(), flagged.tolist())))
+        return pd.Series(out, dtype=object)
 
     # Few bytes but much work per series: a fixed spread keeps adaptive merging from making one task of it.
     spread = series.sparkSession.sparkContext.defaultParallelism
-    known = series.filter("y is not null").select("city", "target", "ds", "y").repartition(spread, *SERIES)
-    scored = known.groupBy(*SERIES).applyInPandas(score, "city string, target string, ds date, y double, score double, flagged boolean")
+    known = series.filter("y is not null").select("city", "target", "ds", F.col("y").cast("double")).repartition(spread, *SERIES)
+    rows = known.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("s"))
+    opened = rows.select(*SERIES, F.inline(F.arrays_zip("s", score(F.col("s.y")).alias("f"))))
+    scored = opened.select(*SERIES, "s.ds", "s.y", "f.score", "f.flagged")
     return _signals(scored, SERIES, F.col("score"), F.col("flagged"), "isolation_forest")
