@@ -136,6 +136,22 @@ def _(t: Tables) -> DataFrame:
     return scores_in_thousands(t, with_horizon=False)
 
 
+@query(
+    "store_model_scores",
+    f"""select city, target, horizon_months, model_name, {SCORES},
+          case model_name when 'seasonal_naive_backtest' then '2001-01-01' else '2002-01-01' end as evaluated
+        from b_thousands group by 1, 2, 3, 4""",
+)
+def _(t: Tables) -> DataFrame:
+    """A first evaluation of two models, then a second one in which one of them is scored again and a third comes in."""
+    scored = scores_in_thousands(t)
+    first = scored.filter("model_name <> 'ar1_backtest'").withColumn("evaluated_at", F.lit("2001-01-01").cast("timestamp"))
+    stored = first.select(*evaluate.SCORE_KEYS, *evaluate.SCORE_COLUMNS, "evaluated_at")
+    second = scored.filter("model_name <> 'seasonal_naive_backtest'")
+    out = evaluate.store_scores(stored, second, "2002-01-01")
+    return out.withColumn("evaluated", F.date_format("evaluated_at", "yyyy-MM-dd")).drop("evaluated_at")
+
+
 def best_sql(missing: str) -> str:
     parts = []
     for m in ("mae", "mape", "rmse", "mse", "r2"):

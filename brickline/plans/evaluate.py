@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickline.operators.merge import upsert_last_wins
+
 # Score columns, and the one where larger is better.
 SCORE_COLUMNS = ["mae", "mape", "rmse", "mse", "r2"]
 LARGER_IS_BETTER = "r2"
+SCORE_KEYS = ["city", "target", "horizon_months", "model_name"]
 
 
 def score_models(predictions: DataFrame, with_horizon: bool = True, digits: int = 4) -> DataFrame:
@@ -40,3 +43,13 @@ def best_model_per_metric(scores: DataFrame, missing: str = "skip") -> DataFrame
     return mean.groupBy("city", "target", "metric").agg(
         F.min_by("model_name", F.struct(cost, F.col("model_name"))).alias("best_model")
     )
+
+
+def store_scores(stored: DataFrame, scores: DataFrame, evaluated_at: str) -> DataFrame:
+    """The stored score table after an evaluation: new and scored-again keys get the new scores and ``evaluated_at``.
+
+    Other rows stay as they are. Of scores with equal keys the largest row counts; rows with a null key are left out. An
+    empty evaluation leaves the table as it is.
+    """
+    fresh = scores.select(*SCORE_KEYS, *SCORE_COLUMNS).withColumn("evaluated_at", F.lit(evaluated_at).cast("timestamp"))
+    return upsert_last_wins(stored, fresh, SCORE_KEYS, SCORE_COLUMNS)
