@@ -16,6 +16,8 @@ SAMPLE = [
     "hedonic_regression", "hedonic_by_city", "repeat_sales_index", "repeat_sales_sums", "lexicon_sentiment", "stream_upsert",
     "forecast_sequence_panel", "backtest_sequence_panel", "quality_report",
     "forecast_sarima_fixed", "stl_robust_panel", "stationarity_augmented", "stationarity_one_lag",
+    "forecast_additive_panel", "backtest_additive_panel", "detect_anomalies_forest", "period_profile", "period_matches",
+    "store_model_scores",
 ]
 NAMES = sorted(catalog.QUERIES) if os.environ.get("CHECK_ALL") else SAMPLE
 # Queries whose result has rows without any data: counts, fixed lists, measures of nothing.
