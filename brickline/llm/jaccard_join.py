@@ -1,10 +1,12 @@
 """Near-duplicate join of documents by the Jaccard similarity of their word n-grams, with a MinHash LSH forest.
 
 1. Each text becomes the set of its hashed word n-grams. Documents with equal sets are copies; one stands for all.
-2. Each tree groups the representatives by the hash of a prefix of its stretch of the signature. The prefix has the
-   same length for all: the longest at which a pair at the threshold shares a branch of some tree with the target
-   probability. It follows from the constants, before any data is read; no trie is built.
+2. Each tree is a prefix trie over its stretch of the signatures: a branch is the representatives that share a prefix,
+   sorted by the rest. The tries are matched at their full depth first, then at prefixes one value shorter at a time,
+   until a pair at the threshold shares a branch of some tree with the target probability.
 3. Within a branch, signatures are compared; members that look alike are linked to a family by spanning links only.
+   A shorter prefix compares only what the longer ones left in different families, and a branch that lies within one
+   family is not opened again.
 4. Families, components of those links, are verified: every pair of a family is compared exactly on its n-gram sets.
    Rows that come out are sums for each member and spanning links, never the pairs.
 
@@ -83,11 +85,12 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(48)).astype(">u2")
 
 
-SKETCH = "doc_id long, key binary, n_grams int, signature binary"
+SKETCH = "doc_id long, mark long, key binary, n_grams int, signature binary"
 
 
 def sketches(docs: DataFrame, size: int = N_GRAM) -> DataFrame:
-    """``doc_id, key, n_grams, signature``; the key names the n-gram set and is null for a text without words."""
+    """``doc_id, mark, key, n_grams, signature``; ``mark`` is the text's hash, the key names the n-gram set and is null
+    for a text without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of = only(("grams", size), lambda: Grams(size))
@@ -99,11 +102,11 @@ def sketches(docs: DataFrame, size: int = N_GRAM) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                 signatures.append(signature(grams).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "key", "n_grams", "signature"],
+                [batch["doc_id"], batch["mark"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())],
+                names=["doc_id", "mark", "key", "n_grams", "signature"],
             )
 
-    return texts_of(docs).mapInArrow(sketch, SKETCH)
+    return texts_of(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(sketch, SKETCH)
 
 
 def _block_pairs(df: DataFrame, blocks: Column, member: str) -> DataFrame:
@@ -138,21 +141,25 @@ def _binary_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each branch's members whose signatures agree in at least that share of their values."""
+    """Spanning links of each branch's members of different families whose signatures agree in at least that share of
+    their values."""
     for table, starts in whole_groups(batches, ["branch", "i", "j"]):
         keys = table["key"].to_pylist()
         marks = _binary_matrix(table["signature"], 2 * TREES * DEPTH).view(np.uint16)
+        family = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
         block, lower, upper = (table[c].to_numpy() for c in ("block", "i", "j"))
         links: set[tuple[bytes, bytes]] = set()
         sizes = np.diff(starts)
         pair = starts[:-1][sizes == 2]
+        pair = pair[family[pair] != family[pair + 1]]
         agree = (marks[pair] == marks[pair + 1]).mean(1) >= least if len(pair) else []
         links.update((keys[k], keys[k + 1]) for k in pair[agree])
         for lo, hi in zip(starts[:-1][sizes > 2], starts[1:][sizes > 2]):
             own = marks[lo:hi]
             linked = np.zeros((hi - lo, hi - lo), bool)
             for r in range(hi - lo):
-                linked[r, r + 1 :] = (own[r + 1 :] == own[r]).mean(1) >= least
+                others = r + 1 + np.flatnonzero(family[lo + r + 1 : hi] != family[lo + r])
+                linked[r, others] = (own[others] == own[r]).mean(1) >= least
             if lower[lo] != upper[lo]:  # pairs inside one block are compared where i = j
                 linked &= block[lo:hi, None] != block[None, lo:hi]
             links.update((keys[lo + a], keys[lo + b]) for a, b in _spanning(linked | linked.T))
@@ -161,21 +168,41 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _families(reps: DataFrame, depth: int, least: float) -> DataFrame:
-    """``node, label`` of every representative that looks like another one."""
+def _matches(reps: DataFrame, families: DataFrame | None, depth: int, least: float) -> DataFrame:
+    """Spanning links ``a, b`` of representatives that share a prefix of that depth in some tree and look alike.
+
+    ``families`` holds ``node, label`` of what longer prefixes have linked; everything else is a family of its own.
+    """
     width = 2 * DEPTH
     stretch = lambda t: F.xxhash64(F.lit(t), F.substring("signature", t * width + 1, 2 * depth))
-    branches = reps.select("key", F.explode(F.array(*(stretch(t) for t in range(TREES)))).alias("branch"))
-    shared = branches.groupBy("branch").agg(F.count("*").alias("n")).where("n > 1")
+    own = reps.select("key", "signature").withColumn("label", F.col("key"))
+    if families is not None:
+        own = own.drop("label").join(families.withColumnRenamed("node", "key"), "key", "left")
+        own = own.withColumn("label", F.coalesce("label", "key"))
+    branches = own.select("key", "label", F.explode(F.array(*(stretch(t) for t in range(TREES)))).alias("branch"))
+    shared = branches.groupBy("branch").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = shared.where("low <> high").select("branch", "n")
     members = branches.join(shared, "branch").join(reps.select("key", "signature"), "key")
     members = _block_pairs(members, F.ceil(F.col("n") / BRANCH_BLOCK), "key")
-    links = (
-        members.select("branch", "i", "j", "block", "key", "signature")
+    return (
+        members.select("branch", "i", "j", "block", "key", "label", "signature")
         .repartition("branch", "i", "j")
         .sortWithinPartitions("branch", "i", "j", "signature")
         .mapInArrow(lambda it: _alike(it, least), "a binary, b binary")
     )
-    return components(links, "families")
+
+
+def _families(reps: DataFrame, threshold: float, least: float) -> DataFrame:
+    """``node, label`` of every representative that looks like another one, from the full depth of the tries up."""
+    families = None
+    for depth in range(DEPTH, prefix_depth(threshold) - 1, -1):
+        links = settle(_matches(reps, families, depth, least), "matches")
+        if families is not None:
+            if links.isEmpty():
+                continue
+            links = links.unionByName(families.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        families = settle(components(links, "families"), "families")
+    return families
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -239,8 +266,14 @@ def near_duplicates(docs: DataFrame, size: int = N_GRAM) -> DataFrame:
     ``class_id`` is the smallest doc_id that links lead to, ``copy_of`` the smallest doc_id with the same n-gram set.
     ``n_text_links`` counts the other n-gram sets of a similarity of at least the threshold, ``n_links`` the other
     documents, copies included. A text without words (null, empty, blank) is alone. Repeated rows count as copies.
-    Words are compared as written. Other columns are left behind.
+    Words are compared as written. Other columns are left behind, and an empty table gives an empty result.
     """
+    return _classes(docs, size).drop("mark", "class_key")
+
+
+def _classes(docs: DataFrame, size: int) -> DataFrame:
+    """The near duplicates with their text's ``mark``, and ``class_key``, which names the class and is null for a text
+    without words."""
     num, den = THRESHOLD
     threshold = num / den
     sketched = settle(sketches(docs, size), "sketches")
@@ -251,7 +284,7 @@ def near_duplicates(docs: DataFrame, size: int = N_GRAM) -> DataFrame:
         .select("key", "first.*", "copies")
     )
     reps = settle(reps, "representatives")
-    families = settle(_families(reps, prefix_depth(threshold), threshold - SLACK), "families")
+    families = _families(reps, threshold, threshold - SLACK)
     members = families.withColumnRenamed("node", "key").join(reps.select("key", "doc_id", "n_grams", "copies"), "key")
     sizes = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
     members = settle(members.join(sizes, "label"), "family-members")
@@ -274,13 +307,15 @@ def near_duplicates(docs: DataFrame, size: int = N_GRAM) -> DataFrame:
     )
     lowest = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     by_key = reps.select("key", F.col("doc_id").alias("copy_of"), "copies").join(
-        linked.join(lowest, "label").select("key", "class_id", "n_texts", "n_docs"), "key", "left"
+        linked.join(lowest, "label").select("key", "label", "class_id", "n_texts", "n_docs"), "key", "left"
     )
     # Written, so that the join below is one of two plain shuffles: Spark splits a key that a third of the documents have.
     by_key = settle(by_key, "by-key")
     alone = F.col("key").isNull()
-    return sketched.select("doc_id", "key").join(by_key, "key", "left").select(
+    return sketched.select("doc_id", "mark", "key").join(by_key, "key", "left").select(
         "doc_id",
+        "mark",
+        F.coalesce("label", "key").alias("class_key"),
         F.when(alone, F.col("doc_id")).when(F.col("n_texts").isNull(), F.col("copy_of")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_text_links"),
@@ -291,10 +326,14 @@ def near_duplicates(docs: DataFrame, size: int = N_GRAM) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their class, with all their columns; of equal rows one stays.
 
+    First is the smallest doc_id, and among different texts of one class that share it the one of the smallest hash.
     Documents without words are in no class, so they all stay. A null doc_id counts as the smallest.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__own_id")
-    first = near_duplicates(docs).where("doc_id <=> class_id").select(own).distinct()
-    kept = docs.withColumn("__own_id", own).join(first.hint("merge"), "__own_id", "left_semi")
-    equal = Window.partitionBy("__own_id", "text").orderBy(F.lit(0))
-    return kept.withColumn("__copy", F.row_number().over(equal)).where("__copy = 1").drop("__own_id", "__copy")
+    marked = docs.withColumns({"__own_id": own, "__mark": F.xxhash64(F.coalesce("text", F.lit("")))})
+    row = F.struct(own, F.col("mark").alias("__mark"))
+    alone = F.when(F.col("class_key").isNull(), row)
+    first = _classes(docs, N_GRAM).groupBy("class_key", alone.alias("alone")).agg(F.min(row).alias("first")).select("first.*")
+    kept = marked.join(first.hint("merge"), ["__own_id", "__mark"], "left_semi")
+    equal = Window.partitionBy("__own_id", "__mark", "text").orderBy(F.lit(0))
+    return kept.withColumn("__copy", F.row_number().over(equal)).where("__copy = 1").drop("__own_id", "__mark", "__copy")

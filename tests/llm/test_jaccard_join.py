@@ -99,6 +99,31 @@ def test_stage_keeps_the_first_of_each_class(documents):
     assert got == sorted({v[0] for v in want.values()})
 
 
+def test_texts_that_share_an_id_are_judged_apart(documents):
+    words = [f"w{k}" for k in range(100)]
+    near, other, alike = " ".join([*words[:-1], "x"]), " ".join(f"v{k}" for k in range(80)), " ".join([*words[:-1], "y"])
+    got = keep_one_of_each(documents((2, " ".join(words)), (4, near), (4, other), (5, other), (2, alike))).collect()
+    assert len(got) == 2 and {(r["doc_id"], r["text"][0]) for r in got} == {(2, "w"), (4, "v")}
+
+
+def test_shorter_prefixes_open_only_what_longer_ones_left(spark, documents, monkeypatch):
+    depths, match = [], jaccard_join._matches
+
+    def noted(reps, families, depth, least):
+        links = match(reps, families, depth, least)
+        label = {} if families is None else {bytes(r["node"]): bytes(r["label"]) for r in families.collect()}
+        pairs = [(bytes(r["a"]), bytes(r["b"])) for r in links.collect()]
+        depths.append((depth, len(pairs)))
+        assert all(label.get(a, a) != label.get(b, b) for a, b in pairs)
+        return links
+
+    monkeypatch.setattr(jaccard_join, "_matches", noted)
+    rows = corpus(260)
+    assert as_dict(near_duplicates(documents(*rows))) == plain_join(rows)
+    assert [d for d, _ in depths] == list(range(jaccard_join.DEPTH, prefix_depth(0.8) - 1, -1)) and len(depths) > 1
+    assert depths[0][1] > depths[-1][1]
+
+
 def test_empty_table(documents):
     assert near_duplicates(documents((1, "a")).where("false")).collect() == []
 
