@@ -20,7 +20,7 @@ from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickline.session import new_table_path, settle
@@ -90,16 +90,20 @@ def captures(pages: DataFrame) -> DataFrame:
     )
 
 
+def _sha() -> Column:
+    return F.unhex(F.sha1(F.col("html").cast("binary")))
+
+
 def revisits(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
-    """``page_id, refers_to`` of the captures whose payload a smaller page_id has. Only digests are shuffled.
+    """``page_id, sha, refers_to`` of the captures whose payload a smaller page_id has. Only digests are shuffled.
 
     Copies are counted before the shuffle; a payload that a third of the pages share is one row a task there, and in
     the join Spark splits its pages among tasks.
     """
     named = captures(pages).where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least))
-    named = settle(named.select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha")), "page-digests")
+    named = settle(named.select("page_id", _sha().alias("sha")), "page-digests")
     first = named.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return named.join(first, "sha").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return named.join(first, "sha").where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISITED, file_bytes: int = FILE_BYTES) -> None:
@@ -107,10 +111,13 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISITED, fi
 
     Equal payloads: the smallest page_id is the response. Repeated rows with that page_id are responses too, since a
     record can't refer to itself. Null url or html count as empty; a null page_id is written as a response with no id.
+    An empty table writes no record. Pages move once, dealt to as many files by id and payload, where they meet the
+    narrow table of revisits dealt alike, at every size. Only rows equal in both always share a file.
     """
     pages = captures(pages)
     total = pages.agg(F.sum(F.octet_length("html") + 600)).first()[0] or 0
-    again = settle(revisits(pages, least), "revisits").withColumnRenamed("page_id", "again")
+    dealt = max(1, -(-total // file_bytes)), "page_id", "sha"
+    again = settle(revisits(pages, least), "revisits").repartition(*dealt).hint("shuffle_hash")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +130,9 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISITED, fi
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string()).cast(pa.string())], names=["value"])
 
     (
-        pages.repartition(max(1, -(-total // file_bytes)), "page_id", "ts")
-        .join(again, F.col("page_id") == F.col("again"), "left")
+        pages.withColumn("sha", _sha())
+        .repartition(*dealt)
+        .join(again, ["page_id", "sha"], "left")
         .select("page_id", "url", "ts", "html", "refers_to")
         .mapInArrow(records, "value string")
         .write.option("lineSep", RECORD_END)

@@ -63,6 +63,25 @@ def test_index_is_in_global_order(spark, folder, monkeypatch):
     assert [warc._order(e) for e in index] == sorted(map(warc._order, index))
 
 
+def test_archives_are_bounded_whatever_the_join(spark, folder):
+    table = spark.read.parquet(f"{folder}/pages.parquet")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (held, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            path = new_table_path(spark, "warc-files")
+            write_archives(table, path, file_bytes=20_000)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        sizes = [len(gzip.open(f).read()) for f in glob.glob(f"{path}/part-*")]
+        assert len(sizes) > 10 and max(sizes) < 100_000
+
+
+def test_one_id_with_two_payloads(spark):
+    got = capture_index(pages(spark, [(1, "u", "a"), (2, "u", "b"), (5, "u", "a"), (5, "u", "b"), (5, "u", "c")])).collect()
+    assert sorted((r["page_id"], r["refers_to"] or 0) for r in got) == [(1, 0), (2, 0), (5, 0), (5, 1), (5, 2)]
+
+
 def test_url_keys_sort_by_host_from_the_right():
     assert url_key("HTTPS://www.A.example.com:443/b?q=1#f") == "com,example,a)/b?q=1"
     assert url_key("http://x.example:8080") == "example,x:8080)/"
