@@ -4,8 +4,9 @@ A document is a bag of passages; only the bag has a label. Every passage is enco
 and words. A gated attention, learned from the bags' labels alone, weighs the passages, and the weighted passage
 representation is scored. So a few bad passages can decide, and the weights tell which ones did.
 
-The network is fitted on a bounded sample of the labelled documents, ``sample`` rows in the order of a hash of doc_id
-and of each at most ``sample_passages`` passages spread over its text; every passage of every document is scored.
+The network is fitted on a bounded sample of the labelled documents: of ``sample`` rows in the order of a hash of doc_id
+those whose bags fit into ``sample_passages`` passages together, each with all its passages. A row whose bag no longer
+fits, or would take over a sixteenth of them, is not learned from. Every passage of every document is scored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickline.llm.shared import WORD, held_out
+from brickline.session import settle
 
 PASSAGE_WORDS = 64
 SHAPE_BUCKETS = 96
@@ -28,7 +30,7 @@ WORD_FEATURES = 8
 FEATURES = SHAPE_BUCKETS + WORD_FEATURES
 HIDDEN = 24
 SAMPLE = 6_000
-SAMPLE_PASSAGES = 32
+SAMPLE_PASSAGES = 160_000
 
 # Character shapes: small letter, capital, other letter, digit, blank, line end, and the marks one by one or in kinds.
 _KINDS = 24
@@ -98,8 +100,14 @@ def encode_passages(text: str) -> np.ndarray:
     return rows.astype(np.float32)
 
 
-def _spread(bag: np.ndarray, most: int) -> np.ndarray:
-    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
+def whole_bags(sizes: list[int], most: int) -> list[int]:
+    """Places of the bags that fit together into ``most`` passages, in the order given, none over a sixteenth of it."""
+    places, total = [], 0
+    for place, size in enumerate(sizes):
+        if size <= max(1, most // 16) and total + size <= most:
+            places.append(place)
+            total += size
+    return places
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -187,14 +195,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passa
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [_spread(encode_passages(t or ""), sample_passages).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["quality"], pa.array(bags, pa.binary())], names=["id", "quality", "bag"])
+            bags = [encode_passages(t or "") for t in batch["text"].to_pylist()]
+            columns = [pa.array([len(b) for b in bags], pa.int64()), pa.array([b.tobytes() for b in bags], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["quality"], *columns], names=["id", "quality", "n", "bag"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
     order = F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")
     texts = texts.groupBy("id", "quality").agg(F.min_by("text", order).alias("text"))
-    rows = texts.select("id", "quality", "text").mapInArrow(encode, "id long, quality int, bag binary").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], bytes(r["bag"])))
+    encoded = settle(texts.select("id", "quality", "text").mapInArrow(encode, "id long, quality int, n long, bag binary"), "quality-bags")
+    sizes = encoded.select("id", "n").orderBy(F.xxhash64("id"), "id").collect()
+    taken = [(sizes[k]["id"],) for k in whole_bags([r["n"] for r in sizes], sample_passages)]
+    rows = encoded.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "id long")), "id").collect()
+    rows = sorted(rows, key=lambda r: r["id"])
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
     return AttentionModel().fit(bags, np.array([r["quality"] for r in rows], np.float64))
 

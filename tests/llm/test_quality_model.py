@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brickline.llm.quality_model import FEATURES, AttentionModel, encode_passages, learn, score_documents
+from brickline.llm.quality_model import FEATURES, AttentionModel, encode_passages, learn, score_documents, whole_bags
 
 
 def test_gradients_match_differences():
@@ -77,10 +77,10 @@ def test_passages_cover_the_whole_text():
     assert encode_passages("").shape == (1, FEATURES)
 
 
-def learned_bags(docs, labels, monkeypatch):
+def learned_bags(docs, labels, monkeypatch, **bounds):
     held = []
     monkeypatch.setattr(AttentionModel, "fit", lambda self, bags, labels: held.extend(bags) or self)
-    learn(docs, labels)
+    learn(docs, labels, **bounds)
     return held
 
 
@@ -90,3 +90,32 @@ def test_an_id_is_learned_from_once(spark, documents, monkeypatch):
     labels = spark.createDataFrame([(k, k % 2) for k in learnable], "doc_id long, quality int")
     bags = learned_bags(documents(*rows), labels, monkeypatch)
     assert len(bags) == len(learnable) and all(b.any() for b in bags)
+
+
+def test_learned_bags_are_whole(spark, documents, monkeypatch):
+    learnable = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(k, " ".join(f"word{j}" for j in range(64 * (1 + k % 5)))) for k in learnable[1:]] + [(learnable[0], "long " * 64 * 200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in learnable], "doc_id long, quality int")
+    whole = sorted(len(encode_passages(t)) for _, t in rows)
+    assert sorted(map(len, learned_bags(documents(*rows), labels, monkeypatch))) == whole
+    few = learned_bags(documents(*rows), labels, monkeypatch, sample_passages=80)
+    assert 60 < sum(map(len, few)) <= 80 and set(map(len, few)) <= set(range(1, 6))
+    assert whole_bags([5, 2, 90, 4], 96) == [0, 1, 3] and whole_bags([], 5) == []
+
+
+def test_scores_equal_the_attention_by_hand(spark, documents):
+    """Each document's score against sums over its passages, one by one, with the learned numbers."""
+    rows = [(k, (f"good prose number {k}. " if k % 2 else f"#$% SPAM {k} !!! ") * (1 + 37 * (k % 7))) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    docs = documents(*rows)
+    model = learn(docs, labels)
+    p, texts = model.p, dict(rows)
+    for r in score_documents(docs, labels, model).collect():
+        weights, values = [], []
+        for x in (encode_passages(texts[r["doc_id"]]) - model.mean) / model.scale:
+            h = np.tanh(x @ p["A"])
+            gate = np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))
+            weights.append(np.exp(gate @ p["w"]))
+            values.append(h @ p["c"])
+        z = sum(w * v for w, v in zip(weights, values)) / sum(weights) + p["b"][0]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
