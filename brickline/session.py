@@ -89,9 +89,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so a table used by several branches is computed once and a
     lost executor costs one re-read; and the written size is known to the planner,
     which then broadcasts the table only when it is under the session's threshold.
+    Compressed hard, since many such tables lie side by side until a unit of work ends.
     """
     path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
