@@ -9,8 +9,9 @@ A search walks the graph, links taken both ways, from the query's own node: it o
 opened, measures their neighbours, and stops when the ``width`` nearest it knows are all opened.
 
 Centres are dealt to blocks of bounded size, and each block gets every vector that it needs once, however many of its
-centres need it. Lists have a fixed length, in the graph, in reverse links and in samples, so a node that is near a
-third of all others is no larger than any other. All is exact but the choice of what is compared.
+centres need it. Lists have a fixed length in the graph, and reverse links are cut to their sample in every task before
+they are shuffled, so a node that is near a third of all others is no larger than any other. A search sends a query and
+the nodes it asks for only to the blocks where they meet. All is exact but the choice of what is compared.
 """
 
 from __future__ import annotations
@@ -189,6 +190,15 @@ def _meetings(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["centre", "member", "kind"])
 
 
+def _sampled(meetings: DataFrame, number: int) -> DataFrame:
+    """Of each centre's meetings of a kind ``SAMPLED``, in the order of a hash, the same in any retry.
+
+    Spark keeps the first of each in every task before it shuffles them, so a centre of any fame sends few rows.
+    """
+    order = Window.partitionBy("centre", "kind").orderBy(F.xxhash64("centre", "member", F.lit(number)), "member")
+    return meetings.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLED).drop("place")
+
+
 def _local_join(meetings: pa.Table, vectors: pa.Table) -> pa.Table:
     """Within a block of centres, the pairs that are nearer than the farthest link of an end.
 
@@ -200,17 +210,14 @@ def _local_join(meetings: pa.Table, vectors: pa.Table) -> pa.Table:
     worst, home = vectors["worst"].to_numpy()[order], vectors["home"].to_numpy()[order]
     centre, kind = meetings["centre"].to_numpy(), meetings["kind"].to_numpy()
     place = np.searchsorted(member, meetings["member"].to_numpy())
-    shuffled = np.random.default_rng(len(centre)).permutation(len(centre))
-    # Rows in an order that does not depend on how they arrived, then a seeded shuffle for the sample of reverse links.
-    canonical = np.lexsort((place, kind, centre))[shuffled]
-    canonical = canonical[np.lexsort((kind[canonical], centre[canonical]))]
-    centre, kind, place = centre[canonical], kind[canonical], place[canonical]
+    by_centre = np.lexsort((place, kind, centre))
+    centre, kind, place = centre[by_centre], kind[by_centre], place[by_centre]
     starts = np.flatnonzero(np.append(True, centre[1:] != centre[:-1])) if len(centre) else []
     ends, near, far, length = np.append(starts[1:], len(centre)), [], [], []
     for lo, hi in zip(starts, ends):
-        by_kind = [place[lo:hi][kind[lo:hi] == k] for k in range(4)]
-        new = np.unique(np.concatenate([by_kind[0], by_kind[2][:SAMPLED]]))
-        old = np.setdiff1d(np.concatenate([by_kind[1], by_kind[3][:SAMPLED]]), new)
+        fresh = kind[lo:hi] % 2 == 0
+        new = np.unique(place[lo:hi][fresh])
+        old = np.setdiff1d(place[lo:hi][~fresh], new)
         both = np.concatenate([new, old])
         if len(new) and len(both) > 1:
             d = _squares(x[new], x[both])
@@ -290,7 +297,7 @@ def build_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     for number in count():
         home = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
         meetings = graph.select("node", "ids", "fresh").mapInArrow(lambda it, k=number: _meetings(it, k), "centre long, member long, kind int")
-        meetings = settle(meetings.withColumn("block", home("centre")), "meetings")
+        meetings = settle(_sampled(meetings, number).withColumn("block", home("centre")), "meetings")
         worst = graph.select(F.col("node").alias("member"), _last("ds").alias("worst"))
         sent = meetings.select(F.col("block").alias("at"), F.col("member").alias("m")).distinct().toDF("block", "member")
         sent = sent.join(nodes.select(F.col("node").alias("member"), "vec32"), "member").join(worst, "member")
@@ -420,13 +427,8 @@ def search(queries: DataFrame, nodes: DataFrame, links: DataFrame, n: int) -> Da
     spark = nodes.sparkSession
     blocks = max(1, -(-n // BLOCK_NODES))
     own = np.zeros(1).tobytes()
-    by_block = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).select("block", "node", "vec")
     asking = queries.select("query").join(nodes, F.col("query") == F.col("node")).select("query", "vec")
     asking = settle(asking, "asking")
-    everywhere = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    vectors = by_block.withColumn("is_query", F.lit(False)).unionByName(
-        everywhere.select("block", F.col("query").alias("node"), "vec", F.lit(True).alias("is_query"))
-    )
     own_id = F.udf(lambda q: int(q).to_bytes(8, "little", signed=True), "binary")
     state = settle(
         asking.select("query", own_id("query").alias("ids"), F.lit(own).alias("ds"), F.lit(b"\x00").alias("opened")), "search-start"
@@ -437,6 +439,11 @@ def search(queries: DataFrame, nodes: DataFrame, links: DataFrame, n: int) -> Da
         pairs = settle(pairs.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")), "search-pairs")
         if pairs.isEmpty():
             break
+        asked_for = pairs.select("block", "node").distinct().toDF("at", "node").join(nodes.select("node", "vec"), "node")
+        there = pairs.select("block", "query").distinct().toDF("at", "query").join(asking, "query")
+        vectors = asked_for.select(F.col("at").alias("block"), "node", "vec", F.lit(False).alias("is_query")).union(
+            there.select("at", "query", "vec", F.lit(True))
+        )
         measured = pairs.groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(_measure, "query long, node long, d double")
         held = state.mapInArrow(_opened, STATE)
         rows = held.select("query", F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("d"), "ids", "ds", "opened")

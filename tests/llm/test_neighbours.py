@@ -82,3 +82,23 @@ def test_descent_goes_on_while_links_change(spark, vectors, monkeypatch):
     monkeypatch.setattr(neighbours, "settle", noted)
     assert len(listed(nearest(table(spark, vectors[:60])))) == 1
     assert len(rounds) == 11
+
+
+def test_a_node_near_all_others_meets_few_a_round(spark):
+    """The sample of a hub's reverse links is taken before they are shuffled, and differs from round to round."""
+    rows = [(0, k, 2) for k in range(1, 5000)] + [(k, 0, 0) for k in range(1, 5000)]
+    meetings = spark.createDataFrame(rows, "centre long, member long, kind int").repartition(4)
+    first, again, other = ({tuple(r) for r in neighbours._sampled(meetings, n).collect()} for n in (1, 1, 2))
+    assert first == again != other and len(first) == len(other) == neighbours.SAMPLED + 4999
+    plan = neighbours._sampled(meetings, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
+def test_hub_among_scattered_points(spark):
+    rng = np.random.default_rng(8)
+    around = rng.normal(size=(700, 24))
+    around /= np.linalg.norm(around, axis=1, keepdims=True)
+    rows = [(0, [1e-3] * 24, "?", "?")] + [(k + 1, [float(v) for v in p.astype(np.float32)], "?", "?") for k, p in enumerate(around)]
+    got, want = listed(nearest(table(spark, rows), every=50)), exact(rows, every=50)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.95 * 10 * len(want)
