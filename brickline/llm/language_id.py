@@ -110,7 +110,8 @@ def _most_frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
     for parts in ([*keys, share], keys):
         order = Window.partitionBy(*parts).orderBy(F.desc("n"), "token")
         best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
-    return counts.join(F.broadcast(best.select("token").distinct()), "token", "left_semi")
+    best = settle(best.select("token").distinct(), "language-lists")  # so that its size is known to the join
+    return counts.join(best, "token", "left_semi")
 
 
 class Model:
