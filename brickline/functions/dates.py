@@ -34,17 +34,26 @@ def _first_of(year: Column, month: Column) -> Column:
     return F.try_to_date(F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-01")), "yyyy-MM-dd")
 
 
+def _cut_date(text: Column) -> Column:
+    """Month start from numbers between dashes or slashes, the year first, the day optional."""
+
+    def first(parts: Column) -> Column:
+        year, month, day = (F.get(parts, F.lit(k)) for k in range(3))
+        short = F.length(month).between(1, 2) & F.coalesce(F.length(day), F.lit(1)).between(1, 2)
+        return F.when(F.size(parts).between(2, 3) & (F.length(year) == 4) & short, _first_of(year, month))
+
+    return once(F.split(text, "[-/]"), first)
+
+
 def parse_month(c: Column) -> Column:
     """Month start from ISO-like, named-month or spreadsheet-serial text, else null.
 
     The shape is tested before a format is tried: a failing parse is far slower
     than a pattern test.
     """
-    iso = r"^(\d{4})[-/](\d{1,2})(?:[-/]\d{1,2})?$"
-
     def parsed(text: Column) -> Column:
         out = (
-            F.when(text.rlike(iso), _first_of(F.regexp_extract(text, iso, 1), F.regexp_extract(text, iso, 2)))
+            F.when(text.rlike("^[0-9]+[-/][0-9/-]+$"), _cut_date(text))
             .when(text.rlike(r"^\d{4}$"), F.try_to_date(F.concat(text, F.lit("-01-01")), "yyyy-MM-dd"))
             .when(
                 text.rlike(r"^\d{5}(\.\d+)?$"),

@@ -100,30 +100,31 @@ def normalise_bedrooms(c: Column) -> Column:
     return once(number, lambda n: F.when(n <= 3, F.concat(n.cast("string"), F.lit("BR"))).when(n < len(NUMBER_WORDS), "4BR+"))
 
 
+# Words that name a property type, types in the order of precedence; in titles and in trails.
+TYPE_WORDS = {
+    "Townhouse": ["townhouse", "town house"],
+    "Condo": ["condo"],
+    "Apartment": ["apartment", "suite"],
+    "Detached": ["house", "detached", "home"],
+}
+TRAIL_WORDS = {"Condo": ["condo"], "Apartment": ["apartment"], "Townhouse": ["town"], "Detached": ["house"]}
+
+
+def _named_type(label: Column, words: dict[str, list[str]], other: Column) -> Column:
+    """The first type with a word in the label, else ``other``; null for a null or empty label."""
+    low = F.lower(label)
+    named = (F.when(low.rlike("|".join(some)), F.lit(kind)) for kind, some in words.items())
+    return F.when(label != "", F.coalesce(*named, other))
+
+
 def normalise_property_type(c: Column) -> Column:
-    low = F.lower(c)
-    return (
-        F.when(c.isNull() | (c == ""), None)
-        .when(low.rlike("townhouse|town house"), "Townhouse")
-        .when(low.contains("condo"), "Condo")
-        .when(low.rlike("apartment|suite"), "Apartment")
-        .when(low.rlike("house|detached|home"), "Detached")
-        .otherwise(F.initcap(F.trim(c)))
-    )
+    return _named_type(c, TYPE_WORDS, F.initcap(F.trim(c)))
 
 
 def breadcrumb_property_type(c: Column) -> Column:
     """Type from the last step of a ``A / B / C`` trail."""
     tail = F.trim(F.element_at(F.split(c, "/"), -1))
-    low = F.lower(tail)
-    return (
-        F.when(tail == "", None)
-        .when(low.contains("condo"), "Condo")
-        .when(low.contains("apartment"), "Apartment")
-        .when(low.contains("town"), "Townhouse")
-        .when(low.contains("house"), "Detached")
-        .otherwise(tail)
-    )
+    return _named_type(tail, TRAIL_WORDS, tail)
 
 
 def _number_at(c: Column, pattern: str, kind: str) -> Column:
