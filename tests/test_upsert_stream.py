@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from brickline.streaming import jobs
+from brickline.streaming import jobs, upsert
 from brickline.streaming.upsert import upsert_stream, upsert_table
 
 T0 = dt.datetime(2024, 1, 15)
@@ -116,3 +116,17 @@ def test_no_events_give_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], jobs.EVENT_SCHEMA).write.parquet(f"{tmp_path}/events.parquet")
     out = upsert_table(spark, jobs.event_stream(spark, str(tmp_path)))
     assert out.columns == ["event_id", "ts", "user_id", "event_type", "value", "props", "city"] and out.collect() == []
+
+
+def test_few_events_of_a_key_go_to_its_state(spark, monkeypatch):
+    """A task sends one row per key however many Arrow batches its events fill; held in small portions it sends the last too."""
+    rows = [(k, (k * 7919) % 1000 if k % 11 else None, k % 7 or None, "view") for k in range(30_000)]
+    events = spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string").coalesce(1)
+    last = {}
+    for e, t, u, _ in rows:
+        last[u] = max(last.get(u, (False, 0, 0)), (t is not None, t or 0, e))
+    got = upsert.last_in_tasks(events, ["user_id", "event_type"], ["ts", "event_id"]).collect()
+    assert {r.user_id: r.event_id for r in got} == {u: e for u, (_, _, e) in last.items()} and len(got) == 7
+    monkeypatch.setattr(upsert, "HELD_BYTES", 300)
+    some = upsert.last_in_tasks(events, ["user_id", "event_type"], ["ts", "event_id"]).collect()
+    assert {(r.user_id, r.event_id) for r in got} <= {(r.user_id, r.event_id) for r in some}
