@@ -55,7 +55,9 @@ class Lattice:
         self.piece = {model.id_to_piece(i).replace(BLANK_MARK, " "): i for i in plain}
         first = min(plain)
         self.weight = {p: -math.log(2 + i - first) / temperature for p, i in self.piece.items()}
-        self.longest = max(map(len, self.piece))
+        #: Every end of a piece; where it is a piece itself, ``(weight, piece)``, else ``()``.
+        self.tails: dict[str, tuple] = {p[k:]: () for p in self.piece for k in range(len(p))}
+        self.tails |= {p: (w, self.piece[p]) for p, w in self.weight.items()}
         known = "".join(re.escape(p) for p in self.piece if len(p) == 1 and p != " ")
         self.word = re.compile(f" +[{known}]*|[{known}]+|[^ {known}]")
         self.as_bytes = {i: p.encode() for p, i in self.piece.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
@@ -68,25 +70,27 @@ class Lattice:
         #: Of each arriving piece, in the order of its node: node + share of the sums up to it; node before it; piece.
         self.ladder, self.before, self.taken = array("d"), array("i"), array("i")
 
-    def _add(self, arriving: list[tuple[float, int, int]]) -> int:
-        """A new node with its arriving pieces ``(log of the sum through it, node before, piece)``."""
+    def _add(self, logs: list[float], before: list[int], taken: list[int]) -> int:
+        """A new node with its arriving pieces: logs of the sums through them, nodes before them, the pieces."""
         new = len(self.sum)
-        if len(arriving) == 1:
-            self.sum.append(arriving[0][0])
+        if len(logs) == 1:
+            self.sum.append(logs[0])
             self.ladder.append(new + 1.0)
-            self.before.append(arriving[0][1])
-            self.taken.append(arriving[0][2])
+            self.before.append(before[0])
+            self.taken.append(taken[0])
             return new
-        top = max(arriving)[0]
-        total = sum([math.exp(x - top) for x, _, _ in arriving])
+        top, exp = max(logs), math.exp
+        shares = [exp(x - top) for x in logs]
+        total = sum(shares)
         self.sum.append(top + math.log(total))
         up = 0.0
-        for x, before, piece in arriving:
-            up += math.exp(x - top) / total
-            self.ladder.append(new + up)
-            self.before.append(before)
-            self.taken.append(piece)
-        self.ladder[-1] = new + 1.0
+        for k, share in enumerate(shares):
+            up += share / total
+            shares[k] = new + up
+        shares[-1] = new + 1.0
+        self.ladder.extend(shares)
+        self.before.extend(before)
+        self.taken.extend(taken)
         return new
 
     def _end(self, word: str) -> int:
@@ -94,7 +98,7 @@ class Lattice:
         if len(word) == 1 and word not in self.piece:
             at = 0
             for b in word.encode():
-                at = self._add([(0.0, at, self.byte_ids[b])])
+                at = self._add([0.0], [at], [self.byte_ids[b]])
             self.node[word] = at
             return at
         known, size = self.node, len(word)
@@ -103,29 +107,37 @@ class Lattice:
         done = size
         while done and word[:done] not in known:
             done -= 1
-        at, weight, pieces, sums = known[word[:done]] if done else 0, self.weight, self.piece, self.sum
+        path = [0] + [-1] * (done - 1) + [known[word[:done]]] if done else [0]
+        self._extend(word, path)
         for end in range(done + 1, size + 1):
-            arriving = []
-            for n in range(1, min(end, self.longest) + 1):
-                piece = word[end - n : end]
-                if piece in weight:
-                    before = known[word[: end - n]] if n < end else 0
-                    arriving.append((sums[before] + weight[piece], before, pieces[piece]))
-            at = known[word[:end]] = self._add(arriving)
-        return at
+            known[word[:end]] = path[end]
+        return path[-1]
 
     def _long_end(self, word: str) -> int:
         """As above for a word whose prefixes are too long to keep by name."""
         path = [0]
-        for end in range(1, len(word) + 1):
-            arriving = []
-            for n in range(1, min(end, self.longest) + 1):
-                piece = word[end - n : end]
-                if piece in self.weight:
-                    arriving.append((self.sum[path[end - n]] + self.weight[piece], path[end - n], self.piece[piece]))
-            path.append(self._add(arriving))
+        self._extend(word, path)
         return path[-1]
 
+    def _extend(self, word: str, path: list[int]) -> None:
+        """Add the nodes of a word's prefixes after those in ``path``; there -1 stands for a node that is kept by name."""
+        tails, sums, add = self.tails, self.sum, self._add
+        for end in range(len(path), len(word) + 1):
+            logs, before, taken = [], [], []
+            # No longer piece ends here once a string is the end of none.
+            for begin in range(end - 1, -1, -1):
+                found = tails.get(word[begin:end])
+                if found is None:
+                    break
+                if found:
+                    at = path[begin]
+                    if at < 0:
+                        at = path[begin] = self.node[word[:begin]]
+                    logs.append(sums[at] + found[0])
+                    before.append(at)
+                    taken.append(found[1])
+            path.append(add(logs, before, taken))
+
     def sample(self, texts: list[str], keys: np.ndarray, seed: int = 0) -> list[np.ndarray]:
         """A segmentation of each text; ``keys`` are the rows' keys."""
         if len(self.sum) > KEPT_NODES:

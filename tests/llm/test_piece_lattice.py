@@ -9,7 +9,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brickline.llm.piece_lattice import decode, encode, encode_digest, lattice
+from brickline.llm.piece_lattice import Lattice, decode, encode, encode_digest, lattice
 from brickline.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("piece_bpe_32k.model")
@@ -56,6 +56,28 @@ def test_long_words_and_portions_make_no_difference():
         assert held.decode(together[k].tolist()) == text
 
 
+def test_a_place_asks_no_longer_strings_than_ends_of_pieces():
+    """Of "qxqxqx..." few strings end a piece, so a node asks for few; the sums are those over all pieces."""
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, key):
+            Asked.n += 1
+            return super().get(key)
+
+    held = Lattice(PATH)
+    held.tails = Asked(held.tails)
+    word = " then" + "qx" * 20
+    held.sample([word.strip()], np.array([1]))
+    plain = [0.0]
+    for end in range(1, len(word) + 1):
+        ways = [plain[b] + held.weight[word[b:end]] for b in range(end) if word[b:end] in held.weight]
+        plain.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+    assert np.allclose([held.sum[held.node[word[:k]]] for k in range(1, len(word) + 1)], plain[1:])
+    assert Asked.n <= 5 * len(word)
+
+
 def test_spark_round_trip(odd_documents):
     encoded = encode(odd_documents, PATH, seed=4)
     again = {r["doc_id"]: r["ids"] for r in encode(odd_documents.repartition(5), PATH, seed=4).collect()}
