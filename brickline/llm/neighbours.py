@@ -1,7 +1,8 @@
 """Nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors are one node; their ids come back at the end. The neighbour graph starts from windows of the nodes in the
-order of random hyperplane trees and of a hash. Then it descends: each round joins neighbours with neighbours. Every
+Equal vectors are one node; their ids come back at the end. The neighbour graph starts from cells of the nodes in the
+order of several random hyperplane trees, each vector in one cell a tree, and from windows in the order of a hash. So
+most links are there before the descent, whose rounds send vectors to many blocks, and few rounds are left. It descends: each round joins neighbours with neighbours. Every
 node is a centre that meets a sample of its new neighbours, forward and reverse, with its others; whatever pairs are
 nearer than what either end holds go back to those ends. It ends when a round changes less than ``DONE`` of the links.
 
@@ -33,6 +34,8 @@ SAMPLED = 24
 DONE = 0.02
 WINDOW_ROWS = 256
 RANGE_ROWS = 20_000
+# Trees, those merged at once, rows of a tree's cell, and links that it gives a node.
+TREES, AT_ONCE, CELL_ROWS, CELL_LINKS = 10, 5, 8_192, 32
 BLOCK_NODES = 8_192
 WIDTH = 128
 OPENED = 24
@@ -87,8 +90,8 @@ def _release(spark: SparkSession) -> None:
 GRAPH = "node long, ids binary, ds binary, fresh binary"
 
 
-def _window_links(nodes: DataFrame, order: list[Column], ranges: int, planes: np.ndarray | None) -> DataFrame:
-    """``node, ids, ds``: the nearest nodes of each within a window of neighbours in an order."""
+def _window_links(nodes: DataFrame, order: list[Column], ranges: int, planes: np.ndarray | None, rows: int, most: int) -> DataFrame:
+    """``node, ids, ds``: the ``most`` nearest nodes of each within a window of at least ``rows`` neighbours in an order."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,27 +103,29 @@ def _window_links(nodes: DataFrame, order: list[Column], ranges: int, planes: np
         held = pa.table({"node": pa.array([], pa.int64()), "vec32": pa.array([], pa.binary())})
         for batch in batches:
             held = pa.concat_tables([held, pa.Table.from_batches([batch]).select(["node", "vec32"])])
-            while len(held) >= 2 * WINDOW_ROWS:
-                yield links(held.slice(0, WINDOW_ROWS))
-                held = held.slice(WINDOW_ROWS).combine_chunks()
+            while len(held) >= 2 * rows:
+                yield from links(held.slice(0, rows))
+                held = held.slice(rows).combine_chunks()
         if len(held):
-            yield links(held)
+            yield from links(held)
 
-    def links(part: pa.Table) -> pa.RecordBatch:
+    def links(part: pa.Table) -> Iterator[pa.RecordBatch]:
         x, ids = _matrix(part["vec32"], np.float32), part["node"].to_numpy()
-        d = _squares(x, x)
-        np.fill_diagonal(d, np.inf)
-        k = min(LINKS, len(x) - 1)
-        at = np.argsort(d, axis=1)[:, :k]
-        near_ids = np.full((len(x), LINKS), NONE)
-        near_ds = np.full((len(x), LINKS), np.inf, np.float32)
-        near_ids[:, :k], near_ds[:, :k] = ids[at], np.take_along_axis(d, at, 1)
-        return pa.RecordBatch.from_arrays([pa.array(ids), _binary(near_ids), _binary(near_ds)], names=["node", "ids", "ds"])
-
-    rows = nodes.select("node", "vec32")
+        k = min(most, len(x) - 1)
+        for lo in range(0, len(x), WINDOW_ROWS):
+            own = x[lo : lo + WINDOW_ROWS]
+            d = _squares(own, x)
+            d[np.arange(len(own)), lo + np.arange(len(own))] = np.inf
+            at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(own), 0), np.int64)
+            near_ids = np.full((len(own), most), NONE)
+            near_ds = np.full((len(own), most), np.inf, np.float32)
+            near_ids[:, :k], near_ds[:, :k] = ids[at], np.take_along_axis(d, at, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + WINDOW_ROWS]), _binary(near_ids), _binary(near_ds)], names=["node", "ids", "ds"])
+
+    keys = nodes.select("node", "vec32")
     if planes is not None:
-        rows = rows.mapInArrow(keyed, "node long, vec32 binary, bits long")
-    ordered = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        keys = keys.mapInArrow(keyed, "node long, vec32 binary, bits long")
+    ordered = keys.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     return ordered.select("node", "vec32").mapInArrow(near, "node long, ids binary, ds binary")
 
 
@@ -287,13 +292,21 @@ def build_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     ranges, blocks = max(1, -(-n // RANGE_ROWS)), max(1, -(-n // BLOCK_NODES))
     some = nodes.orderBy(F.xxhash64("node"), "node").limit(4 * PLANES).select("vec32").collect()
     sample = np.array([np.frombuffer(r["vec32"], np.float32) for r in some]).reshape(-1, dim)
-    pick = np.random.default_rng(3).integers(0, max(1, len(sample)), (2, PLANES))
-    a, b = (sample[p] if len(sample) else np.zeros((PLANES, dim), np.float32) for p in pick)
-    planes = np.concatenate([a - b, (((a + b) / 2) * (a - b)).sum(1, keepdims=True)], 1)
-    in_trees = _window_links(nodes, [F.col("bits"), F.col("node")], ranges, planes)
-    at_random = _window_links(nodes, [F.xxhash64("node", F.lit(17)), F.col("node")], ranges, None)
-    start = in_trees.unionByName(at_random).withColumn("fresh", F.lit(None).cast("binary"))
-    graph = settle(_merged(start, -1), "graph-start")
+    none = F.lit(None).cast("binary")
+
+    def tree(number: int) -> DataFrame:
+        pick = np.random.default_rng([3, number]).integers(0, max(1, len(sample)), (2, PLANES))
+        a, b = (sample[p] if len(sample) else np.zeros((PLANES, dim), np.float32) for p in pick)
+        planes = np.concatenate([a - b, (((a + b) / 2) * (a - b)).sum(1, keepdims=True)], 1)
+        return _window_links(nodes, [F.col("bits"), F.col("node")], ranges, planes, CELL_ROWS, CELL_LINKS)
+
+    graph = _window_links(nodes, [F.xxhash64("node", F.lit(17)), F.col("node")], ranges, None, WINDOW_ROWS, LINKS)
+    for first in range(0, TREES, AT_ONCE):
+        graph = graph.select("node", "ids", "ds", none.alias("fresh"))
+        for number in range(first, min(first + AT_ONCE, TREES)):
+            graph = graph.unionByName(tree(number).withColumn("fresh", none))
+        graph = settle(_merged(graph, -1), "graph-start").select("node", "ids", "ds", "fresh")
+        _release(spark)
     for number in count():
         home = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
         meetings = graph.select("node", "ids", "fresh").mapInArrow(lambda it, k=number: _meetings(it, k), "centre long, member long, kind int")

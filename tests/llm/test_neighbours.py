@@ -84,6 +84,16 @@ def test_descent_goes_on_while_links_change(spark, vectors, monkeypatch):
     assert len(rounds) == 11
 
 
+def test_cells_leave_few_rounds(spark, vectors, monkeypatch):
+    """Three rounds at most send vectors to blocks, where each cell of a tree holds a fourth of the nodes."""
+    names, write = [], neighbours.settle
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 375)
+    monkeypatch.setattr(neighbours, "settle", lambda df, name: (names.append(name), write(df, name))[1])
+    got, want = listed(nearest(table(spark, vectors), every=20)), exact(vectors, every=20)
+    assert names.count("graph-start") == 2 and names.count("graph") <= 3
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 10 * len(want)
+
+
 def test_a_node_near_all_others_meets_few_a_round(spark):
     """The sample of a hub's reverse links is taken before they are shuffled, and differs from round to round."""
     rows = [(0, k, 2) for k in range(1, 5000)] + [(k, 0, 0) for k in range(1, 5000)]
