@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import sys
 import zlib
 from collections import Counter
 
@@ -78,6 +80,43 @@ def test_a_place_asks_no_longer_strings_than_ends_of_pieces():
     assert Asked.n <= 5 * len(word)
 
 
+def test_new_prefixes_of_a_batch_are_summed_side_by_side():
+    """Python is called a fixed number of times a batch, not for each prefix; sums and shares are those of a plain loop."""
+    held = Lattice(PATH)
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefgé日", k=k % 11 + 1)) for k in range(1500)]
+    calls = Counter()
+    sys.setprofile(lambda frame, event, _: calls.update([event]))
+    try:
+        ids = held.sample([" ".join(words)], np.array([1]))[0].tolist()
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] < 500
+    assert held.decode(ids) == " ".join(words)
+    for word in words[:400:7]:
+        word, plain = f" {word}", [0.0]
+        for end in range(1, len(word) + 1):
+            begins = [b for b in reversed(range(end)) if word[b:end] in held.weight]
+            ways = [plain[b] + held.weight[word[b:end]] for b in begins]
+            plain.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+            node = held.node[word[:end]]
+            first = held.first[node]
+            assert held.taken[first : first + len(ways)].tolist() == [held.piece[word[b:end]] for b in begins]
+            assert held.before[first : first + len(ways)].tolist() == [held.node[word[:b]] if b else 0 for b in begins]
+            shares = np.cumsum([math.exp(w - plain[-1]) for w in ways])
+            assert np.allclose(held.share[first : first + len(ways)], shares) and held.share[first + len(ways) - 1] == 1.0
+
+
+def test_shares_do_not_depend_on_the_batches_before():
+    word, shares = " thenceforward", []
+    for earlier in ([], ["other words", "the then thence"]):
+        held = Lattice(PATH)
+        for text in [*earlier, word.strip()]:
+            held.sample([text], np.array([1]))
+        shares.append([held.share[held.first[held.node[word[:k]]]] for k in range(1, len(word) + 1)])
+    assert shares[0] == shares[1]
+
+
 def test_spark_round_trip(odd_documents):
     encoded = encode(odd_documents, PATH, seed=4)
     again = {r["doc_id"]: r["ids"] for r in encode(odd_documents.repartition(5), PATH, seed=4).collect()}
