@@ -78,6 +78,48 @@ def test_spans_are_the_removed_runs(spark):
     assert got == {1: [4, 5 + len(passage)], 2: [5, 6 + len(passage)]}
 
 
+@pytest.mark.parametrize("share", [1, 12, 4096])
+def test_common_names_and_texts_give_the_same_rows(spark, monkeypatch, share):
+    """No name or text, some, and all of them are sent to their rows."""
+    monkeypatch.setattr(repeats, "SHARE", share)
+    line = "a line that stands in most of the texts, "
+    rows = corpus(7) + [(100 + k, f"{k} " + line + f" {k}") for k in range(30)] + [(200 + k, line * 2) for k in range(9)] + [(300, None)] * 9
+    assert run(spark, rows, length=30) == plain_removal(rows, 30)
+
+
+def test_common_keys_are_few_and_the_rest_even(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARE", 10)
+    counted = spark.createDataFrame([(k, 1 + 50 * (k < 9)) for k in range(500)], "name long, n long")
+    assert sorted(r["name"] for r in repeats.common(counted, "n").collect()) == []
+    counted = spark.createDataFrame([(k, 1 + 150 * (k < 3)) for k in range(500)], "name long, n long")
+    assert sorted(r["name"] for r in repeats.common(counted, "n").collect()) == [0, 1, 2]
+    assert repeats.common(counted.where("false"), "n").collect() == []
+
+
+@pytest.fixture
+def fullest(spark):
+    """Rows of the fullest of eight partitions, where Spark neither broadcasts nor splits by itself."""
+    ours = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    yield lambda df: max(len(part) for part in df.rdd.glom().collect())
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_rows_of_a_common_text_do_not_meet_in_one_task(spark, fullest):
+    text = "".join(chr(97 + i % 26) + str(i) for i in range(200))
+    docs = spark.createDataFrame([(k, text) for k in range(400)] + [(k, None) for k in range(400)], "doc_id long, text string")
+    assert fullest(repeated_spans(docs.repartition(8))) <= 200
+
+
+def test_rows_of_a_common_name_do_not_meet_in_one_task(spark, fullest):
+    named = spark.createDataFrame([(b"%d" % k, 1 if k < 600 else k // 2) for k in range(1000)], "key binary, name long")
+    found = repeats.shared_names(named.repartition(8))
+    assert fullest(found) <= 200 and found.count() == 1000
+
+
 def test_names_reach_the_window():
     assert levels(400)[0] == 128 and levels(400)[-1] == 400 and levels(1) == [1]
     assert all(a < b for a, b in zip(levels(400), levels(400)[1:]))
